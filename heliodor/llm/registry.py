@@ -6,7 +6,13 @@ import importlib
 
 #: Query name -> module that holds a function of that name, and ORACLE_SQL where SQL can express it.
 MODULES = {
+    "op2_chat_format": "chat",
+    "op3_language_id": "langid",
     "op5_byte_bpe": "bpe",
+    "op7_decontamination": "decontam",
+    "op8_personal_data": "pii",
+    "op9_substring_dedup": "substring",
+    "op10_order_minhash": "fingerprint",
 }
 
 
