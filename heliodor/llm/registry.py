@@ -8,7 +8,9 @@ import importlib
 MODULES = {
     "op2_chat_format": "chat",
     "op3_language_id": "langid",
+    "op4_suffix_dedup": "suffix",
     "op5_byte_bpe": "bpe",
+    "op6_near_duplicates": "neardup",
     "op7_decontamination": "decontam",
     "op8_personal_data": "pii",
     "op9_substring_dedup": "substring",

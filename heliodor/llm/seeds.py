@@ -83,6 +83,8 @@ def combine_shared(key: np.ndarray, doc: np.ndarray, same_doc: bool) -> tuple[np
     One row of a key goes by its key, so a key that is everywhere has no more rows
     than there are batches. A key that meets itself here (with same_doc in one
     document too, else in two documents) is known to be shared: its other rows go by a mixed route."""
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     order = np.lexsort((doc, key))
     k, d = key[order], doc[order]
     new_key = np.append(True, k[1:] != k[:-1])

@@ -93,6 +93,8 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
                 salt = mix64(np.arange(batch.num_rows, dtype=np.uint64))
                 seeded = np.isin(w.grams[w.anchor] ^ salt[w.text], keys.view(np.uint64) ^ np.repeat(salt, sizes))
                 at, run = w.windows(w.low[seeded], w.high[seeded])
+                if not len(at):
+                    continue
                 doc = w.ids()[w.text[seeded][run]]
                 key = w.spans.hash(at, at + window)
                 # Of a window the smallest document here goes by the window; others here are repeats already.
@@ -100,11 +102,10 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
                 k, d = key[order], doc[order]
                 new_key = np.append(True, k[1:] != k[:-1])
                 new_row = new_key | np.append(True, d[1:] != d[:-1])
-                first = np.maximum.accumulate(np.where(new_key, np.arange(len(k)), 0)) if len(k) else np.zeros(0, int)
+                first = np.maximum.accumulate(np.where(new_key, np.arange(len(k)), 0))
                 route = np.where(new_key, k, mix64(k ^ mix64(d.astype(np.uint64))))
-                repeat = d > d[first] if len(k) else np.zeros(0, bool)
-                keep = new_row[: len(k)]
-                yield pa.RecordBatch.from_pydict({"route": pa.array(route[keep].view(np.int64)), "key": pa.array(k[keep].view(np.int64)), "doc": pa.array(d[keep], pa.int64()), "shared": pa.array(repeat[keep])})
+                repeat = d > d[first]
+                yield pa.RecordBatch.from_pydict({"route": pa.array(route[new_row].view(np.int64)), "key": pa.array(k[new_row].view(np.int64)), "doc": pa.array(d[new_row], pa.int64()), "shared": pa.array(repeat[new_row])})
 
     def settle(batches):
         held = [b for b in batches if b.num_rows]
