@@ -1,8 +1,69 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, near-duplicates, decontamination, personal data, tokens.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next stage's docs. All stages but the last return the
+columns of docs. A stage drops or changes only what its operator decided on; rows
+without a doc_id can't be named by a decision on ids, so those decisions leave them.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heliodor.llm import bpe, decontam, langid, neardup, pii
+from heliodor.llm.common import bounded, shared_dir
+
+#: SQL expresses neither the first nor the last stage.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language is rejected: no letter, or a narrow margin."""
+    judged = langid.predict(docs, langid.fit(docs), keep=docs.columns)
+    return judged.where(~F.col("rejected")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group; of rows that repeat a doc_id one stays."""
+    found = neardup.near_duplicates(docs.select("doc_id", "text"))
+    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    left = docs.join(bounded(gone), "doc_id", "left_anti")
+    named = docs.where("doc_id IS NOT NULL").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("distinct")).first()
+    if named["n"] != named["distinct"]:
+        left = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
+    return left.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    found = decontam.contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(bounded(found.where("contaminated").select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace each span of personal data by its kind in brackets; n_chars follows the text."""
+    return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each document."""
+    import public_tokenizers
+
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
+
+
+STAGES = [("language ID", language), ("near-duplicates", near_duplicates), ("decontamination", decontaminate), ("personal data", personal_data), ("byte-level BPE", tokens)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each from what the one before it wrote."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_dir(spark)}/heliodor-pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

@@ -48,6 +48,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows that are broadcast at most, some 60 bytes each; they are counted first.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has no more rows than the bound: they are counted, and beyond it a shuffle joins.
+
+    df is written first, so counting does not compute it twice."""
+    made = table(df, "bounded")
+    return F.broadcast(made) if made.limit(rows + 1).count() <= rows else made
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, even where body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -28,13 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import ascii_lower, documents, let, table
+from heliodor.llm.common import ascii_lower, bounded, documents, let, table
 
 #: Everything but ASCII letters and digits and signs beyond ASCII parts words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 N = 10
-#: Rows that are broadcast at most, some 60 bytes each; they are counted first.
-BROADCAST_ROWS = 500_000
 #: Terms of a window whose lists are intersected before the rest.
 RAREST = 2
 
@@ -52,15 +50,10 @@ def windows(items: DataFrame, n: int = N) -> DataFrame:
     return each.groupBy("terms").agg(F.array_sort(F.collect_set("item_id")).alias("items")).select(F.sha2(F.array_join("terms", " "), 256).alias("window_id"), "terms", "items")
 
 
-def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has no more rows than the bound: they are counted, and beyond it a shuffle joins."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, doc_id, position: the stored postings of the given distinct terms."""
     each = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("position", "term"))
-    return table(each.join(_bounded(terms), "term", "left_semi"), "postings")
+    return table(each.join(bounded(terms), "term", "left_semi"), "postings")
 
 
 def _rarest(index: DataFrame, wins: DataFrame) -> DataFrame:
@@ -76,14 +69,14 @@ def _rarest(index: DataFrame, wins: DataFrame) -> DataFrame:
 
 def phrase_matches(index: DataFrame, wins: DataFrame) -> DataFrame:
     """window_id, doc_id, start, length: every exact occurrence of a window."""
-    lists = index.join(_bounded(_rarest(index, wins)), "term")
+    lists = index.join(bounded(_rarest(index, wins)), "term")
     starts = lists.select("window_id", "length", "needed", "doc_id", (F.col("position") - F.col("offset")).alias("start"), "rank").where("start >= 0")
     both = starts.groupBy("window_id", "length", "needed", "doc_id", "start").agg(F.count_distinct("rank").alias("found"))
     both = table(both.where(F.col("found") == F.col("needed")).select("window_id", "length", "doc_id", "start"), "starts")
     # The lists of all terms at the surviving starts, from the postings of their documents alone.
-    held = index.join(_bounded(both.select("doc_id").distinct()), "doc_id", "left_semi")
+    held = index.join(bounded(both.select("doc_id").distinct()), "doc_id", "left_semi")
     terms = wins.select("window_id", F.posexplode("terms").alias("offset", "term"))
-    wanted = both.join(_bounded(terms), "window_id").withColumn("position", F.col("start") + F.col("offset"))
+    wanted = both.join(bounded(terms), "window_id").withColumn("position", F.col("start") + F.col("offset"))
     met = wanted.join(held, ["doc_id", "position", "term"])
     whole = met.groupBy("window_id", "doc_id", "start", "length").agg(F.count_distinct("offset").alias("n"))
     return whole.where(F.col("n") == F.col("length")).drop("n")
@@ -92,7 +85,7 @@ def phrase_matches(index: DataFrame, wins: DataFrame) -> DataFrame:
 def proximity_matches(index: DataFrame, wins: DataFrame, slop: int = 3) -> DataFrame:
     """window_id, doc_id, start: places where the two rarest terms of a window stand within slop words of their distance."""
     rare = _rarest(index, wins).where("needed = 2")
-    lists = index.join(_bounded(rare), "term").select("window_id", "doc_id", "rank", (F.col("position") - F.col("offset")).alias("s"))
+    lists = index.join(bounded(rare), "term").select("window_id", "doc_id", "rank", (F.col("position") - F.col("offset")).alias("s"))
     at = [lists.where(F.col("rank") == i).select("window_id", "doc_id", F.col("s").alias(f"s{i}")) for i in (0, 1)]
     # Starts are dealt to cells of slop + 1 words; a start within slop is in the same cell or a next one.
     cells = at[1].withColumn("cell", F.explode(F.array(*[F.floor(F.col("s1") / (slop + 1)) + d for d in (-1, 0, 1)])))

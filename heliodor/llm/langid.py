@@ -5,6 +5,9 @@ text gets the language whose dictionary compresses it to the fewest bytes; the
 gap to the second language, as a share of the largest size, is the score, and a
 text with a score under `margin` is rejected.
 
+Dictionaries and texts are compressed as their lower-cased runs of letters, so that
+shouting, markup and numbers do not decide.
+
 Fitting reads a bounded sample: of each language the `per_lang` documents with
 the lowest hash of doc_id that are not held out, cut at `dict_bytes`. Nothing
 else is bounded, and whole texts are compressed.
@@ -17,6 +20,8 @@ text is `und`. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,13 +30,20 @@ from pyspark.sql import functions as F
 from heliodor.llm.common import documents, small_batches
 
 #: Bounds of the sample that dictionaries are made of, and zstandard's level.
-PER_LANG, DICT_BYTES, LEVEL = 400, 192 << 10, 1
+PER_LANG, DICT_BYTES, LEVEL = 400, 110 << 10, 9
 #: Texts whose score is lower are rejected.
-MARGIN = 0.002
+MARGIN = 0.01
 #: The most languages that a model can have; more is an error, so that the model's size is bounded.
 MOST_LANGS = 500
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letters_of(text: str) -> bytes:
+    return " ".join(_LETTERS.findall(text.lower())).encode()
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -43,13 +55,14 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, dict_bytes: int = DICT_BYTES)
     chosen = rows.select("lang", "doc_id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang)
     # A sample of at most per_lang rows a language: its size is bounded whatever docs holds.
     texts = rows.join(F.broadcast(chosen.select("lang", "doc_id").distinct()), ["lang", "doc_id"])
-    texts = texts.select("lang", "doc_id", F.expr(f"substring(encode(text, 'UTF-8'), 1, {dict_bytes})").alias("part"))
+    # A dictionary holds dict_bytes, so no more of one sampled text is of use.
+    texts = texts.select("lang", "doc_id", F.substring("text", 1, 2 * dict_bytes).alias("part"))
     ranked = texts.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang)
     before = Window.partitionBy("lang").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     ranked = ranked.withColumn("before", F.coalesce(F.sum(F.length("part")).over(before), F.lit(0)))
     out: dict[str, list] = {}
-    for lang, n, part in ranked.where(F.col("before") < dict_bytes).select("lang", "n", "part").collect():
-        out.setdefault(lang, []).append((n, bytes(part)))
+    for lang, n, part in ranked.where(F.col("before") < 4 * dict_bytes).select("lang", "n", "part").collect():
+        out.setdefault(lang, []).append((n, letters_of(part)))
     if len(out) > MOST_LANGS:
         raise ValueError(f"{len(out)} languages; a model has {MOST_LANGS} at most")
     return {lang: b"\n".join(p for _, p in sorted(parts))[:dict_bytes] for lang, parts in sorted(out.items())}
@@ -75,12 +88,13 @@ def predict(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN, ke
             text = batch.column("text")
             letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_pylist()
             best, score = [], []
-            for t, has in zip(text.cast(pa.binary()).to_pylist(), letters, strict=True):
+            for t, has in zip(text.to_pylist(), letters, strict=True):
                 if not has or not langs:
                     best.append("und")
                     score.append(0.0)
                     continue
-                sizes = [len(p.compress(t)) for p in packers]
+                content_of = letters_of(t)
+                sizes = [len(p.compress(content_of)) for p in packers]
                 low = min(sizes)
                 at = sizes.index(low)
                 second = min((s for i, s in enumerate(sizes) if i != at), default=max(low, 1) * 2)

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import documents, let, table
+from heliodor.llm.common import bounded, documents, let, table
 
 KINDS = ("email", "ip", "card", "phone", "id")
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -166,7 +166,7 @@ def mask(docs: DataFrame) -> DataFrame:
         step = lambda a, x: F.when(x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"))).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out")))
         return F.aggregate(s, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
-    joined = docs.join(spans, "doc_id", "left")
+    joined = docs.join(bounded(spans, 100_000), "doc_id", "left")
     return joined.withColumn("text", F.when(F.col("__spans").isNotNull(), masked(F.col("__spans"))).otherwise(F.col("text"))).select(*docs.columns)
 
 

@@ -6,6 +6,7 @@ import importlib
 
 #: Query name -> module that holds a function of that name, and ORACLE_SQL where SQL can express it.
 MODULES = {
+    "op1_token_files": "tokenfile",
     "op2_chat_format": "chat",
     "op3_language_id": "langid",
     "op4_suffix_dedup": "suffix",
