@@ -1,4 +1,5 @@
 """Every query by name, and its SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from heliodor.queries import ORACLE_SQL, QUERIES, chunks, relational, reports, search, strings, trajectories
+
+__all__ = ["ORACLE_SQL", "QUERIES", "chunks", "relational", "reports", "search", "strings", "trajectories"]
