@@ -91,27 +91,28 @@ def spelled(fp: Column) -> Column:
 
 
 def following(docs: DataFrame) -> DataFrame:
-    """doc_id, next_id of each distinct doc_id: the next in ascending order, after the last the first."""
+    """doc_id, next_id, part of each distinct doc_id: the next in ascending order, after the last the first; a quarter of its (longest) text's length."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select("doc_id").distinct()
+    ids = docs.groupBy("doc_id").agg(F.max(F.coalesce(F.floor(F.length("text") / 4), F.lit(0)).cast("int")).alias("part"))
     # The block that a sampled range put a row in must not change later: it is written.
     ranged = table(ids.repartitionByRange(n, "doc_id").withColumn("block", F.spark_partition_id()), "ranges")
     inside = ranged.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("block").orderBy("doc_id"))).withColumn("last", F.row_number().over(Window.partitionBy("block").orderBy(F.col("doc_id").desc())) == 1)
     heads = ranged.groupBy("block").agg(F.min(F.struct("doc_id")).alias("head"))
     whole = Window.orderBy("block")  # as many rows as blocks
     heads = heads.select("block", F.coalesce(F.lead("head").over(whole), F.first("head").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("head"))
-    return inside.join(F.broadcast(heads), "block").select("doc_id", F.when(F.col("last"), F.col("head.doc_id")).otherwise(F.col("next_id")).alias("next_id"))
+    return inside.join(F.broadcast(heads), "block").select("doc_id", F.when(F.col("last"), F.col("head.doc_id")).otherwise(F.col("next_id")).alias("next_id"), "part")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_id, next_text of every row."""
+    """doc_id, text, next_id, next_text of every row; of the next text only as much as replaces a quarter of this one.
+
+    Whole texts are shuffled once, by doc_id: both joins read that exchange, and only the heads move on."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = following(docs)
+    pairs = table(following(docs), "pairs")
     counted = docs.select("doc_id").agg(F.count("*").alias("n"), (F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("distinct")).first()
     single = rows if counted["n"] == counted["distinct"] else rows.groupBy("doc_id").agg(F.min("text").alias("text"))
-    own, nxt = rows.alias("own"), single.alias("nxt")
-    joined = own.join(pairs.alias("p"), F.col("own.doc_id").eqNullSafe(F.col("p.doc_id"))).select("own.doc_id", "own.text", "p.next_id")
-    return joined.alias("j").join(nxt, F.col("j.next_id").eqNullSafe(F.col("nxt.doc_id")), "left").select("j.doc_id", "j.text", "j.next_id", F.col("nxt.text").alias("next_text"))
+    heads = single.alias("nxt").join(pairs.alias("p"), F.col("nxt.doc_id").eqNullSafe(F.col("p.next_id"))).select(F.col("p.doc_id").alias("own_id"), "p.next_id", F.substring("nxt.text", F.lit(1), F.col("p.part")).alias("next_text"))
+    return rows.alias("own").join(heads.alias("h"), F.col("own.doc_id").eqNullSafe(F.col("h.own_id"))).select("own.doc_id", "own.text", "h.next_id", "h.next_text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
