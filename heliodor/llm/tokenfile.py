@@ -55,6 +55,16 @@ _U64 = np.uint64
 _LOW32 = _U64(0xFFFFFFFF)
 
 
+#: What a symbol's occurrence adds to the cumulative frequencies of its row.
+_STEP = np.where(np.arange(16)[None, :] >= np.arange(16)[:, None], 8, 0).astype(np.int32)
+
+
+def _count(hits: np.ndarray) -> np.ndarray:
+    """How many of the 16 flags of each row are set."""
+    words = np.ascontiguousarray(hits).view(_U64)
+    return (np.bitwise_count(words[:, 0]) + np.bitwise_count(words[:, 1])).astype(np.int64)
+
+
 class _Model:
     """The adaptive model of a number of lanes."""
 
@@ -66,8 +76,9 @@ class _Model:
         self.t2 = np.zeros(lanes << _BITS2, np.int32)
         self.seen = np.zeros((lanes << 5, 3))
         self.all = np.ones((lanes, 3))
-        self.high = np.ones((lanes << 4, 16), np.int32)
-        self.groups = np.full((lanes, 16), 16, np.int32)
+        # Cumulative frequencies: of the 16 high bytes in each group, and of the 16 groups.
+        self.high = np.tile(np.arange(1, 17, dtype=np.int32), (lanes << 4, 1))
+        self.groups = np.tile(np.arange(16, 257, 16, dtype=np.int32), (lanes, 1))
         self.last = np.zeros(lanes << 8, np.int32)
         self.hits = np.ones((lanes, 2))
         self.prev1 = np.zeros(lanes, np.int64)
@@ -82,10 +93,10 @@ class _Model:
         p1, p2 = self.prev1[:n], self.prev2[:n]
         self.i1 = self.at1[:n] + ((p1 * 40503 >> 4) & ((1 << _BITS1) - 1))
         self.i2 = self.at2[:n] + (((p1 * 40503) ^ (p2 * 60493)) >> 3 & ((1 << _BITS2) - 1))
-        self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
+        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
         self.id1, self.id2 = (self.e1 & 0x1FFFF) - 1, (self.e2 & 0x1FFFF) - 1
         self.c = self.at32[:n] + ((self.e2 >> 17) << 3) + ((self.e1 >> 17) << 1) + (self.id1 == self.id2)
-        seen, every = self.seen[self.c], self.all[:n]
+        seen, every = self.seen.take(self.c, axis=0), self.all[:n]
         weight = 4.0 / (every[:, 0] + every[:, 1] + every[:, 2])
         total = (_T - 64) / (seen[:, 0] + seen[:, 1] + seen[:, 2] + 4.0)
         self.f2 = 16 + np.floor((seen[:, 0] + every[:, 0] * weight) * total).astype(np.int64)
@@ -106,23 +117,28 @@ class _Model:
         flat[self.c * 3 + event] += 1.0
         self.all.reshape(-1)[np.arange(self.n) * 3 + event] += 1.0
 
-    def high_cum(self, lanes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(cumulative frequency, frequency, total) of high bytes."""
-        groups = np.cumsum(self.groups[lanes], axis=1)
-        row = self.high[(lanes << 4) + (h >> 4)]
-        inside = np.cumsum(row, axis=1)
-        pick = np.arange(len(lanes))
-        f = row[pick, h & 15]
-        return groups[pick, h >> 4] - self.groups[lanes, h >> 4] + inside[pick, h & 15] - f, f, groups[:, 15]
+    def high_total(self, lanes: np.ndarray) -> np.ndarray:
+        return self.groups.reshape(-1).take((lanes << 4) + 15)
+
+    def high_cum(self, lanes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cumulative frequency, frequency) of high bytes."""
+        at, flat = (lanes << 8) + h, self.high.reshape(-1)
+        top = flat.take(at)
+        bottom = np.where((h & 15) > 0, flat.take(at - 1), 0)
+        return self._before(lanes, h >> 4) + bottom, top - bottom
+
+    def _before(self, lanes: np.ndarray, g: np.ndarray) -> np.ndarray:
+        at = (lanes << 4) + g
+        return self.groups.reshape(-1).take(at) - self.high.reshape(-1).take((at << 4) + 15)
 
-    def high_find(self, lanes: np.ndarray, groups: np.ndarray, v: np.ndarray) -> np.ndarray:
-        g = (groups <= v[:, None]).sum(1)
-        v = v - groups[np.arange(len(lanes)), g] + self.groups[lanes, g]
-        return (g << 4) + (np.cumsum(self.high[(lanes << 4) + g], axis=1) <= v[:, None]).sum(1)
+    def high_find(self, lanes: np.ndarray, v: np.ndarray) -> np.ndarray:
+        g = _count(self.groups.take(lanes, axis=0) <= v[:, None])
+        v = v - self._before(lanes, g)
+        return (g << 4) + _count(self.high.take((lanes << 4) + g, axis=0) <= v[:, None])
 
     def high_learn(self, lanes: np.ndarray, h: np.ndarray) -> None:
-        self.high.reshape(-1)[(lanes << 8) + h] += 8
-        self.groups.reshape(-1)[(lanes << 4) + (h >> 4)] += 8
+        self.high[(lanes << 4) + (h >> 4)] += _STEP.take(h & 15, axis=0)
+        self.groups[lanes] += _STEP.take(h >> 4, axis=0)
 
     def low_width(self, lanes: np.ndarray) -> np.ndarray:
         """Width of each low byte's interval; what is left of the total is the event that order 0 holds."""
@@ -187,8 +203,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         if len(lanes):
             x = own[lanes]
             h = x >> 8
-            cum, f, total = model.high_cum(lanes, h)
-            code(lanes, cum, f, total.astype(_U64))
+            cum, f = model.high_cum(lanes, h)
+            code(lanes, cum, f, model.high_total(lanes).astype(_U64))
             model.high_learn(lanes, h)
             w = model.low_width(lanes)
             held = model.last[(lanes << 8) + h] == x + 1
@@ -245,10 +261,9 @@ def decode_blocks(coded: list[bytes], sizes_in: list[int]) -> list[np.ndarray]:
         own = np.where(event == 0, model.id2, model.id1).astype(np.int64)
         lanes = np.flatnonzero(event == 2)
         if len(lanes):
-            groups = np.cumsum(model.groups[lanes], axis=1)
-            part, v = find(lanes, groups[:, 15].astype(_U64))
-            h = model.high_find(lanes, groups, v)
-            cum, f, _ = model.high_cum(lanes, h)
+            part, v = find(lanes, model.high_total(lanes).astype(_U64))
+            h = model.high_find(lanes, v)
+            cum, f = model.high_cum(lanes, h)
             take(lanes, part, cum, f)
             model.high_learn(lanes, h)
             w = model.low_width(lanes)
