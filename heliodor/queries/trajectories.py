@@ -50,7 +50,7 @@ def no_match_streak(spark, sf_dir):
     return trajectory.streaks(steps, 3)
 
 
-_TOKENS = 't AS (SELECT user_id % 20 AS session, event_id AS step, CAST(epoch(ts) AS BIGINT) AS "at", CAST(json_extract(props, \'$.k\') AS BIGINT) * 3 AS tokens FROM events)'
+_TOKENS = 't AS (SELECT user_id % 20 AS session, event_id AS step, CAST(floor(epoch(ts)) AS BIGINT) AS "at", CAST(json_extract(props, \'$.k\') AS BIGINT) * 3 AS tokens FROM events)'
 
 
 def _tokens(spark, sf_dir):
