@@ -40,7 +40,7 @@ WIDTH, TUPLES = 3, 14
 PERCENT = 80
 #: Members of a family that a task compares with so many others.
 BLOCK = 1500
-SLICE = 4 << 20
+SLICE = 1 << 20
 _SEEDS = np.random.default_rng(6).integers(1, 2**63, 2 * TUPLES * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
@@ -85,7 +85,7 @@ def _slices(batch: pa.RecordBatch):
 
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, c1 and c2 (the class: a 128-bit digest of the set), keys (array<long>: collection A, then B)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
 
     def run(batches):
         for whole in batches:
@@ -183,7 +183,7 @@ def links(docs: DataFrame, family: DataFrame, block: int = BLOCK) -> DataFrame:
     # A member goes to each task (i, j) of its family in which its block is one of the two.
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
     chosen = docs.select("doc_id", "text").join(placed.withColumnRenamed("node", "doc_id").hint("shuffle_hash"), "doc_id")
-    small_batches(spark)
+    small_batches(spark, 500)
 
     def sets(batches):
         for whole in batches:
