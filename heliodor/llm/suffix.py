@@ -42,7 +42,8 @@ LENGTH, GRAM = 200, 48
 SAMPLED_ROWS, ANCHORS_A_ROW = 4000, 16
 #: Buckets for each shuffle partition.
 BUCKETS = 2
-BLOCK = 4 << 20
+#: Bytes of text that are looked at together (a longer text alone).
+BLOCK = 1 << 19
 
 
 class _Bytes:
