@@ -5,12 +5,16 @@ text gets the language whose dictionary compresses it to the fewest bytes; the
 gap to the second language, as a share of the largest size, is the score, and a
 text with a score under `margin` is rejected.
 
+A text is compressed in pieces of `PIECE` bytes, each of which begins anew from the
+dictionary, and its size is their sum: a long text would otherwise soon be its own
+dictionary, and the score would fall with its length.
+
 Dictionaries and texts are compressed as their lower-cased runs of letters, so that
 shouting, markup and numbers do not decide.
 
 Fitting reads a bounded sample: of each language the `per_lang` documents with
 the lowest hash of doc_id that are not held out, cut at `dict_bytes`. Nothing
-else is bounded, and whole texts are compressed.
+else is bounded, and all pieces of a text are compressed.
 
 Defined cases: a text that is null or has no letter is `und` with score 0 and
 is rejected; equal sizes go to the language first in byte order, with score 0;
@@ -31,6 +35,8 @@ from heliodor.llm.common import documents, small_batches
 
 #: Bounds of the sample that dictionaries are made of, and zstandard's level.
 PER_LANG, DICT_BYTES, LEVEL = 400, 110 << 10, 9
+#: Bytes of letters that are compressed from the dictionary at a time.
+PIECE = 8 << 10
 #: Texts whose score is lower are rejected.
 MARGIN = 0.01
 #: The most languages that a model can have; more is an error, so that the model's size is bounded.
@@ -94,7 +100,8 @@ def predict(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN, ke
                     score.append(0.0)
                     continue
                 content_of = letters_of(t)
-                sizes = [len(p.compress(content_of)) for p in packers]
+                pieces = [content_of[i : i + PIECE] for i in range(0, len(content_of), PIECE)]
+                sizes = [sum(len(p.compress(x)) for x in pieces) for p in packers]
                 low = min(sizes)
                 at = sizes.index(low)
                 second = min((s for i, s in enumerate(sizes) if i != at), default=max(low, 1) * 2)

@@ -129,6 +129,20 @@ def test_language_odd(spark, tmp_path):
     assert none.first().lang_pred == "und"
 
 
+def test_language_of_long_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text IS NOT NULL")
+    parts = docs.where(langid.held_out(docs.doc_id)).select("lang", "text").collect()
+    rows = []
+    for i, lang in enumerate(sorted({r.lang for r in parts if r.lang})):
+        text = "\n".join(r.text for r in parts if r.lang == lang)
+        text *= -(-2_000_000 // len(text))
+        rows += [(2 * i, text[:30_000], lang), (2 * i + 1, text[:2_000_000], lang)]
+    got = by_id(langid.predict(frame(spark, rows).repartition(2), langid.fit(docs)))
+    assert len(rows) == 8
+    assert all(got[d]["lang_pred"] == lang and not got[d]["rejected"] for d, _, lang in rows)
+    assert all(got[d + 1]["score"] > 0.5 * got[d]["score"] for d in range(0, 8, 2))
+
+
 def test_empty(spark, tmp_path):
     path = saved(spark, tmp_path, documents=frame(spark, []))
     assert [f(spark, path).count() for f in (tokenfile.op1_token_files, langid.op3_language_id, bpe.op5_byte_bpe)] == [0, 0, 0]
