@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from heliodor.llm import bpe, decontam, langid, neardup, pii
 from heliodor.llm.common import bounded, shared_dir
 
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE_WORDS = 5
 #: SQL expresses neither the first nor the last stage.
 ORACLE_SQL = None
 
@@ -28,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group; of rows that repeat a doc_id one stays."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text"))
+    found = neardup.near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS)
     gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     left = docs.join(bounded(gone), "doc_id", "left_anti")
     named = docs.where("doc_id IS NOT NULL").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("distinct")).first()

@@ -1,6 +1,7 @@
 """Operator 6: near-duplicates by MinHash with tensored banding, confirmed on full sets.
 
-A document's set is its distinct 2-word shingles. Equal sets are one class, which
+A document's set is its distinct shingles of `words` words: two in the query, and what
+a caller says. A text of fewer words is one shingle. Equal sets are one class, which
 its smallest doc_id represents. A representative has two collections of `TUPLES`
 keys, each key made of `WIDTH` minhashes; a table is a pair of one key of either
 collection, so TUPLES**2 tables of 2 * WIDTH minhashes each cost only
@@ -21,7 +22,7 @@ doc_id, and only members of families send their sets. A hot class is summed to o
 before it moves.
 
 Defined cases: a text without words, or null, has the empty set, is linked with nothing
-and is its own component; one word is one shingle; rows that repeat a doc_id are
+and is its own component; rows that repeat a doc_id are
 one document for links (each has its own n_shingles); a null doc_id has a null component and is not kept.
 Extra columns are ignored.
 """
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from heliodor.llm.common import documents, mix64, small_batches, table, text_buffer, word_hashes, word_spans
 
 WIDTH, TUPLES = 3, 14
+#: Words of a shingle in the query.
+WORDS = 2
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Members of a family that a task compares with so many others.
@@ -46,20 +49,30 @@ _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
 
 
+def _joined(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each place."""
+    if n == 1:
+        return mix64(words[at] ^ np.uint64(0x5851F42D4C957F2D))
+    out = words[at + n - 1]
+    for k in range(n - 2, -1, -1):
+        out = mix64(words[at + k] * np.uint64(0x9E3779B97F4A7C15) + mix64(out))
+    return out
+
+
 class _Sets:
     """Sorted distinct shingles of the texts of a batch: values flat, and where each text's begin."""
 
-    def __init__(self, batch: pa.RecordBatch):
+    def __init__(self, batch: pa.RecordBatch, n: int):
         raw, off = text_buffer(batch.column("text"))
         raw = _UPPER[raw]
         starts, ends, first = word_spans(raw, off)
         parts = [word_hashes(raw, starts[i : i + (1 << 18)], ends[i : i + (1 << 18)]) for i in range(0, len(starts), 1 << 18)]
         words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         text = np.repeat(np.arange(len(off) - 1), np.diff(first))
-        pair = np.flatnonzero(text[1:] == text[:-1])
-        alone = first[:-1][np.diff(first) == 1]
-        values = np.concatenate((mix64(words[pair] * np.uint64(0x9E3779B97F4A7C15) + mix64(words[pair + 1])), mix64(words[alone] ^ np.uint64(0x5851F42D4C957F2D))))
-        text = np.concatenate((text[pair], text[alone]))
+        full = np.flatnonzero(text[n - 1 :] == text[: max(len(text) - n + 1, 0)])
+        short = [first[:-1][np.diff(first) == k] for k in range(1, n)]
+        values = np.concatenate([_joined(words, full, n), *(_joined(words, at, k) for k, at in enumerate(short, 1))])
+        text = text[np.concatenate([full, *short])]
         order = np.lexsort((values, text))
         values, text = values[order], text[order]
         new = np.ones(len(values), bool)
@@ -83,14 +96,14 @@ def _slices(batch: pa.RecordBatch):
         begin = end
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, c1 and c2 (the class: a 128-bit digest of the set), keys (array<long>: collection A, then B)."""
     small_batches(docs.sparkSession, 1000)
 
     def run(batches):
         for whole in batches:
             for batch in _slices(whole):
-                s = _Sets(batch)
+                s = _Sets(batch, words)
                 has = s.size > 0
                 low = s.lowest()
                 keys = np.zeros((2 * TUPLES, low.shape[1]), np.uint64)
@@ -175,7 +188,7 @@ def compare(ids: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent:
     return out
 
 
-def links(docs: DataFrame, family: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, family: DataFrame, block: int = BLOCK, words: int = WORDS) -> DataFrame:
     """a, b: confirmed links that connect the members of each family."""
     spark = docs.sparkSession
     sizes = family.groupBy("label").agg(F.count("*").alias("size"))
@@ -188,7 +201,7 @@ def links(docs: DataFrame, family: DataFrame, block: int = BLOCK) -> DataFrame:
     def sets(batches):
         for whole in batches:
             for batch in _slices(whole):
-                s = _Sets(batch)
+                s = _Sets(batch, words)
                 held = s.values.tobytes()
                 first = (s.first * 8).tolist()
                 yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "label", "blocks", "block")} | {"shingles": pa.array([held[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())})
@@ -219,14 +232,14 @@ def links(docs: DataFrame, family: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(confirm, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs."""
-    signed = table(signatures(docs), "signatures")
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs, by shingles of so many words."""
+    signed = table(signatures(docs, words), "signatures")
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = table(filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = filled.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "keys")
     family = families(reps)
-    confirmed = table(links(docs, family), "links")
+    confirmed = table(links(docs, family, words=words), "links")
     label = components(confirmed, "components")
     named = classes.join(label, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("label", "rep").alias("component"))
     out = signed.join(named, ["c1", "c2"], "left")

@@ -32,6 +32,27 @@ def brute(texts):
     return {d: (len(sets[d]), root(d), root(d) == d) for d in ids}
 
 
+def wide_brute(texts, width):
+    sets = {}
+    for doc, t in texts.items():
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        sets[doc] = {tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set()
+    label = {d: d for d in sets}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in enumerate(ids := sorted(sets)):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    return {d: (len(sets[d]), root(d), root(d) == d) for d in ids}
+
+
 def near_corpus(n=160, seed=1):
     rnd = random.Random(seed)
     words = [f"W{i}" for i in range(400)]
@@ -80,3 +101,17 @@ def test_empty_and_repeated(spark, tmp_path):
     rows = [(1, "a b c d", None), (1, "a b c d", None), (None, "a b c d", None), (2, "A B C D", None)]
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.op6_near_duplicates(spark, saved(spark, tmp_path / "r", documents=frame(spark, rows))).collect()), key=str)
     assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (None, None, False)]
+
+
+def test_pipeline_stage_takes_five_words(spark, tiny):
+    import corpus_pipeline
+
+    short = [(n, " ".join("abcdef"[:k]), None) for n, k in enumerate([1, 2, 3, 4, 5, 6, 4, 3, 2], 5000)]
+    docs = frame(spark, near_corpus() + short).unionByName(spark.read.parquet(f"{tiny}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text", "lang"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = wide_brute(texts, 5)
+    got = by_id(neardup.near_duplicates(docs, 5))
+    assert {d: (g["n_shingles"], g["component_id"], g["kept"]) for d, g in got.items()} == want
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, tiny).collect()}
+    assert kept == {d for d, w in want.items() if w[2]}
+    assert len(kept) > sum(w[2] for w in brute(texts).values()) + 5
