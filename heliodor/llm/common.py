@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch; with maxBytesPerBatch it bounds a Python worker's memory.
@@ -60,6 +60,22 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(made) if made.limit(rows + 1).count() <= rows else made
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame | None:
+    """docs with a unique long `name` for each row, or None if doc_id is one already.
+
+    Of the rows of a doc_id the one with the smallest text has doc_id; its other rows, and rows
+    without one, have numbers above all doc_ids. What is returned is a table."""
+    ids = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("distinct"), F.max("doc_id").alias("top")).first()
+    if ids["n"] == ids["distinct"]:
+        return None
+    again = bounded(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    alone = docs.join(again, "doc_id", "left_anti").withColumn("__nth", F.when(F.col("doc_id").isNotNull(), 1).otherwise(2))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    rows = alone.unionByName(docs.join(again, "doc_id", "left_semi").withColumn("__nth", order))
+    spare = F.lit(-1 if ids["top"] is None else ids["top"]) + 1 + F.monotonically_increasing_id()
+    return table(rows.withColumn(name, F.when(F.col("__nth") == 1, F.col("doc_id")).otherwise(spare)).drop("__nth"), "numbered")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, even where body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -23,7 +23,7 @@ before it moves.
 
 Defined cases: a text without words, or null, has the empty set, is linked with nothing
 and is its own component; rows that repeat a doc_id are
-one document for links (each has its own n_shingles); a null doc_id has a null component and is not kept.
+one document, which is linked with what any of its texts is linked with (each has its own n_shingles); a null doc_id has a null component and is not kept.
 Extra columns are ignored.
 """
 
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import documents, mix64, small_batches, table, text_buffer, word_hashes, word_spans
+from heliodor.llm.common import documents, mix64, numbered, small_batches, table, text_buffer, word_hashes, word_spans
 
 WIDTH, TUPLES = 3, 14
 #: Words of a shingle in the query.
@@ -232,19 +232,41 @@ def links(docs: DataFrame, family: DataFrame, block: int = BLOCK, words: int = W
     return dealt.mapInArrow(confirm, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs, by shingles of so many words."""
+def _grouped(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs, in which a doc_id has one row."""
     signed = table(signatures(docs, words), "signatures")
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = table(filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = filled.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "keys")
+    reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "keys")
     family = families(reps)
     confirmed = table(links(docs, family, words=words), "links")
     label = components(confirmed, "components")
     named = classes.join(label, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("label", "rep").alias("component"))
     out = signed.join(named, ["c1", "c2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def _by_rows(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """What _grouped returns where rows repeat a doc_id: each of `rows` (numbered) is grouped by itself, and the groups of one doc_id are joined."""
+    nameless = docs.where("doc_id IS NULL").select("doc_id", "text")
+    apart = _grouped(rows.select(F.col("row").alias("doc_id"), "text").unionByName(nameless), words).withColumnRenamed("doc_id", "row")
+    found = table(apart.join(rows.select("row", "doc_id"), "row", "left").select("doc_id", "n_shingles", F.col("component_id").alias("part")), "apart")
+    filled = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    parts = filled.select("doc_id", "part").distinct()
+    ties = parts.join(parts.groupBy("doc_id").agg(F.min("part").alias("a")), "doc_id").where("part <> a").select("a", F.col("part").alias("b"))
+    tied = components(ties, "tied").select(F.col("node").alias("part"), "label")
+    whole = lambda df: df.join(tied, "part", "left").withColumn("part", F.coalesce("label", "part")).drop("label")
+    least = whole(filled).groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    out = whole(found).join(least, "part", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs, by shingles of so many words."""
+    rows = numbered(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), "row")
+    out = _grouped(docs, words) if rows is None else _by_rows(docs, rows, words)
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,3 +115,12 @@ def test_pipeline_stage_takes_five_words(spark, tiny):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, tiny).collect()}
     assert kept == {d for d, w in want.items() if w[2]}
     assert len(kept) > sum(w[2] for w in brute(texts).values()) + 5
+
+
+def test_repeated_ids_keep_all_links(spark):
+    a, b, c = ("alpha one two three four five", "beta six seven eight nine ten", "gamma p q r s t")
+    rows = [(5, a, None), (5, b, None), (7, b, None), (3, c, None), (8, a + " x", None), (8, "", None), (9, a, None), (6, "other words", None), (6, "words of another", None), (None, a, None), (12, c, None)]
+    for parts in (1, 3):
+        got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows).repartition(parts)).collect()), key=str)
+        want = [(5, 5, True), (5, 5, True), (7, 5, False), (3, 3, True), (8, 5, False), (8, 8, True), (9, 5, False), (6, 6, True), (6, 6, True), (None, None, False), (12, 3, False)]
+        assert got == sorted(want, key=str)
