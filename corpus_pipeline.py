@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All stages but the last return the
-columns of docs. A stage drops or changes only what its operator decided on; rows
-without a doc_id can't be named by a decision on ids, so those decisions leave them.
+columns of docs. A stage drops or changes only what its operator decided on. Rows
+without a doc_id and rows that repeat one are numbered, and each is judged by itself.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliodor.llm import bpe, decontam, langid, neardup, pii
-from heliodor.llm.common import bounded, shared_dir
+from heliodor.llm.common import bounded, numbered, shared_dir
 
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE_WORDS = 5
@@ -28,21 +28,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(~F.col("rejected")).select(*docs.columns)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with a unique `__row`: doc_id, where rows don't lack or repeat it."""
+    rows = numbered(docs, "__row")
+    return docs.withColumn("__row", F.col("doc_id")) if rows is None else rows
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group; of rows that repeat a doc_id one stays."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS)
-    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    left = docs.join(bounded(gone), "doc_id", "left_anti")
-    named = docs.where("doc_id IS NOT NULL").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("distinct")).first()
-    if named["n"] != named["distinct"]:
-        left = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
-    return left.select(*docs.columns)
+    """Keep one row of each group."""
+    rows = _rows(docs)
+    found = neardup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), SHINGLE_WORDS)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__row"))
+    return rows.join(bounded(gone), "__row", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
-    found = decontam.contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(bounded(found.where("contaminated").select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    rows = _rows(docs)
+    found = decontam.contamination(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(bounded(found.where("contaminated").select(F.col("doc_id").alias("__row"))), "__row", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

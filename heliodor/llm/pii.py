@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import bounded, documents, let, table
+from heliodor.llm.common import bounded, documents, let, numbered, table
 
 KINDS = ("email", "ip", "card", "phone", "id")
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -156,8 +156,10 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """docs with each span in text replaced by its kind in brackets; needs unique doc_id. Other columns stay."""
-    spans = find(docs.select("doc_id", "text")).select("doc_id", F.array_sort(F.transform("all", lambda s: F.struct(s["start"], s["end"], s["kind"]))).alias("__spans")).where(F.size("__spans") > 0)
+    """docs with each span in text replaced by its kind in brackets. Other columns stay; rows without a doc_id, and rows that repeat one, are masked by their own spans."""
+    rows = numbered(docs, "__row")
+    rows = docs.withColumn("__row", F.col("doc_id")) if rows is None else rows
+    spans = find(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), F.array_sort(F.transform("all", lambda s: F.struct(s["start"], s["end"], s["kind"]))).alias("__spans")).where(F.size("__spans") > 0)
 
     def masked(s: Column) -> Column:
         # Spans of two kinds may overlap: a piece begins where all before it have ended.
@@ -166,7 +168,7 @@ def mask(docs: DataFrame) -> DataFrame:
         step = lambda a, x: F.when(x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"))).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out")))
         return F.aggregate(s, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 
-    joined = docs.join(bounded(spans, 100_000), "doc_id", "left")
+    joined = rows.join(bounded(spans, 100_000), "__row", "left")
     return joined.withColumn("text", F.when(F.col("__spans").isNotNull(), masked(F.col("__spans"))).otherwise(F.col("text"))).select(*docs.columns)
 
 

@@ -170,3 +170,17 @@ def test_pipeline(spark, tmp_path, reference):
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, source).collect()}
     assert {d: i for d, i in got.items()} == want
     assert re.match("language", corpus_pipeline.STAGES[0][0])
+
+
+def test_pipeline_judges_rows_without_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "a passage of the benchmark that holds more than ten words in a row"
+    path = saved(spark, tmp_path, benchmark=spark.createDataFrame([(1, item)], "item_id long, text string"))
+    texts = [(None, "write to a.b@c.org now"), (None, f"before {item} after"), (None, "a text of its own kind"), (3, "a text of its own kind"), (5, "first words of five"), (5, "mail x@y.org for other words"), (5, f"again {item} again"), (5, "first words of five"), (7, "seven")]
+    docs = frame(spark, [(d, t, len(t)) for d, t in texts], "doc_id long, text string, n_chars long")
+    for k, stage in enumerate([corpus_pipeline.near_duplicates, corpus_pipeline.decontaminate, corpus_pipeline.personal_data]):
+        stage(spark, docs, path).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    left = [(None, "write to [EMAIL] now"), (3, "a text of its own kind"), (5, "first words of five"), (5, "mail [EMAIL] for other words"), (7, "seven")]
+    assert sorted(((r.doc_id, r.text, r.n_chars) for r in docs.collect()), key=str) == sorted(((d, t, len(t)) for d, t in left), key=str)
