@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import _BYTE, documents, mix64, small_batches, text_buffer
+from heliodor.llm.common import _BYTE, documents, mix64, small_batches, table, text_buffer
 from heliodor.llm.seeds import Spans, combine_shared, shared_keys, window_runs, with_lists
 
 LENGTH, GRAM = 200, 48
@@ -160,8 +160,21 @@ def _splitters(docs: DataFrame, length: int, gram: int, buckets: int) -> list[by
     return sorted(set(cuts))
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where rows without a doc_id have numbers above all doc_ids."""
+    docs = docs.select("doc_id", "text")
+    if not docs.where("doc_id IS NULL").limit(1).count():
+        return docs
+    top = docs.agg(F.max("doc_id")).first()[0]
+    spare = F.lit(-1 if top is None else top) + 1 + F.monotonically_increasing_id()
+    return table(docs.select(F.coalesce("doc_id", spare).alias("doc_id"), "text"), "identified")
+
+
 def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc, spans (array<struct<start, stop>>): bytes of each document that lie in repeated strings; spans may overlap."""
+    """doc, spans (array<struct<start, stop>>): bytes of each document that lie in repeated strings; spans may overlap.
+
+    Rows without a doc_id have numbers of their own above all doc_ids."""
+    docs = _identified(docs)
     spark = docs.sparkSession
     small_batches(spark, 2000)
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -107,3 +107,15 @@ def test_empty_and_repeated_rows(spark, tmp_path):
     twice = saved(spark, tmp_path / "twice", documents=frame(spark, [(1, text, None), (1, text, None), (None, text, None), (2, text, None)]))
     assert [r.n_removed for r in suffix.op4_suffix_dedup(spark, twice).where("doc_id IS NOT NULL").collect()] == [len(text)] * 3
     assert sorted((r.doc_id or 0, r.n_removed) for r in substring.op9_substring_dedup(spark, twice).collect()) == [(0, 0), (1, 0), (1, 0), (2, 200)]
+
+
+def test_strings_shared_with_a_row_without_an_id(spark):
+    import random
+
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    shared, twice = word(200), word(230)
+    rows = [(1, word(300) + shared + word(300), None), (None, word(50) + shared + word(70), None), (None, twice + word(40), None), (None, word(95) + twice, None), (2, word(400), None)]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix.remove_repeats(frame(spark, rows).repartition(2)).collect()}
+    assert got[1, 800] == 200 and got[2, 400] == 0
+    assert all(n == 0 for (doc, _), n in got.items() if doc is None) and len(got) == 5
