@@ -71,26 +71,19 @@ def rouge2(spark, sf_dir):
     return _rouge(spark, sf_dir, 2)
 
 
-def _items(spark, sf_dir):
-    """Each benchmark item against the next one."""
-    items = load(spark, sf_dir, "benchmark")
-    n = items.agg(F.count("*").alias("n"))
-    return items.crossJoin(F.broadcast(n)).select("item_id", F.col("text").alias("answer"), ((F.col("item_id") + 1) % F.col("n")).alias("other")).join(items.select(F.col("item_id").alias("other"), F.col("text").alias("truth")), "other").drop("other")
-
-
 @query()
 def rouge_stemmed(spark, sf_dir):
-    return _items(spark, sf_dir).select("item_id", metrics.rouge(F.col("answer"), F.col("truth")).alias("m")).select("item_id", "m.*")
+    return _pairs(spark, sf_dir).select("doc_id", metrics.rouge(F.col("answer"), F.col("truth")).alias("m")).select("doc_id", "m.*")
 
 
 @query()
 def bleu4(spark, sf_dir):
-    return _items(spark, sf_dir).select("item_id", metrics.bleu(F.col("answer"), F.col("truth")).alias("m")).select("item_id", "m.*")
+    return _pairs(spark, sf_dir).select("doc_id", metrics.bleu(F.col("answer"), F.col("truth")).alias("m")).select("doc_id", "m.*")
 
 
 @query()
 def porter_stems(spark, sf_dir):
-    return load(spark, sf_dir, "benchmark").select("item_id", text.stems(text.words(F.col("text"))).alias("stems"))
+    return load(spark, sf_dir, "documents").select("doc_id", text.stems(text.words(F.col("text"))).alias("stems"))
 
 
 _FTS = "list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '\\b([aA][nN][dD]|[oO][rR]|[nN][oO][tT]|[nN][eE][aA][rR])\\b', ' ', 'g'), '[\"*+(){{}}^~:-]', ' ', 'g'), '\\s+'), lambda t: t <> '' AND lower(t) NOT IN ({0}))".format(", ".join(f"'{w}'" for w in text.STOP_WORDS))

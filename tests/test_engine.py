@@ -224,3 +224,25 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_string_metrics_see_documents(spark, tiny):
+    from heliodor.operators import metrics
+    from heliodor.queries import strings
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    items = {r.item_id: r.text or "" for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()}
+    rouge, bleu, stems = ({r.doc_id: r for r in f(spark, tiny).collect()} for f in (strings.rouge_stemmed, strings.bleu4, strings.porter_stems))
+    assert set(rouge) == set(bleu) == {d for d in docs if d % len(items) in items} and set(stems) == set(docs)
+    for d in rouge:
+        a, b = (metrics.rouge_tokens(t) for t in (docs[d], items[d % len(items)]))
+        best = {-1: 0}  # the longest common subsequence that ends in each place of b
+        for x in a:
+            seen = 0
+            for j, y in enumerate(b):
+                here = best.get(j, 0)
+                if x == y:
+                    best[j] = max(here, seen + 1)
+                seen = max(seen, here)
+        assert abs(rouge[d].rougeL_r - (max(best.values()) / len(b) if b else 0.0)) < 1e-9
+        assert 0 <= bleu[d].bleu <= 1
