@@ -22,13 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from heliodor.llm.common import documents, small_batches, text_buffer, word_hashes
+from heliodor.llm.common import Memo, PartHashes, documents, slices, text_buffer
 
 NO_RANK = np.int32(2**31 - 1)
-#: Distinct pre-tokens that a worker remembers; beyond it the memory is emptied (results stay the same).
-REMEMBERED = 1_000_000
-#: Texts that are encoded together, in bytes, and pre-tokens that are hashed together.
-BLOCK_BYTES, HASHED = 12 << 20, 1 << 18
+#: Bytes of text that are encoded together (a longer text alone).
+BLOCK_BYTES = 1 << 20
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
 #: Fixed value: the pre-token pattern of the vocabulary, which split() implements by classes of signs.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -95,7 +93,7 @@ class BytePairEncoder:
         for kind, sign in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
             for run in regex.finditer(sign, every):
                 self.kinds[ord(run[0][0]) : ord(run[0][-1]) + 1] = kind
-        self.forget()
+        self.memo = Memo()
         self.n = max(self.ranks.values()) + 1
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         left, right, rank = [], [], []
@@ -252,16 +250,10 @@ class BytePairEncoder:
 
     def _ids_of(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pre-tokens, and how many each has. Each distinct one is encoded once and remembered."""
-        hashes = np.empty(len(starts), np.uint64)
-        for i in range(0, len(starts), HASHED):
-            part = slice(i, i + HASHED)
-            hashes[part] = word_hashes(raw, starts[part], ends[part])
-        distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.seen, distinct), max(len(self.seen) - 1, 0))
-        fresh = np.flatnonzero(self.seen[place] != distinct) if len(self.seen) else np.arange(len(distinct))
-        if len(fresh):
+
+        def fresh(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             held = raw.tobytes()
-            pieces = [held[a:b] for a, b in zip(starts[where[fresh]].tolist(), ends[where[fresh]].tolist(), strict=True)]
+            pieces = [held[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
             whole = [self.ranks.get(p) for p in pieces]
             ids, counts = self.encode_pieces([p if w is None else b"" for p, w in zip(pieces, whole, strict=True)])
             single = np.array([-1 if w is None else w for w in whole], np.int32)
@@ -269,30 +261,17 @@ class BytePairEncoder:
             counts = np.where(single >= 0, 1, counts)
             alone = np.repeat(single >= 0, counts)
             flat[alone], flat[~alone] = single[single >= 0], ids
-            if len(self.seen) > REMEMBERED:  # what this block needs is encoded again
-                self.forget()
-                return self._ids_of(raw, starts, ends)
-            order = np.argsort(all_seen := np.concatenate((self.seen, distinct[fresh])), kind="stable")
-            self.seen = all_seen[order]
-            self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(counts) - counts))[order]
-            self.count = np.concatenate((self.count, counts))[order]
-            self.flat = np.concatenate((self.flat, flat))
-            place = np.searchsorted(self.seen, distinct)
-        begin, count = self.begin[place][inverse], self.count[place][inverse]
-        return self.flat[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(int(count.sum()))], count
-
-    def forget(self) -> None:
-        self.seen, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def encode(self, raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-        """The ids of each of the texts raw[off[i]:off[i + 1]]."""
+            return flat, counts
+
+        return self.memo.ids_of(PartHashes(raw).of(starts, ends), fresh)
+
+    def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts raw[off[i]:off[i + 1]] in one array, and where each text's begin."""
         if not len(raw):
-            return [np.zeros(0, np.int32)] * (len(off) - 1)
+            return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         starts, first = self.split(raw, off)
         ids, count = self._ids_of(raw, starts, np.append(starts[1:], len(raw)))
-        cuts = np.append(0, np.cumsum(count))[first]
-        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return ids, np.append(0, np.cumsum(count))[first]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -307,40 +286,27 @@ def encoder(path: str, pattern: str) -> BytePairEncoder:
     return _ENCODERS[path, pattern]
 
 
-def blocks(off: np.ndarray, most: int):
-    """Ranges of texts with at most so many bytes, one text at least."""
-    begin = 0
-    while begin < len(off) - 1:
-        end = max(begin + 1, int(np.searchsorted(off, off[begin] + most, "right")) - 1)
-        yield begin, end
-        begin = end
-
-
 def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids as array<int>.
 
     A map over the texts: nothing is shuffled. Other columns of docs are ignored."""
-    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def run(batches):
         bpe = encoder(path, pattern)
         said = bpe.said
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, BLOCK_BYTES)):
             raw, off = text_buffer(batch.column("text"))
-            doc_id = batch.column("doc_id").cast(pa.int64())
-            for begin, end in blocks(off, BLOCK_BYTES):
-                ids = bpe.encode(raw[off[begin] : off[end]], off[begin : end + 1] - off[begin])
-                lists = [x.tolist() for x in ids]
-                out = {
-                    "doc_id": doc_id.slice(begin, end - begin),
-                    "n_tokens": pa.array([len(x) for x in lists], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(" ".join(map(said.__getitem__, x)).encode()).hexdigest() for x in lists], pa.string()),
-                    "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in lists], pa.string()),
-                }
-                if keep_ids:
-                    out["ids"] = pa.array(ids, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_pydict(out)
+            ids, cuts = bpe.encode(raw, off)
+            digests, decoded = [], []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # one text at a time is a list of Python numbers
+                own = ids[a:b].tolist()
+                digests.append(hashlib.sha256(" ".join(map(said.__getitem__, own)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(bpe.decode(own)).hexdigest())
+            out = {"doc_id": batch.column("doc_id").cast(pa.int64()), "n_tokens": pa.array(np.diff(cuts), pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+            if keep_ids:
+                out["ids"] = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_pydict(out)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

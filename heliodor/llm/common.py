@@ -10,25 +10,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; with maxBytesPerBatch it bounds a Python worker's memory.
-ARROW_ROWS = 4000
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what a Python worker holds at once; results do not depend on it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share: what spark.checkpoint.dir names, or the warehouse.
+
+    Only a session that runs in this process alone, as in tests, gets a temporary folder of this machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="heliodor-")
+        local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        named = tempfile.mkdtemp(prefix="heliodor-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_heliodor"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
@@ -99,6 +93,16 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def slices(batch: pa.RecordBatch, most: int):
+    """Parts of a batch with at most so many bytes of text, one row at least, so that what a worker holds does not follow the batch's size."""
+    _, off = text_buffer(batch.column("text"))
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(off, off[begin] + most, "right")) - 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -141,13 +145,65 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word: random byte values times powers of an odd base, then mixed."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = ends - starts
-    pw = powers(int(n.max()))
-    first = np.cumsum(n) - n
-    at = np.arange(int(n.sum())) - np.repeat(first, n)
-    value = _BYTE[raw[np.repeat(starts, n) + at]] * pw[at]
-    return mix64(np.add.reduceat(value, first) + n.astype(np.uint64))
+class PartHashes:
+    """64-bit hashes of any parts of a byte buffer, by prefix sums modulo 2**64 of random byte values times powers of an odd base."""
+
+    _up = _down = np.ones(1, np.uint64)
+
+    def __init__(self, raw: np.ndarray):
+        cls = type(self)
+        if len(cls._up) <= len(raw):
+            n = max(len(raw) + 1, 2 * len(cls._up))
+            cls._up, cls._down = powers(n), powers(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        value = _BYTE[raw]
+        value *= cls._up[: len(raw)]
+        np.cumsum(value, out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = self.sums[ends]
+        out -= self.sums[starts]
+        out *= type(self)._down[starts]
+        out += (ends - starts).astype(np.uint64)
+        return mix64(out)
+
+
+class Memo:
+    """What a worker remembers of the ids of words: a direct-mapped cache of fixed size, so what it forgets changes no result."""
+
+    def __init__(self, bits: int = 20, most_ids: int = 4 << 20):
+        self.bits, self.most = bits, most_ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.keys[0] = np.uint64((1 << 64) - 1)  # no slot holds at first what belongs in it
+        self.begin, self.count = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _append(self, ids: np.ndarray) -> int:
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.flat):
+            self.flat = np.concatenate((self.flat[:at], np.zeros(2 * self.used - at, np.int32)))
+        self.flat[at : self.used] = ids
+        return at
+
+    def ids_of(self, hashes: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in one array, and how many each has; encode(places) gives both for the words at some places."""
+        if self.used > self.most:
+            self.forget()
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        begin, count = self.begin[slot], self.count[slot]
+        new = np.flatnonzero(self.keys[slot] != hashes)
+        if len(new):
+            distinct, where, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
+            ids, sizes = encode(new[where])
+            sizes = sizes.astype(np.int32)
+            starts = (self._append(ids) + np.cumsum(sizes) - sizes).astype(np.int32)
+            begin[new], count[new] = starts[inverse], sizes[inverse]
+            put = slot[new[where]]
+            self.keys[put], self.begin[put], self.count[put] = distinct, starts, sizes
+        ends = np.cumsum(count, dtype=np.int64)
+        index = np.repeat(begin - (ends - count), count)
+        index += np.arange(len(index))
+        return self.flat[index], count

@@ -31,12 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import documents, small_batches
+from heliodor.llm.common import documents, slices
 
 #: Bounds of the sample that dictionaries are made of, and zstandard's level.
 PER_LANG, DICT_BYTES, LEVEL = 400, 110 << 10, 9
 #: Bytes of letters that are compressed from the dictionary at a time.
 PIECE = 8 << 10
+#: Bytes of text that a worker holds as strings at a time (a longer text alone).
+SLICE = 1 << 20
 #: Texts whose score is lower are rejected.
 MARGIN = 0.01
 #: The most languages that a model can have; more is an error, so that the model's size is bounded.
@@ -76,7 +78,6 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, dict_bytes: int = DICT_BYTES)
 
 def predict(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (doc_id by default), then lang_pred, score and rejected."""
-    small_batches(docs.sparkSession, 1000)
     keep = ["doc_id"] if keep is None else keep
     content = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
@@ -90,7 +91,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN, ke
         for d in made:
             d.precompute_compress(level=LEVEL)
         packers = [zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False) for d in made]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, SLICE)):
             text = batch.column("text")
             letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_pylist()
             best, score = [], []

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import documents, mix64, numbered, small_batches, table, text_buffer, word_hashes, word_spans
+from heliodor.llm.common import PartHashes, documents, mix64, numbered, slices, table, text_buffer, word_spans
 
 WIDTH, TUPLES = 3, 14
 #: Words of a shingle in the query.
@@ -66,8 +66,7 @@ class _Sets:
         raw, off = text_buffer(batch.column("text"))
         raw = _UPPER[raw]
         starts, ends, first = word_spans(raw, off)
-        parts = [word_hashes(raw, starts[i : i + (1 << 18)], ends[i : i + (1 << 18)]) for i in range(0, len(starts), 1 << 18)]
-        words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        words = PartHashes(raw).of(starts, ends)
         text = np.repeat(np.arange(len(off) - 1), np.diff(first))
         full = np.flatnonzero(text[n - 1 :] == text[: max(len(text) - n + 1, 0)])
         short = [first[:-1][np.diff(first) == k] for k in range(1, n)]
@@ -87,22 +86,12 @@ class _Sets:
         return np.stack([np.minimum.reduceat(self.values * s, heads) for s in _SEEDS]) if len(heads) else np.zeros((len(_SEEDS), 0), np.uint64)
 
 
-def _slices(batch: pa.RecordBatch):
-    _, off = text_buffer(batch.column("text"))
-    begin = 0
-    while begin < batch.num_rows:
-        end = max(begin + 1, int(np.searchsorted(off, off[begin] + SLICE, "right")) - 1)
-        yield batch.slice(begin, end - begin)
-        begin = end
-
-
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, c1 and c2 (the class: a 128-bit digest of the set), keys (array<long>: collection A, then B)."""
-    small_batches(docs.sparkSession, 1000)
 
     def run(batches):
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole, SLICE):
                 s = _Sets(batch, words)
                 has = s.size > 0
                 low = s.lowest()
@@ -196,11 +185,10 @@ def links(docs: DataFrame, family: DataFrame, block: int = BLOCK, words: int = W
     # A member goes to each task (i, j) of its family in which its block is one of the two.
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("block")).alias("i"), F.greatest(i, F.col("block")).alias("j")))
     chosen = docs.select("doc_id", "text").join(placed.withColumnRenamed("node", "doc_id").hint("shuffle_hash"), "doc_id")
-    small_batches(spark, 500)
 
     def sets(batches):
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole, SLICE):
                 s = _Sets(batch, words)
                 held = s.values.tobytes()
                 first = (s.first * 8).tolist()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import documents, mix64, small_batches, text_buffer, word_hashes, word_spans
+from heliodor.llm.common import PartHashes, documents, mix64, slices, text_buffer, word_spans
 from heliodor.llm.seeds import Spans, combine_shared, shared_keys, window_runs, with_lists
 
 WINDOW, GRAM = 13, 6
@@ -42,8 +42,7 @@ class _Words:
         self.doc = batch.column("doc_id")
         self.window = window
         self.starts, self.ends, self.first = word_spans(self.raw, off)
-        hashes = [word_hashes(self.raw, self.starts[i : i + (1 << 18)], self.ends[i : i + (1 << 18)]) for i in range(0, len(self.starts), 1 << 18)]
-        self.spans = Spans(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64))
+        self.spans = Spans(PartHashes(self.raw).of(self.starts, self.ends))
         n = len(self.starts) - gram + 1
         at = np.arange(max(n, 0))
         self.grams = self.spans.hash(at, at + gram)
@@ -59,22 +58,12 @@ class _Words:
         return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + low[run], run
 
 
-def _slices(batch: pa.RecordBatch):
-    _, off = text_buffer(batch.column("text"))
-    begin = 0
-    while begin < batch.num_rows:
-        end = max(begin + 1, int(np.searchsorted(off, off[begin] + BLOCK, "right")) - 1)
-        yield batch.slice(begin, end - begin)
-        begin = end
-
-
 def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc, repeats (array<long>): hashes of the windows of a document that start in one with a smaller doc_id."""
-    small_batches(docs.sparkSession)
 
     def seeds(batches):
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole, BLOCK):
                 w = _Words(batch, window, gram)
                 known = w.doc.is_valid().to_numpy(zero_copy_only=False)[w.text]
                 key, doc = w.grams[w.anchor][known], w.ids()[w.text][known]
@@ -83,7 +72,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 
     def extend(batches):
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole, BLOCK):
                 batch = batch.filter(batch.column("keys").is_valid())
                 if not batch.num_rows:
                     continue
@@ -133,7 +122,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
 
     def strip(batches):
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole, BLOCK):
                 w = _Words(batch, window, gram)
                 lists = batch.column("repeats")
                 gone = np.zeros(len(w.starts) + 1, np.int32)

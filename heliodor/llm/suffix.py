@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import _BYTE, documents, mix64, small_batches, table, text_buffer
+from heliodor.llm.common import _BYTE, documents, mix64, slices, table, text_buffer
 from heliodor.llm.seeds import Spans, combine_shared, shared_keys, window_runs, with_lists
 
 LENGTH, GRAM = 200, 48
@@ -58,15 +58,6 @@ class _Bytes:
         self.ids = batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
 
-def _slices(batch: pa.RecordBatch):
-    _, off = text_buffer(batch.column("text"))
-    begin = 0
-    while begin < batch.num_rows:
-        end = max(begin + 1, int(np.searchsorted(off, off[begin] + BLOCK, "right")) - 1)
-        yield batch.slice(begin, end - begin)
-        begin = end
-
-
 def multikey_order(rows: np.ndarray) -> np.ndarray:
     """Order of the byte strings in the rows of a matrix.
 
@@ -149,7 +140,7 @@ def _splitters(docs: DataFrame, length: int, gram: int, buckets: int) -> list[by
 
     def lead(batches):
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole, BLOCK):
                 b = _Bytes(batch, length, gram)
                 pick = np.sort(np.argsort(mix64(b.anchor.astype(np.uint64)), kind="stable")[: ANCHORS_A_ROW * batch.num_rows])
                 held = b.raw.tobytes()
@@ -176,13 +167,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     Rows without a doc_id have numbers of their own above all doc_ids."""
     docs = _identified(docs)
     spark = docs.sparkSession
-    small_batches(spark, 2000)
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     splitters = _splitters(docs, length, gram, buckets)
 
     def anchors(batches):
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole, BLOCK):
                 b = _Bytes(batch, length, gram)
                 key, doc = b.grams[b.anchor], b.ids[b.text]
                 rows, route, shared = combine_shared(key, doc, True)
@@ -192,7 +182,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         from bisect import bisect_right
 
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole, BLOCK):
                 batch = batch.filter(batch.column("keys").is_valid())
                 if not batch.num_rows:
                     continue
@@ -263,7 +253,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
 
     def strip(batches):
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in slices(whole, BLOCK):
                 raw, off = text_buffer(batch.column("text"))
                 lists = batch.column("spans")
                 sizes = lists.value_lengths().fill_null(0).to_numpy()

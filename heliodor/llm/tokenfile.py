@@ -1,15 +1,15 @@
 """Operator 1: token ids in a binary format, by an adaptive context-mixing range coder.
 
 Ids are cut into blocks of `BLOCK` ids. A block starts from an empty model, so it is
-decoded alone, and carries a checksum of its ids. The model predicts the next id
-from the last two ids (order 2), from the last one (order 1) and, once both are
-ruled out, from the id's high byte (order 0: the last id with that byte). An event
-says which prediction holds; its probabilities mix what this block has seen in the
-context (how well either order did when it was last here, and whether they
-agree) with what it has seen in all contexts. High bytes have adaptive
-frequencies. Everything is coded by one carry-less range coder with a 48-bit window.
-Arithmetic is on integers, or on doubles with + - * / and floor alone, so every
-machine decodes alike.
+decoded alone, and carries a checksum of its ids. Four events say what predicts the next id:
+order 2 (the id that last followed the two ids before), order 1 (the one that last followed
+the id before), order 0 (an id that the block has had, by its frequency so far; the
+frequencies are counted anew each time the block has doubled), or none of them (a new
+id, its high byte by a falling prior and its low bytes evenly). The event's probabilities mix what
+this block has seen in the context (how well either order did when it was last here, and
+whether they agree) with what it has seen in all contexts. Event and order-0 id
+are one symbol of a range coder with a 48-bit window. Arithmetic is on integers, or on
+doubles below 2**53 with + - * / and floor alone, so every machine decodes alike.
 
 All blocks of a task are coded in lockstep, one numpy lane a block.
 
@@ -27,7 +27,7 @@ nothing half-written.
 
 Defined cases: null text is the empty text (its end id alone); rows go by doc_id (null
 first), then text; repeated rows are documents of their own; extra columns are ignored.
-Ids up to 65,535 are supported; a larger one is an error.
+Ids up to 2**27 - 2 are supported, far beyond any vocabulary; a larger one is an error.
 """
 
 from __future__ import annotations
@@ -41,251 +41,413 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import documents, shared_dir, small_batches, text_buffer, word_hashes, word_spans
+from heliodor.llm.common import _SPACE, Memo, PartHashes, documents, shared_dir, text_buffer, word_spans
 
-MAGIC, VERSION = b"HTOK", 1
-BLOCK, SEGMENT = 4096, 1 << 20
+MAGIC, VERSION = b"HTOK", 2
+BLOCK, SEGMENT = 2048, 1 << 20
 #: Ids that a task codes in lockstep at most.
-LOCKSTEP = 12 << 20
-#: Distinct words that a worker remembers; beyond it the memory is emptied (results stay the same).
-REMEMBERED = 1_000_000
-_T = 1 << 15
-_BITS1, _BITS2 = 10, 12
-_U64 = np.uint64
-_LOW32 = _U64(0xFFFFFFFF)
+LOCKSTEP = 6 << 20
+#: Segments that a task decodes in lockstep at most.
+READ_TOGETHER = 6
+#: Bytes of text that are parted into words together (a longer text alone).
+TEXT_BLOCK = 1 << 20
+MOST_ID = (1 << 27) - 2
+_T = 1 << 16
+_BITS1, _BITS2 = 9, 10
+#: What each event has at least, of _T.
+_LEAST = 24
+#: Order-0 counts are taken anew at the first of these places and each time the block has doubled.
+_FIRST_COUNT = 64
+_ID = np.array((1 << 27) - 1, np.int32)
+
+
+def _const(value, kind=np.float64) -> np.ndarray:
+    """A number that numpy need not convert at each use."""
+    return np.array(value, kind)
+
+
+_ONE, _WINDOW, _WORD, _TOTAL = _const(1), _const(1 << 32), _const(1 << 16), _const(_T)
+_A_WORD, _A_WINDOW = _const(1 / (1 << 16)), _const(1 / (1 << 32))
+_UP4, _DOWN27, _DOWN29 = _const(4, np.int8), _const(27, np.int32), _const(29, np.int32)
+_CONTEXTS = 32
+#: How fast an event's shares move to what is seen, in one context and in all.
+_RATE, _RATE_ALL = 1 / 24, 1 / 48
+#: The share of the context's own estimate in the mixture.
+_OWN = 0.75
+#: Cumulative shares after events 0, 1 and 2, if the event (row) were sure.
+_SURE = np.array([[1, 1, 1], [0, 1, 1], [0, 0, 1], [0, 0, 0]], np.float64)
+_STEP, _STEP_ALL = _SURE * _RATE * _OWN, _SURE * _RATE_ALL * (1 - _OWN)
+_KEEP, _KEEP_ALL = _const(1 - _RATE), _const(1 - _RATE_ALL)
+
+
+def _first_shares() -> np.ndarray:
+    """Cumulative shares that each context begins with: the surer an order (0 no guess, 1 one, 2 one that held), the more."""
+    out = np.zeros((_CONTEXTS, 3))
+    for c in range(_CONTEXTS):
+        order2, order1 = (c >> 2) & 3, c & 3
+        p2 = (0.0, 0.25, 0.625, 0.625)[order2]
+        p1 = 0.0 if c & 16 else (1 - p2) * (0.0, 0.125, 0.375, 0.375)[order1]
+        out[c] = p2, p2 + p1, p2 + p1 + (1 - p2 - p1) * 0.625
+    return out
+
 
+_FIRST_SHARES = _first_shares()
 
-#: What a symbol's occurrence adds to the cumulative frequencies of its row.
-_STEP = np.where(np.arange(16)[None, :] >= np.arange(16)[:, None], 8, 0).astype(np.int32)
 
+def _prior() -> np.ndarray:
+    """Cumulative prior of the 256 high bytes of ids under 2**16, falling as 1 / (byte + 24), and of all longer ids, of _T."""
+    weight = np.cumsum((1 << 24) // (np.arange(256) + 24))
+    share = weight * (_T - 257 * 16) // weight[-1] + 16 * np.arange(1, 257)
+    return np.concatenate(([0], share, [_T])).astype(np.float64)
 
-def _count(hits: np.ndarray) -> np.ndarray:
-    """How many of the 16 flags of each row are set."""
-    words = np.ascontiguousarray(hits).view(_U64)
-    return (np.bitwise_count(words[:, 0]) + np.bitwise_count(words[:, 1])).astype(np.int64)
+
+_HIGH = _prior()
+_HIGH_OF = np.repeat(np.arange(257), np.diff(_HIGH).astype(np.int64))
+#: How the bits above the lowest byte of a longer id are coded: from which bit, and of how many values.
+_FAR = ((16, 1 << 12), (8, 1 << 8))
+#: Places of ids (their low 16 bits) in the tables of order 1, and parts of those of order 2.
+_AT1, _AT2, _BEFORE2 = (((np.arange(1 << 16) * k >> 4) & ((1 << bits) - 1)).astype(np.int32) for k, bits in ((40503, _BITS1), (60493, _BITS2), (52711, _BITS2)))
 
 
 class _Model:
-    """The adaptive model of a number of lanes."""
+    """The adaptive model of a number of lanes. Tables hold id + 1, and above it how sure it is."""
 
     def __init__(self, lanes: int):
-        self.n = lanes
         at = np.arange(lanes)
-        self.at1, self.at2, self.at32, self.at256 = at << _BITS1, at << _BITS2, at << 5, at << 8
-        self.t1 = np.zeros(lanes << _BITS1, np.int32)
-        self.t2 = np.zeros(lanes << _BITS2, np.int32)
-        self.seen = np.zeros((lanes << 5, 3))
-        self.all = np.ones((lanes, 3))
-        # Cumulative frequencies: of the 16 high bytes in each group, and of the 16 groups.
-        self.high = np.tile(np.arange(1, 17, dtype=np.int32), (lanes << 4, 1))
-        self.groups = np.tile(np.arange(16, 257, 16, dtype=np.int32), (lanes, 1))
-        self.last = np.zeros(lanes << 8, np.int32)
-        self.hits = np.ones((lanes, 2))
-        self.prev1 = np.zeros(lanes, np.int64)
-        self.prev2 = np.zeros(lanes, np.int64)
-
-    def shrink(self, lanes: int) -> None:
-        self.n = lanes
-
-    def look(self) -> None:
-        """Predictions of the next id and the frequencies of the event which one holds."""
-        n = self.n
-        p1, p2 = self.prev1[:n], self.prev2[:n]
-        self.i1 = self.at1[:n] + ((p1 * 40503 >> 4) & ((1 << _BITS1) - 1))
-        self.i2 = self.at2[:n] + (((p1 * 40503) ^ (p2 * 60493)) >> 3 & ((1 << _BITS2) - 1))
-        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.id1, self.id2 = (self.e1 & 0x1FFFF) - 1, (self.e2 & 0x1FFFF) - 1
-        self.c = self.at32[:n] + ((self.e2 >> 17) << 3) + ((self.e1 >> 17) << 1) + (self.id1 == self.id2)
-        seen, every = self.seen.take(self.c, axis=0), self.all[:n]
-        weight = 4.0 / (every[:, 0] + every[:, 1] + every[:, 2])
-        total = (_T - 64) / (seen[:, 0] + seen[:, 1] + seen[:, 2] + 4.0)
-        self.f2 = 16 + np.floor((seen[:, 0] + every[:, 0] * weight) * total).astype(np.int64)
-        self.f1 = 16 + np.floor((seen[:, 1] + every[:, 1] * weight) * total).astype(np.int64)
-
-    def learn(self, ids: np.ndarray, event: np.ndarray) -> None:
-        """Take in the ids of all lanes; event: 0 order 2 held, 1 order 1, 2 neither."""
-        n = self.n
-        self._count(event)
-        for table, index, old, guess in ((self.t1, self.i1, self.e1, self.id1), (self.t2, self.i2, self.e2, self.id2)):
-            state = np.where(old == 0, 1, np.where(guess == ids, 3, 2))
-            table[index] = (state << 17) | (ids + 1)
-        self.prev2[:n] = self.prev1[:n]
-        self.prev1[:n] = ids
-
-    def _count(self, event: np.ndarray) -> None:
-        flat = self.seen.reshape(-1)
-        flat[self.c * 3 + event] += 1.0
-        self.all.reshape(-1)[np.arange(self.n) * 3 + event] += 1.0
-
-    def high_total(self, lanes: np.ndarray) -> np.ndarray:
-        return self.groups.reshape(-1).take((lanes << 4) + 15)
-
-    def high_cum(self, lanes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(cumulative frequency, frequency) of high bytes."""
-        at, flat = (lanes << 8) + h, self.high.reshape(-1)
-        top = flat.take(at)
-        bottom = np.where((h & 15) > 0, flat.take(at - 1), 0)
-        return self._before(lanes, h >> 4) + bottom, top - bottom
-
-    def _before(self, lanes: np.ndarray, g: np.ndarray) -> np.ndarray:
-        at = (lanes << 4) + g
-        return self.groups.reshape(-1).take(at) - self.high.reshape(-1).take((at << 4) + 15)
-
-    def high_find(self, lanes: np.ndarray, v: np.ndarray) -> np.ndarray:
-        g = _count(self.groups.take(lanes, axis=0) <= v[:, None])
-        v = v - self._before(lanes, g)
-        return (g << 4) + _count(self.high.take((lanes << 4) + g, axis=0) <= v[:, None])
-
-    def high_learn(self, lanes: np.ndarray, h: np.ndarray) -> None:
-        self.high[(lanes << 4) + (h >> 4)] += _STEP.take(h & 15, axis=0)
-        self.groups[lanes] += _STEP.take(h >> 4, axis=0)
-
-    def low_width(self, lanes: np.ndarray) -> np.ndarray:
-        """Width of each low byte's interval; what is left of the total is the event that order 0 holds."""
-        hits = self.hits[lanes]
-        return np.maximum(1, np.floor((_T - 64) * (hits[:, 1] / (hits[:, 0] + hits[:, 1])) / 256).astype(np.int64))
-
-    def low_learn(self, lanes: np.ndarray, h: np.ndarray, ids: np.ndarray, held: np.ndarray) -> None:
-        self.hits.reshape(-1)[lanes * 2 + np.where(held, 0, 1)] += 1.0
-        self.last[(lanes << 8) + h] = ids + 1
-
-
-def _settle(low: np.ndarray, width: np.ndarray, lanes: np.ndarray, emit) -> None:
-    """Shift out settled 16-bit words of the given lanes until each has a width of 2**32 or more."""
-    lanes = lanes[width[lanes] < 1 << 32]
-    while len(lanes):
-        a, w = low[lanes], width[lanes]
-        edge = ((a >> _U64(32)) + _U64(1)) << _U64(32)
-        left = edge - a
-        cut = left < w
-        keep_right = cut & (w - np.minimum(left, w) > left)
-        w = np.where(keep_right, w - left, np.minimum(left, w))
-        a = np.where(keep_right, edge, a)
-        emit(lanes, a >> _U64(32))
-        low[lanes] = (a & _LOW32) << _U64(16)
-        width[lanes] = w << _U64(16)
-        lanes = lanes[w < 1 << 16]
+        self.at1, self.at2, self.at_seen, self.at_shares = at << _BITS1, at << _BITS2, at * _CONTEXTS, at * 5
+        self.t1, self.t2 = np.zeros(lanes << _BITS1, np.int32), np.zeros(lanes << _BITS2, np.int32)
+        self.seen = np.tile(_FIRST_SHARES * _OWN, (lanes, 1))
+        self.all = np.tile(_FIRST_SHARES[9] * (1 - _OWN), (lanes, 1))
+        self.shares = np.zeros((lanes, 5))
+        self.shares[:, 4] = _T
+        self.flat = self.shares.reshape(-1)
+        self.counting(0)
+
+    def counting(self, counted: int) -> None:
+        """Order 0 has now counted so many ids, and needs as much of _T."""
+        self.free = _const(_T - counted - 4 * _LEAST)
+        self.least = np.array([_LEAST, 2 * _LEAST, 3 * _LEAST + counted], np.float64)
+
+    def look(self, i1: np.ndarray, i2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What orders 1 and 2 guess, plus 1; leaves the cumulative shares of the events in self.shares."""
+        n = len(i1)
+        e1, e2 = self.t1.take(i1), self.t2.take(i2)
+        g1, g2 = e1 & _ID, e2 & _ID
+        e2 >>= _DOWN27
+        e1 >>= _DOWN29
+        e2 += e1
+        e2 += (g1 == g2).view(np.int8) << _UP4
+        self.c = self.at_seen[:n] + e2
+        self.rows = self.seen.take(self.c, axis=0)
+        mix = self.rows + self.all[:n]
+        mix *= self.free
+        np.floor(mix, out=mix)
+        mix += self.least
+        self.shares[:n, 1:4] = mix
+        return g1, g2
+
+    def learn(self, event: np.ndarray) -> None:
+        n = len(event)
+        self.rows *= _KEEP
+        self.rows += _STEP.take(event, axis=0)
+        self.seen[self.c] = self.rows
+        every = self.all[:n]
+        every *= _KEEP_ALL
+        every += _STEP_ALL.take(event, axis=0)
+
+
+def _counted_until(t: int) -> int:
+    """How many ids order 0 has counted when the id at t is coded."""
+    return 0 if t < _FIRST_COUNT else 1 << (t.bit_length() - 1)
+
+
+def _order0(ids: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For ids[begin:end] of each lane (columns): how many of ids[:begin] are less, and less or equal; 4 where one is equal."""
+    n, width = ids.shape[1], end - begin
+    low, high = np.empty((width, n), np.int16), np.empty((width, n), np.int16)
+    wide = np.int32 if not ids.size or int(ids.max()) < 1 << 17 else np.int64
+    along = np.arange(end, dtype=wide)
+    for at in range(0, n, 64):
+        keys = np.ascontiguousarray(ids[:end, at : at + 64].T).astype(wide)
+        lanes = len(keys)
+        keys <<= 13
+        keys += along
+        keys.sort(axis=1)
+        place = keys & 8191
+        keys >>= 13
+        old = place < begin
+        before = np.cumsum(old, axis=1, dtype=np.int16)
+        first = before - old
+        first[:, 1:][keys[:, 1:] == keys[:, :-1]] = 0
+        np.maximum.accumulate(first, axis=1, out=first)
+        new = ~old
+        to = place[new].reshape(lanes, width) + (np.arange(lanes) * width - begin)[:, None]
+        for out, value in ((low, first), (high, before)):
+            own = np.empty(lanes * width, np.int16)
+            own[to] = value[new].reshape(lanes, width)
+            out[:, at : at + 64] = own.reshape(lanes, width).T
+    return low, high, (high > low).view(np.int8) << 2
+
+
+def _order0_table(ids: np.ndarray) -> np.ndarray:
+    """For each lane (column of ids) its ids in order, packed as id, how many are less, and how many are less or equal."""
+    most, n = ids.shape
+    out = np.empty((n, most), np.int64)
+    for at in range(0, n, 64):
+        part = np.sort(np.ascontiguousarray(ids[:, at : at + 64].T), axis=1)
+        new = part[:, 1:] != part[:, :-1]
+        first, last = np.zeros(part.shape, np.int64), np.full(part.shape, most)
+        np.maximum.accumulate(np.where(new, np.arange(1, most), 0), axis=1, out=first[:, 1:])
+        last[:, :-1] = np.minimum.accumulate(np.where(new, np.arange(1, most), most)[:, ::-1], axis=1)[:, ::-1]
+        out[at : at + 64] = (part.astype(np.int64) << 26) | (first << 13) | last
+    return out.reshape(-1)
+
+
+def _lanes(sizes_in: list[int]) -> tuple[list[int], np.ndarray, int]:
+    """Order of the blocks, longest first, their sizes in that order, and the greatest."""
+    order = sorted(range(len(sizes_in)), key=lambda i: -sizes_in[i])
+    sizes = np.array([sizes_in[i] for i in order], np.int64)
+    return order, sizes, int(sizes[0]) if len(sizes) else 0
+
+
+#: Event by whether order 2 (1), order 1 (2) and order 0 (4) know the id.
+_EVENT = np.array([3, 0, 1, 0, 2, 0, 1, 0])
+#: Steps for which an encoder looks up the places of ids at once.
+_AHEAD = 128
+
+
+class _Writer:
+    """The coders of all lanes. Words have room for a carry, which is settled at the end."""
+
+    def __init__(self, lanes: int, most: int):
+        self.low, self.width = np.zeros(lanes), np.full(lanes, float(1 << 48))
+        self.room = most + 4 * _AHEAD
+        self.words, self.at = np.zeros(lanes * self.room, np.uint32), np.arange(lanes) * self.room
+
+    def make_room(self) -> None:
+        """Space for four words a lane at each of the next steps."""
+        lanes = len(self.at)
+        fill = self.at - np.arange(lanes) * self.room
+        if int(fill.max()) + 4 * _AHEAD > self.room:
+            wider = np.zeros((lanes, 2 * self.room), np.uint32)
+            wider[:, : self.room] = self.words.reshape(lanes, self.room)
+            self.words, self.room = wider.reshape(-1), 2 * self.room
+            self.at = fill + np.arange(lanes) * self.room
+
+    def put(self, lanes, cum, f, total: np.ndarray) -> None:
+        """Code a symbol in each lane, and put out a word of each whose width falls under 2**32."""
+        r = self.width[lanes] * total
+        np.floor(r, out=r)
+        f = f * r
+        r *= cum
+        r += self.low[lanes]
+        word = r * _A_WINDOW
+        np.floor(word, out=word)
+        out = f < _WINDOW
+        at = self.at[lanes]
+        self.words[at] = word  # where nothing is put out the next word takes its place
+        self.at[lanes] = at + out
+        word *= _WINDOW
+        rest = r - word
+        rest *= _WORD
+        self.low[lanes] = np.where(out, rest, r)
+        self.width[lanes] = np.where(out, f * _WORD, f)
+
+    def close(self) -> list[np.ndarray]:
+        for _ in range(3):
+            word = np.floor(self.low * _A_WINDOW)
+            self.words[self.at] = word
+            self.at += 1
+            self.low = (self.low - word * _WINDOW) * _WORD
+        begin = np.arange(len(self.at)) * self.room
+        fill = self.at - begin
+        words = self.words.reshape(len(fill), self.room)[:, : int(fill.max())]
+        while (carry := words[:, 1:] >> 16).any():
+            words &= 0xFFFF
+            words[:, :-1] += carry
+        return [words[i, :n].astype("<u2") for i, n in enumerate(fill.tolist())]
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """The coded words of each block. Blocks are coded in lockstep, longest first."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    sizes = np.array([len(blocks[i]) for i in order])
-    n, most = len(blocks), int(sizes[0]) if len(blocks) else 0
-    ids = np.zeros((most, n), np.int64)
+    order, sizes, most = _lanes([len(b) for b in blocks])
+    n = len(blocks)
+    if not n:
+        return []
+    ids = np.zeros((most, n), np.int32)
     for lane, i in enumerate(order):
         ids[: len(blocks[i]), lane] = blocks[i]
-    model = _Model(n)
-    low, width = np.zeros(n, _U64), np.full(n, 1 << 48, _U64)
-    words, fill = np.zeros((n, most * 2 + 8), np.uint16), np.zeros(n, np.int64)
-
-    def emit(lanes: np.ndarray, word: np.ndarray) -> None:
-        words[lanes, fill[lanes]] = word
-        fill[lanes] += 1
-
-    def code(lanes: np.ndarray, cum: np.ndarray, f: np.ndarray, total) -> None:
-        part = width[lanes] // total
-        low[lanes] += part * cum.astype(_U64)
-        width[lanes] = part * f.astype(_U64)
-        _settle(low, width, lanes, emit)
-
-    every = np.arange(n)
+    model, writer, every = _Model(n), _Writer(n, most), np.arange(n)
+    i1, i2 = model.at1, model.at2
+    counted, begin = 0, 0
     for t in range(most):
         live = int(np.searchsorted(-sizes, -t, "left"))
-        model.shrink(live)
-        own = ids[t, :live]
-        model.look()
-        event = np.where(model.id2 == own, 0, np.where(model.id1 == own, 1, 2))
-        f2, f1 = model.f2, model.f1
-        cum = np.where(event == 0, 0, np.where(event == 1, f2, f2 + f1))
-        code(every[:live], cum, np.where(event == 0, f2, np.where(event == 1, f1, _T - f2 - f1)), _U64(_T))
-        lanes = np.flatnonzero(event == 2)
-        if len(lanes):
-            x = own[lanes]
-            h = x >> 8
-            cum, f = model.high_cum(lanes, h)
-            code(lanes, cum, f, model.high_total(lanes).astype(_U64))
-            model.high_learn(lanes, h)
-            w = model.low_width(lanes)
-            held = model.last[(lanes << 8) + h] == x + 1
-            code(lanes, np.where(held, w * 256, (x & 255) * w), np.where(held, _T - w * 256, w), _U64(_T))
-            model.low_learn(lanes, h, x, held)
-        model.learn(own, event)
-    for _ in range(3):
-        emit(every, low >> _U64(32))
-        low = (low & _LOW32) << _U64(16)
+        if not t % _AHEAD:
+            writer.make_room()
+            ahead = ids[t : t + _AHEAD, :live]
+            key = ahead & 0xFFFF
+            before = np.zeros_like(key)
+            before[1:] = key[:-1]
+            if t:
+                before[0] = ids[t - 1, :live] & 0xFFFF
+            ahead1 = _AT1.take(key) + model.at1[:live]
+            ahead2 = _AT2.take(key)
+            ahead2 ^= _BEFORE2.take(before)
+            ahead2 = ahead2 + model.at2[:live]
+            guessed = ahead + np.int32((1 << 29) + 1)
+            held = guessed + np.int32(1 << 29)
+            after = ahead + 1
+        if _counted_until(t) != counted:
+            counted, begin = _counted_until(t), t
+            model.counting(counted)
+            low, high, known = _order0(ids[:, :live], t, min(2 * t, most))
+            inverse = _const(1 / counted)
+        k = t % _AHEAD
+        own = after[k, :live]
+        i1, i2 = i1[:live], i2[:live]
+        g1, g2 = model.look(i1, i2)
+        is2, is1 = g2 == own, g1 == own
+        which = is1.view(np.int8) + is1.view(np.int8)
+        which += is2.view(np.int8)
+        if counted:
+            which += known[t - begin, :live]
+        event = _EVENT.take(which)
+        place = model.at_shares[:live] + event
+        cum = model.flat.take(place)
+        place += 1
+        f = model.flat.take(place)
+        f -= cum
+        if counted and len(old := np.flatnonzero(event == 2)):
+            whole = f[old]
+            part = whole * inverse
+            bottom = np.floor(part * low[t - begin][old])
+            cum[old] += bottom
+            f[old] = np.floor(part * high[t - begin][old]) - bottom
+        writer.put(slice(0, live), cum, f, _A_WORD)
+        if len(new := np.flatnonzero(event == 3)):
+            x = ids[t][new]
+            h = np.minimum(x >> 8, 256)
+            writer.put(new, _HIGH[h], _HIGH[h + 1] - _HIGH[h], _A_WORD)
+            if len(far := new[h == 256]):  # an id of more than two bytes
+                for shift, total in _FAR:
+                    writer.put(far, (ids[t][far] >> shift) & (total - 1), _ONE, _const(1 / total))
+            writer.put(new, x & 255, _ONE, _const(1 / 256))
+        model.learn(event)
+        model.t1[i1] = np.where(is1, held[k, :live], guessed[k, :live])
+        model.t2[i2] = np.where(is2, held[k, :live], guessed[k, :live])
+        i1, i2 = ahead1[k], ahead2[k]
     out = [b""] * n
-    for lane, i in enumerate(order):
-        out[i] = words[lane, : fill[lane]].astype("<u2").tobytes()
+    for i, words in zip(order, writer.close(), strict=True):
+        out[i] = words.tobytes()
     return out
 
 
+class _Reader:
+    """The decoders of all lanes."""
+
+    def __init__(self, coded: list[bytes]):
+        n, longest = len(coded), max((len(c) for c in coded), default=0) // 2 + 4
+        words = np.zeros((n, longest), np.uint16)
+        for lane, data in enumerate(coded):
+            got = np.frombuffer(data, "<u2")
+            words[lane, : len(got)] = got
+        first = words[:, :3].astype(np.float64)
+        self.value = (first[:, 0] * _WORD + first[:, 1]) * _WORD + first[:, 2]
+        self.width = np.full(n, float(1 << 48))
+        self.words, self.at = words.reshape(-1), np.arange(n) * longest + 3
+
+    def find(self, lanes, total: int) -> tuple[np.ndarray, np.ndarray]:
+        r = self.width[lanes] * _const(1 / total)
+        np.floor(r, out=r)
+        v = self.value[lanes] / r
+        np.floor(v, out=v)
+        return r, np.minimum(v, _const(total - 1), out=v)
+
+    def take(self, lanes, r: np.ndarray, cum, f) -> None:
+        wide = r * f
+        value = self.value[lanes] - r * cum
+        more = wide < _WINDOW
+        at = self.at[lanes]
+        next_ = value * _WORD
+        next_ += self.words.take(at, mode="clip")
+        self.at[lanes] = at + more
+        self.value[lanes] = np.where(more, next_, value)
+        self.width[lanes] = np.where(more, wide * _WORD, wide)
+
+
 def decode_blocks(coded: list[bytes], sizes_in: list[int]) -> list[np.ndarray]:
-    order = sorted(range(len(coded)), key=lambda i: -sizes_in[i])
-    sizes = np.array([sizes_in[i] for i in order])
-    n, most = len(coded), int(sizes[0]) if len(coded) else 0
-    longest = max((len(c) for c in coded), default=0) // 2 + 8
-    words = np.zeros((n, longest), np.uint16)
-    for lane, i in enumerate(order):
-        got = np.frombuffer(coded[i], "<u2")
-        words[lane, : len(got)] = got
-    ids = np.zeros((most, n), np.int64)
-    model = _Model(n)
-    low, width = np.zeros(n, _U64), np.full(n, 1 << 48, _U64)
-    w64 = words[:, :3].astype(_U64)
-    value = (w64[:, 0] << _U64(32)) | (w64[:, 1] << _U64(16)) | w64[:, 2]
-    fill = np.full(n, 3, np.int64)
-
-    def emit(lanes: np.ndarray, word: np.ndarray) -> None:
-        value[lanes] = ((value[lanes] & _LOW32) << _U64(16)) | words[lanes, np.minimum(fill[lanes], longest - 1)]
-        fill[lanes] += 1
-
-    def find(lanes: np.ndarray, total) -> tuple[np.ndarray, np.ndarray]:
-        part = width[lanes] // total
-        return part, np.minimum((value[lanes] - low[lanes]) // part, total - _U64(1)).astype(np.int64)
-
-    def take(lanes: np.ndarray, part: np.ndarray, cum: np.ndarray, f: np.ndarray) -> None:
-        low[lanes] += part * cum.astype(_U64)
-        width[lanes] = part * f.astype(_U64)
-        _settle(low, width, lanes, emit)
-
-    every = np.arange(n)
+    order, sizes, most = _lanes(sizes_in)
+    n = len(coded)
+    if not n:
+        return []
+    ids = np.zeros((most, n), np.int32)
+    model, reader = _Model(n), _Reader([coded[i] for i in order])
+    i1, i2, before = model.at1, model.at2, np.full(n, _BEFORE2[0])
+    counted, table, stride, count = 0, None, None, None
     for t in range(most):
         live = int(np.searchsorted(-sizes, -t, "left"))
-        model.shrink(live)
-        model.look()
-        f2, f1 = model.f2, model.f1
-        part, v = find(every[:live], _U64(_T))
-        event = np.where(v < f2, 0, np.where(v < f2 + f1, 1, 2))
-        take(every[:live], part, np.where(event == 0, 0, np.where(event == 1, f2, f2 + f1)), np.where(event == 0, f2, np.where(event == 1, f1, _T - f2 - f1)))
-        own = np.where(event == 0, model.id2, model.id1).astype(np.int64)
-        lanes = np.flatnonzero(event == 2)
-        if len(lanes):
-            part, v = find(lanes, model.high_total(lanes).astype(_U64))
-            h = model.high_find(lanes, v)
-            cum, f = model.high_cum(lanes, h)
-            take(lanes, part, cum, f)
-            model.high_learn(lanes, h)
-            w = model.low_width(lanes)
-            part, v = find(lanes, _U64(_T))
-            held = v >= w * 256
-            x = np.where(held, model.last[(lanes << 8) + h] - 1, (h << 8) + np.minimum(v // w, 255))
-            take(lanes, part, np.where(held, w * 256, (x & 255) * w), np.where(held, _T - w * 256, w))
-            model.low_learn(lanes, h, x, held)
-            own[lanes] = x
+        if _counted_until(t) != counted:
+            counted = _counted_until(t)
+            model.counting(counted)
+            table, stride, inverse = _order0_table(ids[:t, :live]), np.arange(n) * counted, _const(1 / counted)
+            count, last = _const(counted), _const(counted - 1)
+        i1, i2, before = i1[:live], i2[:live], before[:live]
+        g1, g2 = model.look(i1, i2)
+        r, v = reader.find(slice(0, live), _T)
+        passed = [v >= model.shares[:live, k] for k in (1, 2, 3)]
+        event = (passed[0].view(np.int8) + passed[1].view(np.int8) + passed[2].view(np.int8)).astype(np.int64)
+        place = model.at_shares[:live] + event
+        cum = model.flat.take(place)
+        place += 1
+        f = model.flat.take(place)
+        f -= cum
+        own = np.where(passed[0], g1, g2)
+        own -= 1
+        if counted and len(old := np.flatnonzero(event == 2)):
+            whole = f[old]
+            # The greatest place u with floor(whole * u / counted) <= v - cum.
+            u = np.floor(((v[old] - cum[old] + _ONE) * count - _ONE) / whole)
+            entry = table.take(stride[old] + np.clip(u, 0, last).astype(np.int64))
+            whole *= inverse
+            bottom = np.floor(whole * ((entry >> 13) & 8191))
+            own[old] = entry >> 26
+            cum[old] += bottom
+            f[old] = np.floor(whole * (entry & 8191)) - bottom
+        reader.take(slice(0, live), r, cum, f)
+        if len(new := np.flatnonzero(passed[2])):
+            r, v = reader.find(new, _T)
+            high = _HIGH_OF[v.astype(np.int64)]
+            reader.take(new, r, _HIGH[high], _HIGH[high + 1] - _HIGH[high])
+            if len(far := np.flatnonzero(high == 256)):
+                high[far] = 0
+                for shift, total in _FAR:
+                    r, v = reader.find(new[far], total)
+                    reader.take(new[far], r, v, _ONE)
+                    high[far] += v.astype(np.int64) << (shift - 8)
+            r, v = reader.find(new, 256)
+            reader.take(new, r, v, _ONE)
+            own[new] = (high << 8) + v.astype(np.int64)
         ids[t, :live] = own
-        model.learn(own, event)
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
+        model.learn(event)
+        guessed = own + np.int32((1 << 29) + 1)
+        held = guessed + np.int32(1 << 29)
+        model.t1[i1] = np.where(held & _ID == g1, held, guessed)
+        model.t2[i2] = np.where(held & _ID == g2, held, guessed)
+        key = own & 0xFFFF
+        i1 = model.at1[:live] + _AT1.take(key)
+        i2 = model.at2[:live] + (_AT2.take(key) ^ before)
+        before = _BEFORE2.take(key)
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * n
     for lane, i in enumerate(order):
-        out[i] = ids[: sizes[lane], lane]
+        out[i] = ids[: sizes[lane], lane].copy()
     return out
 
 
 def pack_segments(segments: list[tuple[list, np.ndarray, np.ndarray]]) -> list[bytes]:
     """Bytes of each segment (doc_ids, n_tokens, ids); all their blocks are coded in lockstep."""
     cut = [[ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)] for _, _, ids in segments]
-    if any(len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF) for _, _, ids in segments):
-        raise ValueError("an id is beyond 65535")
+    if any(len(ids) and (ids.min() < 0 or ids.max() > MOST_ID) for _, _, ids in segments):
+        raise ValueError(f"an id is beyond {MOST_ID}")
     coded = iter(encode_blocks([b for blocks in cut for b in blocks]))
     out = []
     for (doc_ids, sizes, _), blocks in zip(segments, cut, strict=True):
@@ -321,15 +483,28 @@ def unpack_segments(packed: list[bytes]) -> list[tuple[list, np.ndarray, np.ndar
             raise ValueError("a block's checksum is wrong")
     out, at = [], 0
     for doc_ids, n, n_blocks in heads:
-        out.append((doc_ids, n, np.concatenate([np.zeros(0, np.int64), *blocks[at : at + n_blocks]])))
+        out.append((doc_ids, n, np.concatenate([np.zeros(0, np.int32), *blocks[at : at + n_blocks]])))
         at += n_blocks
     return out
 
 
+_SORT = np.full(256, 3, np.uint8)  # 0 white space, 1 letter, 2 digit, 3 another sign
+_SORT[_SPACE], _SORT[48:58], _SORT[65:91], _SORT[97:123], _SORT[128:] = 0, 2, 1, 1, 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Bytes that only letters from U+00C0 to U+024F and printable ASCII signs but the apostrophe have are plain.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[_SPACE], _PLAIN[33:127], _PLAIN[0x80:0xC0], _PLAIN[0xC3:0xCA] = True, True, True, True
+_PLAIN[39] = False
+
+
 class WordEncoder:
-    """A tokenizer of the tokenizers library that drops white space, so that each word is encoded once.
+    """A tokenizer of the tokenizers library that drops white space and parts letters, single digits and other signs, so that each part is encoded once.
 
-    Words are parted at ASCII white space, which no token of such a tokenizer spans."""
+    Words are parted at ASCII white space, which no token of such a tokenizer spans. A plain
+    word (see _PLAIN; no multiplication or division sign, no dotted capital I, no marker's
+    begin) is parted further into runs of letters, digits and runs of other signs, all of them in
+    lower case; every other word goes to the library as it is."""
 
     def __init__(self, path: str):
         import os
@@ -338,38 +513,64 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.seen, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.memo = Memo(21)
+
+    def _parts(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes with plain words in lower case, starts and ends of all parts, and which of them are whole words that aren't plain."""
+        starts, ends, _ = word_spans(raw, off)
+        odd = ~_PLAIN[raw]
+        for a, b in ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0), (60, 124)):
+            odd[:-1] |= (raw[:-1] == a) & (raw[1:] == b)
+        words = np.unique(np.searchsorted(starts, np.flatnonzero(odd), "right") - 1)
+        sort = _SORT[raw]
+        inside = sort > 0
+        begin = sort == 2
+        begin[1:] |= sort[1:] != sort[:-1]
+        begin &= inside
+        begin[starts] = True
+        low = _LOWER[raw]
+        if len(words):
+            a, n = starts[words], ends[words] - starts[words]
+            within = np.arange(int(n.sum())) + np.repeat(a - np.cumsum(n) + n, n)
+            begin[within] = False
+            begin[a] = True
+            low[within] = raw[within]
+        stop = inside
+        stop[:-1] &= ~inside[1:] | begin[1:]
+        stop[ends - 1] = True
+        at = np.flatnonzero(begin)
+        whole = np.zeros(len(at), bool)
+        whole[np.searchsorted(at, starts[words])] = True
+        return low, at, np.flatnonzero(stop) + 1, whole
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
-        starts, ends, first = word_spans(raw, off)
+        low, starts, ends, whole = self._parts(raw, off)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(off) - 1, np.int64)
-        hashes = np.concatenate([word_hashes(raw, starts[i : i + (1 << 18)], ends[i : i + (1 << 18)]) for i in range(0, len(starts), 1 << 18)])
-        distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.seen) > REMEMBERED:
-            self.forget()
-        place = np.minimum(np.searchsorted(self.seen, distinct), max(len(self.seen) - 1, 0))
-        fresh = np.flatnonzero(self.seen[place] != distinct) if len(self.seen) else np.arange(len(distinct))
-        if len(fresh):
-            held = raw.tobytes()
-            words = [held[a:b].decode() for a, b in zip(starts[where[fresh]].tolist(), ends[where[fresh]].tolist(), strict=True)]
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            counts = np.array([len(x) for x in lists], np.int64)
-            order = np.argsort(every := np.concatenate((self.seen, distinct[fresh])), kind="stable")
-            self.seen = every[order]
-            self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(counts) - counts))[order]
-            self.count = np.concatenate((self.count, counts))[order]
-            self.flat = np.concatenate((self.flat, np.array([i for x in lists for i in x], np.int32)))
-            place = np.searchsorted(self.seen, distinct)
-        begin, count = self.begin[place][inverse], self.count[place][inverse]
-        ids = self.flat[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
-        return ids, np.diff(np.append(0, np.cumsum(count))[first])
+
+        def fresh(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            held = low.tobytes()
+            texts = [held[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            odd = whole[at]
+            plain = [t for t, o in zip(texts, odd.tolist(), strict=True) if not o]
+            joined = [" ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)]
+            ids = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.int32)
+            last = np.flatnonzero(self.ends[ids])
+            counts = np.zeros(len(at), np.int64)
+            counts[~odd] = np.diff(last, prepend=-1)
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([t for t, o in zip(texts, odd.tolist(), strict=True) if o], add_special_tokens=False)]
+            counts[odd] = [len(x) for x in lists]
+            out = np.empty(int(counts.sum()), np.int32)
+            alone = np.repeat(odd, counts)
+            out[~alone], out[alone] = ids, [i for x in lists for i in x]
+            return out, counts
+
+        ids, count = self.memo.ids_of(PartHashes(low).of(starts, ends), fresh)
+        return ids, np.diff(np.append(0, np.cumsum(count))[np.searchsorted(starts, off)])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -377,7 +578,6 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     """Encode docs (doc_id, text), append end_id to each, and write segments in ascending doc_id order below path."""
-    small_batches(docs.sparkSession, 4000)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -414,7 +614,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
             raw, off = text_buffer(batch.column("text"))
             begin = 0
             while begin < batch.num_rows:
-                end = max(begin + 1, int(np.searchsorted(off, off[begin] + (8 << 20), "right")) - 1)
+                end = max(begin + 1, int(np.searchsorted(off, off[begin] + TEXT_BLOCK, "right")) - 1)
                 ids, count = words.encode(raw[off[begin] : off[end]], off[begin : end + 1] - off[begin])
                 ends = np.cumsum(count)
                 ids = np.insert(ids, ends, end_id)
@@ -453,12 +653,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     for part, n in sums:
         starts[part] = total
         total += n
-    small_batches(spark, 16)
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for whole, at in ((b, i) for b in batches for i in range(0, b.num_rows, READ_TOGETHER)):
+            batch = whole.slice(at, READ_TOGETHER)
             base = [starts[p] + f for p, f in zip(batch.column("part").to_pylist(), batch.column("first").to_pylist(), strict=True)]
             for start, (doc_ids, n, ids) in zip(base, unpack_segments(batch.column("data").to_pylist()), strict=True):
                 ends = np.cumsum(n)

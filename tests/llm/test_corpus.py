@@ -12,7 +12,7 @@ import pytest
 pytest.importorskip("heliodor.llm")
 P = pytest.importorskip("public_tokenizers")
 from heliodor.llm import bpe, langid, tokenfile  # noqa: E402
-from heliodor.llm.common import text_buffer  # noqa: E402
+from heliodor.llm.common import Memo, text_buffer  # noqa: E402
 from tests.llm.helpers import HARD, by_id, frame, saved  # noqa: E402
 from tests.llm.test_native import plain_contamination, plain_spans  # noqa: E402
 from tests.llm.test_neardup import brute  # noqa: E402
@@ -37,16 +37,17 @@ def odd_texts():
 def test_bpe_is_tiktoken(reference):
     texts = odd_texts()
     coder = bpe.encoder(RANKS, P.PATTERN)
-    got = coder.encode(*text_buffer(pa.array(texts, pa.string())))
-    for t, ids in zip(texts, got, strict=True):
+    flat, cuts = coder.encode(*text_buffer(pa.array(texts, pa.string())))
+    for t, a, b in zip(texts, cuts[:-1], cuts[1:], strict=True):
+        ids = flat[a:b]
         assert ids.tolist() == reference.encode_ordinary(t), t[:80]
         assert coder.decode(ids.tolist()) == t.encode()
 
 
 def test_bpe_forgets_alike(reference, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 5)
     coder = bpe.encoder(RANKS, P.PATTERN)
-    for text in ["alpha beta gamma delta", "epsilon zeta eta theta iota", "alpha beta kappa"]:
+    monkeypatch.setattr(coder, "memo", Memo(2, 5))
+    for text in ["alpha beta gamma delta", "epsilon zeta eta theta iota", "alpha beta kappa alpha beta"]:
         assert coder.encode(*text_buffer(pa.array([text])))[0].tolist() == reference.encode_ordinary(text)
 
 
@@ -90,8 +91,10 @@ def test_checksum_guards_a_block():
     assert ids == [1, None] and n.tolist() == [2, 3] and tokens.tolist() == [5, 6, 7, 8, 9]
     with pytest.raises(ValueError, match="checksum"):
         tokenfile.unpack_segments([data[:-8] + bytes([data[-8] ^ 255]) + data[-7:]])
-    with pytest.raises(ValueError, match="65535"):
-        tokenfile.pack_segments([([1], np.array([1]), np.array([70000]))])
+    far = np.array([70000, tokenfile.MOST_ID, 0, 65535, 65536, 70000])
+    assert tokenfile.unpack_segments(tokenfile.pack_segments([([1], np.array([6]), far)]))[0][2].tolist() == far.tolist()
+    with pytest.raises(ValueError, match=str(tokenfile.MOST_ID)):
+        tokenfile.pack_segments([([1], np.array([1]), np.array([tokenfile.MOST_ID + 1]))])
 
 
 @pytest.mark.parametrize("segment", [1 << 20, 700])
@@ -99,7 +102,6 @@ def test_token_files(spark, tmp_path, tiny, segment, monkeypatch):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     monkeypatch.setattr(tokenfile, "SEGMENT", segment)
     docs = frame(spark, [*HARD, (50, "<|endoftext|> it's A B c \x1cx\x85y é ΑΣ", None)])
     got = by_id(tokenfile.op1_token_files(spark, saved(spark, tmp_path, documents=docs)))
@@ -156,7 +158,7 @@ def test_pipeline(spark, tmp_path, reference):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{source}/benchmark.parquet").collect()]
     judged = by_id(langid.op3_language_id(spark, source))
     rows = {r.doc_id: r.text for r in docs.collect() if not judged[r.doc_id]["rejected"]}
-    rows = {d: rows[d] for d, (_, _, kept) in brute(rows).items() if kept}
+    rows = {d: rows[d] for d, (_, _, kept) in brute(rows, words=corpus_pipeline.SHINGLE_WORDS).items() if kept}
     rows = {d: rows[d] for d, x in plain_contamination(rows.items(), items).items() if not x[1]}
     want = {}
     for doc, text in rows.items():

@@ -10,11 +10,11 @@ from heliodor.llm import neardup  # noqa: E402
 from tests.llm.helpers import by_id, frame, saved  # noqa: E402
 
 
-def brute(texts):
+def brute(texts, words=2):
     sets = {}
     for doc, t in texts.items():
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
-        sets[doc] = set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)} if w else set()
+        sets[doc] = {tuple(w[i : i + words]) for i in range(max(len(w) - words, 0) + 1)} if w else set()
     label = {d: d for d in sets}
 
     def root(x):
