@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from heliodor.llm.common import Memo, PartHashes, documents, slices, text_buffer
+from heliodor.llm.common import Memo, PartHashes, documents, slices, text_buffer, tidy
 
 NO_RANK = np.int32(2**31 - 1)
 #: Bytes of text that are encoded together (a longer text alone).
@@ -308,7 +308,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
                 out["ids"] = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import documents, slices
+from heliodor.llm.common import documents, slices, tidy
 
 #: Bounds of the sample that dictionaries are made of, and zstandard's level.
 PER_LANG, DICT_BYTES, LEVEL = 400, 110 << 10, 9
@@ -112,7 +112,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN, ke
             out |= {"lang_pred": pa.array(best, pa.string()), "score": pa.array(score, pa.float64()), "rejected": pa.array([s < margin or b == "und" for b, s in zip(best, score, strict=True)], pa.bool_())}
             yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidy(run), schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

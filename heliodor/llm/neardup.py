@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import PartHashes, documents, mix64, numbered, slices, table, text_buffer, word_spans
+from heliodor.llm.common import PartHashes, documents, mix64, numbered, slices, table, text_buffer, tidy, word_spans
 
 WIDTH, TUPLES = 3, 14
 #: Words of a shingle in the query.
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has * 2 * TUPLES)), pa.int32()), pa.array(keys.T.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(s.size, pa.int64()), "c1": pa.array(digest[0].view(np.int64)), "c2": pa.array(digest[1].view(np.int64)), "keys": lists})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, c1 long, c2 long, keys array<long>")
 
 
 def components(edges: DataFrame, name: str = "labels") -> DataFrame:
@@ -137,8 +137,12 @@ def families(reps: DataFrame) -> DataFrame:
     # The tensored tables: a pair of one key of either collection.
     cells = halves.select("rep", side(True).alias("a"), side(False).alias("b")).select("rep", F.explode("a").alias("a"), "b").select("rep", "a", F.explode("b").alias("b")).select("rep", F.xxhash64("a", "b").alias("cell"))
     first = cells.groupBy("cell").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("cell", "pivot")
-    stars = cells.join(first, "cell").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    return components(stars, "families")
+    # Of the pivots that a representative meets, TUPLES**2 at most, it is tied to the least, and
+    # the others are tied to that one: a group that meets under many pivots then has one edge a member.
+    met = cells.join(first, "cell").where("rep <> pivot").groupBy("rep").agg(F.collect_set("pivot").alias("pivots"))
+    met = table(met.select("rep", F.array_min("pivots").alias("least"), "pivots"), "pivots")
+    others = met.select(F.explode("pivots").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    return components(met.select(F.col("rep").alias("a"), F.col("least").alias("b")).union(others), "families")
 
 
 def compare(ids: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -194,7 +198,7 @@ def links(docs: DataFrame, family: DataFrame, block: int = BLOCK, words: int = W
                 first = (s.first * 8).tolist()
                 yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "label", "blocks", "block")} | {"shingles": pa.array([held[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())})
 
-    made = chosen.mapInArrow(sets, "doc_id long, label long, blocks int, block int, shingles binary")
+    made = chosen.mapInArrow(tidy(sets), "doc_id long, label long, blocks int, block int, shingles binary")
     dealt = made.select("doc_id", "label", "block", "shingles", F.explode(tasks).alias("task")).select("doc_id", "label", "block", "shingles", "task.i", "task.j")
     dealt = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "doc_id")
 
@@ -217,7 +221,7 @@ def links(docs: DataFrame, family: DataFrame, block: int = BLOCK, words: int = W
                     rows.append((doc, blk, s))
         yield from done()
 
-    return dealt.mapInArrow(confirm, "a long, b long")
+    return dealt.mapInArrow(tidy(confirm), "a long, b long")
 
 
 def _grouped(docs: DataFrame, words: int) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import mix64, powers
+from heliodor.llm.common import mix64, powers, tidy
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -122,7 +122,7 @@ def shared_keys(found: DataFrame, same_doc: bool) -> DataFrame:
         shared |= own & (count[group] > 1)
         yield pa.RecordBatch.from_pydict({"doc": pa.array(doc[shared]), "key": pa.array(key[shared].view(np.int64))})
 
-    met = found.repartition("route").mapInArrow(run, "doc long, key long")
+    met = found.repartition("route").mapInArrow(tidy(run), "doc long, key long")
     return met.groupBy("doc").agg(F.collect_list("key").alias("keys"))
 
 

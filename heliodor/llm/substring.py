@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import PartHashes, documents, mix64, slices, text_buffer, word_spans
+from heliodor.llm.common import PartHashes, documents, mix64, slices, text_buffer, tidy, word_spans
 from heliodor.llm.seeds import Spans, combine_shared, shared_keys, window_runs, with_lists
 
 WINDOW, GRAM = 13, 6
@@ -111,9 +111,9 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         yield pa.RecordBatch.from_pydict({"doc": pa.array(doc[repeat]), "repeat": pa.array(key[repeat])})
 
     schema = "route long, key long, doc long, shared boolean"
-    found = docs.select("doc_id", "text").mapInArrow(seeds, schema)
-    extended = with_lists(docs, shared_keys(found, False)).mapInArrow(extend, schema)
-    settled = extended.repartition("route").mapInArrow(settle, "doc long, repeat long")
+    found = docs.select("doc_id", "text").mapInArrow(tidy(seeds), schema)
+    extended = with_lists(docs, shared_keys(found, False)).mapInArrow(tidy(extend), schema)
+    settled = extended.repartition("route").mapInArrow(tidy(settle), "doc long, repeat long")
     return settled.groupBy("doc").agg(F.collect_list("repeat").alias("repeats"))
 
 
@@ -150,7 +150,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    return with_lists(docs, find_repeats(docs, window, gram)).mapInArrow(strip, schema)
+    return with_lists(docs, find_repeats(docs, window, gram)).mapInArrow(tidy(strip), schema)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

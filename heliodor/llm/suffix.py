@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import _BYTE, documents, mix64, slices, table, text_buffer
+from heliodor.llm.common import _BYTE, documents, mix64, slices, table, text_buffer, tidy
 from heliodor.llm.seeds import Spans, combine_shared, shared_keys, window_runs, with_lists
 
 LENGTH, GRAM = 200, 48
 #: Anchors that the splitters are drawn from, at most about, and the texts that are read for them.
 SAMPLED_ROWS, ANCHORS_A_ROW = 4000, 16
 #: Buckets for each shuffle partition.
-BUCKETS = 2
+BUCKETS = 4
 #: Bytes of text that are looked at together (a longer text alone).
 BLOCK = 1 << 19
 
@@ -146,7 +146,7 @@ def _splitters(docs: DataFrame, length: int, gram: int, buckets: int) -> list[by
                 held = b.raw.tobytes()
                 yield pa.RecordBatch.from_pydict({"lead": pa.array([held[a : a + gram] for a in b.anchor[pick].tolist()], pa.binary())})
 
-    leads = sorted(bytes(r[0]) for r in sample.mapInArrow(lead, "lead binary").collect())
+    leads = sorted(bytes(r[0]) for r in sample.mapInArrow(tidy(lead), "lead binary").collect())
     cuts = [leads[i * len(leads) // buckets] for i in range(1, buckets)] if leads else []
     return sorted(set(cuts))
 
@@ -242,9 +242,9 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
             anchor = start[mine][r] + reach[r]
             yield pa.RecordBatch.from_pydict({"doc": pa.array(doc[mine][r]), "start": pa.array(anchor - (z - 1)), "stop": pa.array(anchor - a + length)})
 
-    found = docs.select("doc_id", "text").mapInArrow(anchors, "route long, key long, doc long, shared boolean")
-    sent = with_lists(docs, shared_keys(found, True)).mapInArrow(send, "bucket int, doc long, start long, stop long, reach int, done boolean, payload binary")
-    spans = sent.repartition("bucket").mapInArrow(sort, "doc long, start long, stop long")
+    found = docs.select("doc_id", "text").mapInArrow(tidy(anchors), "route long, key long, doc long, shared boolean")
+    sent = with_lists(docs, shared_keys(found, True)).mapInArrow(tidy(send), "bucket int, doc long, start long, stop long, reach int, done boolean, payload binary")
+    spans = sent.repartition(buckets, "bucket").mapInArrow(tidy(sort), "doc long, start long, stop long")
     return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
@@ -278,7 +278,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
-    return with_lists(docs, find_repeats(docs, length, gram)).mapInArrow(strip, schema)
+    return with_lists(docs, find_repeats(docs, length, gram)).mapInArrow(tidy(strip), schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

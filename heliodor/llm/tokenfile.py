@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import _SPACE, Memo, PartHashes, documents, shared_dir, text_buffer, word_spans
+from heliodor.llm.common import _SPACE, Memo, PartHashes, documents, shared_dir, text_buffer, tidy, word_spans
 
 MAGIC, VERSION = b"HTOK", 2
 BLOCK, SEGMENT = 2048, 1 << 20
@@ -641,7 +641,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
         yield from flush()
 
     rows = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, "part int, segment int, first long, n_docs int, n_tokens long, data binary").write.parquet(path)
+    rows.mapInArrow(tidy(run), "part int, segment int, first long, n_docs int, n_tokens long, data binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -664,7 +664,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(start + ends - n, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return stored.select("part", "first", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return stored.select("part", "first", "data").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
