@@ -5,7 +5,7 @@ decoded alone, and carries a checksum of its ids. Four events say what predicts
 order 2 (the id that last followed the two ids before), order 1 (the one that last followed
 the id before), order 0 (an id that the block has had, by its frequency so far; the
 frequencies are counted anew each time the block has doubled), or none of them (a new
-id, its high byte by a falling prior and its low bytes evenly). The event's probabilities mix what
+id, by a prior that falls with its high byte). The event's probabilities mix what
 this block has seen in the context (how well either order did when it was last here, and
 whether they agree) with what it has seen in all contexts. Event and order-0 id
 are one symbol of a range coder with a 48-bit window. Arithmetic is on integers, or on
@@ -66,8 +66,8 @@ def _const(value, kind=np.float64) -> np.ndarray:
     return np.array(value, kind)
 
 
-_ONE, _WINDOW, _WORD, _TOTAL = _const(1), _const(1 << 32), _const(1 << 16), _const(_T)
-_A_WORD, _A_WINDOW = _const(1 / (1 << 16)), _const(1 / (1 << 32))
+_NONE, _ONE, _WINDOW, _WORD = _const(0), _const(1), _const(1 << 32), _const(1 << 16)
+_A_WORD, _A_WINDOW, _A_NEW = _const(1 / (1 << 16)), _const(1 / (1 << 32)), _const(1 / (1 << 24))
 _UP4, _DOWN27, _DOWN29 = _const(4, np.int8), _const(27, np.int32), _const(29, np.int32)
 _CONTEXTS = 32
 #: How fast an event's shares move to what is seen, in one context and in all.
@@ -76,8 +76,8 @@ _RATE, _RATE_ALL = 1 / 24, 1 / 48
 _OWN = 0.75
 #: Cumulative shares after events 0, 1 and 2, if the event (row) were sure.
 _SURE = np.array([[1, 1, 1], [0, 1, 1], [0, 0, 1], [0, 0, 0]], np.float64)
-_STEP, _STEP_ALL = _SURE * _RATE * _OWN, _SURE * _RATE_ALL * (1 - _OWN)
-_KEEP, _KEEP_ALL = _const(1 - _RATE), _const(1 - _RATE_ALL)
+_STEP, _STEP_ALL = (_SURE * _RATE * _OWN).astype(np.float32), (_SURE * _RATE_ALL * (1 - _OWN)).astype(np.float32)
+_KEEP, _KEEP_ALL = _const(1 - _RATE, np.float32), _const(1 - _RATE_ALL, np.float32)
 
 
 def _first_shares() -> np.ndarray:
@@ -102,6 +102,7 @@ def _prior() -> np.ndarray:
 
 
 _HIGH = _prior()
+_EACH = np.diff(_HIGH)  # of each low byte, of 256 * _T
 _HIGH_OF = np.repeat(np.arange(257), np.diff(_HIGH).astype(np.int64))
 #: How the bits above the lowest byte of a longer id are coded: from which bit, and of how many values.
 _FAR = ((16, 1 << 12), (8, 1 << 8))
@@ -116,8 +117,8 @@ class _Model:
         at = np.arange(lanes)
         self.at1, self.at2, self.at_seen, self.at_shares = at << _BITS1, at << _BITS2, at * _CONTEXTS, at * 5
         self.t1, self.t2 = np.zeros(lanes << _BITS1, np.int32), np.zeros(lanes << _BITS2, np.int32)
-        self.seen = np.tile(_FIRST_SHARES * _OWN, (lanes, 1))
-        self.all = np.tile(_FIRST_SHARES[9] * (1 - _OWN), (lanes, 1))
+        self.seen = np.tile((_FIRST_SHARES * _OWN).astype(np.float32), (lanes, 1))
+        self.all = np.tile((_FIRST_SHARES[9] * (1 - _OWN)).astype(np.float32), (lanes, 1))
         self.shares = np.zeros((lanes, 5))
         self.shares[:, 4] = _T
         self.flat = self.shares.reshape(-1)
@@ -125,8 +126,8 @@ class _Model:
 
     def counting(self, counted: int) -> None:
         """Order 0 has now counted so many ids, and needs as much of _T."""
-        self.free = _const(_T - counted - 4 * _LEAST)
-        self.least = np.array([_LEAST, 2 * _LEAST, 3 * _LEAST + counted], np.float64)
+        self.free = _const(_T - counted - 4 * _LEAST, np.float32)
+        self.least = np.array([_LEAST, 2 * _LEAST, 3 * _LEAST + counted], np.float32)
 
     def look(self, i1: np.ndarray, i2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What orders 1 and 2 guess, plus 1; leaves the cumulative shares of the events in self.shares."""
@@ -327,11 +328,12 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         if len(new := np.flatnonzero(event == 3)):
             x = ids[t][new]
             h = np.minimum(x >> 8, 256)
-            writer.put(new, _HIGH[h], _HIGH[h + 1] - _HIGH[h], _A_WORD)
+            each = _EACH[h]
+            writer.put(new, _HIGH[h] * 256 + each * (x & 255), each, _A_NEW)
+            writer.put(new, _NONE, _ONE, _ONE)
             if len(far := new[h == 256]):  # an id of more than two bytes
                 for shift, total in _FAR:
                     writer.put(far, (ids[t][far] >> shift) & (total - 1), _ONE, _const(1 / total))
-            writer.put(new, x & 255, _ONE, _const(1 / 256))
         model.learn(event)
         model.t1[i1] = np.where(is1, held[k, :live], guessed[k, :live])
         model.t2[i2] = np.where(is2, held[k, :live], guessed[k, :live])
@@ -415,18 +417,19 @@ def decode_blocks(coded: list[bytes], sizes_in: list[int]) -> list[np.ndarray]:
             f[old] = np.floor(whole * (entry & 8191)) - bottom
         reader.take(slice(0, live), r, cum, f)
         if len(new := np.flatnonzero(passed[2])):
-            r, v = reader.find(new, _T)
-            high = _HIGH_OF[v.astype(np.int64)]
-            reader.take(new, r, _HIGH[high], _HIGH[high + 1] - _HIGH[high])
+            r, v = reader.find(new, _T << 8)
+            high = _HIGH_OF[v.astype(np.int64) >> 8]
+            each, first = _EACH[high], _HIGH[high] * 256
+            low = np.floor((v - first) / each)
+            reader.take(new, r, first + each * low, each)
+            reader.take(new, reader.width[new], _NONE, _ONE)
             if len(far := np.flatnonzero(high == 256)):
                 high[far] = 0
                 for shift, total in _FAR:
                     r, v = reader.find(new[far], total)
                     reader.take(new[far], r, v, _ONE)
                     high[far] += v.astype(np.int64) << (shift - 8)
-            r, v = reader.find(new, 256)
-            reader.take(new, r, v, _ONE)
-            own[new] = (high << 8) + v.astype(np.int64)
+            own[new] = (high << 8) + low.astype(np.int64)
         ids[t, :live] = own
         model.learn(event)
         guessed = own + np.int32((1 << 29) + 1)
@@ -498,6 +501,13 @@ _PLAIN[_SPACE], _PLAIN[33:127], _PLAIN[0x80:0xC0], _PLAIN[0xC3:0xCA] = True, Tru
 _PLAIN[39] = False
 
 
+#: Signs that byte-level tokenizers spell bytes with: printable Latin-1 by itself, all others by the next sign from U+0100.
+_SPELLED, _next = {}, 256
+for _b in range(256):
+    if not (33 <= _b < 127 or 161 <= _b < 173 or 174 <= _b):
+        _SPELLED[_b], _next = _next, _next + 1
+
+
 class WordEncoder:
     """A tokenizer of the tokenizers library that drops white space and parts letters, single digits and other signs, so that each part is encoded once.
 
@@ -510,9 +520,13 @@ class WordEncoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # A plain part in lower case, its bytes spelled as signs, is what the normalizer and the
+        # pre-tokenizer leave of it: the same model takes it without those two.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -556,16 +570,15 @@ class WordEncoder:
             held = low.tobytes()
             texts = [held[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
             odd = whole[at]
-            plain = [t for t, o in zip(texts, odd.tolist(), strict=True) if not o]
-            joined = [" ".join(plain[i : i + 500]) for i in range(0, len(plain), 500)]
-            ids = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.int32)
-            last = np.flatnonzero(self.ends[ids])
+            plain = [texts[i] for i in np.flatnonzero(~odd).tolist()]
+            spelled = [t if t.isascii() else t.lower().encode().decode("latin-1").translate(_SPELLED) for t in plain]
+            joined = [" ".join(spelled[i : i + 500]) for i in range(0, len(spelled), 500)]
+            ids = np.array([i for e in self.bare.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.int32)
             counts = np.zeros(len(at), np.int64)
-            counts[~odd] = np.diff(last, prepend=-1)
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast([t for t, o in zip(texts, odd.tolist(), strict=True) if o], add_special_tokens=False)]
+            counts[~odd] = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in np.flatnonzero(odd).tolist()], add_special_tokens=False)]
             counts[odd] = [len(x) for x in lists]
-            out = np.empty(int(counts.sum()), np.int32)
-            alone = np.repeat(odd, counts)
+            out, alone = np.empty(int(counts.sum()), np.int32), np.repeat(odd, counts)
             out[~alone], out[alone] = ids, [i for x in lists for i in x]
             return out, counts
 
