@@ -2,8 +2,8 @@
 
 A conversation is rendered as one string; a deterministic parser reads it back,
 and the recovered turns are compared with the source. Turns that do not come
-back alike are escaped and the conversation is rendered and parsed again, until
-it is identical. All of it is built-in expressions, so a conversation is
+back alike are escaped and the conversation is rendered and parsed again: those turns that hold
+control strings, then all, until it is identical; a conversation that never is would be an error. All of it is built-in expressions, so a conversation is
 rendered, parsed and checked inside one projection.
 
 The grammar:
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import let
+from heliodor.llm.common import let, running
 
 ESC = "␛"
 #: Control strings; what stands for them is ESC and their place here, and ESC and 0 for ESC.
@@ -98,9 +98,10 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     # Where the raw text parses to the same turns nothing needs an escape. Else the
     # turns that hold a control string or the escape sign are escaped: all others parse as they are.
     conflict = F.transform("turns", lambda t: (escape(t["text"]) != t["text"]) | (escape(t["role"], True) != t["role"]))
-    tried = talks.withColumn("first", raw)
-    best = F.when(F.col("first.parsed") == F.col("turns"), F.col("first")).otherwise(trial(conflict))
-    out = tried.withColumn("best", best).select("conv_id", "turns", "best.formatted", "best.parsed")
+    same = lambda x: x["parsed"] == F.col("turns")
+    last = let(trial(F.transform("turns", lambda t: F.lit(True))), lambda x: F.when(same(x), x).otherwise(F.raise_error(F.lit("a conversation does not come back alike"))))
+    best = let(raw, lambda a: F.when(same(a), a).otherwise(let(trial(conflict), lambda b: F.when(same(b), b).otherwise(last))))
+    out = talks.withColumn("best", best).select("conv_id", "turns", "best.formatted", "best.parsed")
     return out.withColumn("identical", F.col("parsed") == F.col("turns"))
 
 
@@ -121,7 +122,8 @@ def digests(talks: DataFrame) -> DataFrame:
 def loss_spans(talks: DataFrame) -> DataFrame:
     """conv_id and spans array<struct<start, end>>: code points of formatted under the loss mask (assistant texts as rendered)."""
     pieces = F.filter(F.split("formatted", "</s>"), lambda p: p != "")
-    ends = F.transform(pieces, lambda p, i: F.aggregate(F.transform(F.slice(pieces, F.lit(1), i + 1), F.length), F.lit(0), lambda a, x: a + x) + 4 * i)
+    none = F.array().cast("array<int>")
+    ends = let(pieces, lambda q: F.when(F.size(q) > 0, F.transform(running(F.transform(q, F.length), lambda a, b: a + b, F.lit(0)), lambda n, i: n + 4 * i)).otherwise(none))
     head = f"<s>{ASSISTANT}\n"
     spans = F.filter(F.transform(F.arrays_zip(pieces.alias("piece"), ends.alias("end")), lambda z: F.when(F.startswith(z["piece"], F.lit(head)), F.struct((z["end"] - F.length(z["piece"]) + len(head)).alias("start"), z["end"].alias("end")))), lambda s: s.isNotNull())
     return talks.select("conv_id", spans.alias("spans"))
@@ -139,15 +141,22 @@ ORACLE_SQL = {
 WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
-), sized AS (
-    SELECT *, replace(replace(replace(replace(replace(text, '{ESC}', '{ESC}0'), '</s>', '{ESC}1'), '<s>', '{ESC}2'), '[INST]', '{ESC}3'), '[/INST]', '{ESC}4') AS written
+), marked AS (
+    SELECT *, regexp_matches(text, '</s>|<s>|\\[INST\\]|\\[/INST\\]|{ESC}') AS held, regexp_matches(role, '</s>|<s>|\\[INST\\]|\\[/INST\\]|{ESC}|\\n') AS role_held,
+        regexp_matches(text, '</s>|<s>|\\[INST\\]|\\[/INST\\]|{ESC}[0-4]') OR regexp_matches(role, '</s>|<s>|\\[INST\\]|\\[/INST\\]|{ESC}[0-5]|\\n') AS conflict
     FROM rows
+), judged AS (
+    SELECT *, (held OR role_held) AND bool_or(conflict) OVER (PARTITION BY conv_id) AS escaped FROM marked
+), sized AS (
+    SELECT *, CASE WHEN escaped THEN replace(replace(replace(replace(replace(text, '{ESC}', '{ESC}0'), '</s>', '{ESC}1'), '<s>', '{ESC}2'), '[INST]', '{ESC}3'), '[/INST]', '{ESC}4') ELSE text END AS written,
+        CASE WHEN escaped THEN replace(replace(replace(replace(replace(replace(role, '{ESC}', '{ESC}0'), chr(10), '{ESC}5'), '</s>', '{ESC}1'), '<s>', '{ESC}2'), '[INST]', '{ESC}3'), '[/INST]', '{ESC}4') ELSE role END AS written_role
+    FROM judged
 )
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
     CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-    CAST(sum(length(role) + length(written) + 8 + CASE WHEN role = 'user' THEN 13 ELSE 0 END) AS BIGINT) AS formatted_chars
+    CAST(sum(length(written_role) + length(written) + 8 + CASE WHEN role = 'user' THEN 13 ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
 }

@@ -40,18 +40,33 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/heliodor-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what table() wrote, once nothing that is still to be computed reads it."""
+    for made in tables:
+        delete(made.sparkSession, made.written_to)
 
 
 #: Narrow rows that are broadcast at most, some 60 bytes each; they are counted first.
 BROADCAST_ROWS = 500_000
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, units: Column | None = None) -> DataFrame:
     """df, to be broadcast if it has no more rows than the bound: they are counted, and beyond it a shuffle joins.
 
-    df is written first, so counting does not compute it twice."""
+    units: what a row counts for, where rows are not alike. df is written first, so counting does not compute it twice."""
     made = table(df, "bounded")
+    if units is not None:
+        return F.broadcast(made) if (made.agg(F.sum(units)).first()[0] or 0) <= rows else made.hint("shuffle_hash")
     return F.broadcast(made) if made.limit(rows + 1).count() <= rows else made
 
 
@@ -76,6 +91,27 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, merge, zero: Column) -> Column:
+    """For each place of a non-empty array what merge makes of the values up to it, itself included.
+
+    Values are merged in blocks of 64 and blocks of 64 blocks, so a place costs some 200 steps however long the array is."""
+
+    def whole(part: Column) -> Column:
+        return F.aggregate(part, zero, merge)
+
+    def blocks(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.shiftright(F.size(a) - 1, 6)), lambda k: whole(F.slice(a, k * 64 + 1, F.lit(64))))
+
+    def placed(a: Column, b: Column, c: Column) -> Column:
+        def one(_x: Column, i: Column) -> Column:
+            j, k = F.shiftright(i, 6), F.shiftright(i, 12)
+            return merge(merge(whole(F.slice(c, F.lit(1), k)), whole(F.slice(b, k * 64 + 1, j - k * 64))), whole(F.slice(a, j * 64 + 1, i - j * 64 + 1)))
+
+        return F.transform(a, one)
+
+    return let(values, lambda a: let(blocks(a), lambda b: let(blocks(b), lambda c: placed(a, b, c))))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -18,8 +18,7 @@ document and position, so a frequent term spreads over its documents. No list is
 Defined cases: null or wordless text has no words, is not hit and lists no item
 (items_sha256 is then the digest of the empty string); an item without words has
 no window; items with equal text are all listed; null item_id is ignored;
-repeated rows of a doc_id are counted as one document each only in n_words (the
-row's own) while matches are those of all rows of that doc_id. Extra columns are
+rows that repeat a doc_id, and rows without one, are each judged by their own text. Extra columns are
 ignored.
 """
 
@@ -28,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import ascii_lower, bounded, documents, let, table
+from heliodor.llm.common import ascii_lower, bounded, documents, drop, let, numbered, table
 
 #: Everything but ASCII letters and digits and signs beyond ASCII parts words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -95,17 +94,20 @@ def proximity_matches(index: DataFrame, wins: DataFrame, slop: int = 3) -> DataF
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs."""
+    rows = numbered(docs.select("doc_id", "text"), "row")
+    own = docs.select(F.col("doc_id").alias("own_id"), F.col("doc_id"), "text") if rows is None else rows.select(F.col("doc_id").alias("own_id"), F.col("row").alias("doc_id"), "text")
     wins = table(windows(items, n), "windows")
-    index = build_index(docs, wins.select(F.explode("terms").alias("term")).distinct())
+    index = build_index(own, wins.select(F.explode("terms").alias("term")).distinct())
     found = table(phrase_matches(index, wins), "matches")
+    drop(index)
     covered = found.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("position")).distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     named = found.select("window_id", "doc_id").distinct().join(wins.select("window_id", "items"), "window_id").select("doc_id", F.explode("items").alias("item_id")).distinct()
     listed = named.groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     hits = covered.join(listed, "doc_id")
-    counted = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    counted = own.select("own_id", "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = counted.join(hits, "doc_id", "left")
     return out.select(
-        "doc_id",
+        F.col("own_id").alias("doc_id"),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         let(F.coalesce("items", F.array().cast("array<string>")), F.size).cast("long").alias("n_items"),

@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heliodor.llm.common import documents, slices, tidy
 
@@ -76,12 +77,14 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, dict_bytes: int = DICT_BYTES)
     return {lang: b"\n".join(p for _, p in sorted(parts))[:dict_bytes] for lang, parts in sorted(out.items())}
 
 
-def predict(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (doc_id by default), then lang_pred, score and rejected."""
+def predict(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN, keep: list[str] | None = None, accepted: bool = False) -> DataFrame:
+    """The columns `keep` of docs (doc_id by default), then lang_pred, score and rejected; with accepted, of the rows that are not rejected the columns `keep` alone."""
     keep = ["doc_id"] if keep is None else keep
     content = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double, rejected boolean"
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    if not accepted:
+        schema = schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def run(batches):
         import zstandard
@@ -108,9 +111,12 @@ def predict(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN, ke
                 second = min((s for i, s in enumerate(sizes) if i != at), default=max(low, 1) * 2)
                 best.append(langs[at])
                 score.append((second - low) / max(second, 1))
-            out = {c: batch.column(c) for c in keep}
-            out |= {"lang_pred": pa.array(best, pa.string()), "score": pa.array(score, pa.float64()), "rejected": pa.array([s < margin or b == "und" for b, s in zip(best, score, strict=True)], pa.bool_())}
-            yield pa.RecordBatch.from_pydict(out)
+            rejected = [s < margin or b == "und" for b, s in zip(best, score, strict=True)]
+            if accepted:
+                yield batch.select(keep).filter(pa.array([not r for r in rejected], pa.bool_()))
+                continue
+            found = (pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], [*keep, "lang_pred", "score", "rejected"])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(tidy(run), schema)
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import PartHashes, documents, mix64, numbered, slices, table, text_buffer, tidy, word_spans
+from heliodor.llm.common import PartHashes, documents, drop, mix64, numbered, slices, table, text_buffer, tidy, word_spans
 
 WIDTH, TUPLES = 3, 14
 #: Words of a shingle in the query.
@@ -118,13 +118,17 @@ def components(edges: DataFrame, name: str = "labels") -> DataFrame:
     lineage stays short and a lost executor costs a round at most."""
     both = table(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = table(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), name)
+    held = labels
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("next"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
         after = table(step.join(jump, F.col("next") == F.col("via"), "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), "old"), name)
-        labels = after.select("node", "label")
-        if after.where("label <> old").limit(1).count() == 0:
+        changed = after.where("label <> old").limit(1).count()
+        drop(held)
+        held, labels = after, after.select("node", "label")
+        if not changed:
+            drop(both)
             return labels
 
 

@@ -1,33 +1,40 @@
 """Operator 8: personal data by bootstrapped contextual extraction.
 
-Base entities (e-mail, IP, card, phone) are found by patterns and are the seeds.
-Every token with a digit is a candidate; the words before it and its sort (which
-signs it has, how many digits) make a lexical pattern. Spark scores the bipartite graph of
-patterns and instances: a pattern's score is the mean score of its distinct
-instances, an instance's score the best of its patterns', seeds stay at 1. After
-`ROUNDS` rounds, candidates under a pattern with at least `MIN_SEEDS` distinct
-seeds and a score of `CONFIDENT` or more become spans of kind `id`. Spans of the
-method never overlap base spans, and base spans always stay.
+Base entities (e-mail, IP, card, phone) are found by patterns. Candidates are tokens with
+a digit or an at sign, and runs of such tokens that begin with a digit, parted by single blanks;
+those that meet a base entity are the seeds. A candidate's lexical patterns are the one and
+the two words before it (in the `CONTEXT` code points that end where it begins, the candidate before
+included) with its shape (digits and letters by one sign a run, and how many digits). Spark scores the
+bipartite graph of patterns and instances: seeds have 1; a pattern's confidence is the
+mean score of its distinct instances; a pattern with at least `MIN_SEEDS` instances
+of a score of `CONFIDENT` or more and a confidence as high is taken, and its instances get its
+confidence. So instances that were found take in patterns in the next round;
+rounds go on until none is added. Candidates under a pattern that was taken become spans of kind `id`.
+They never overlap base spans, and base spans always stay.
+
+A candidate has at least `MIN_DIGITS` digits or an at sign: shorter numbers are counts, years and
+list numbers, which identify nobody whatever stands before them.
 
 Scale: texts are read once and never shuffled; spans and candidates go to a
 table in the shared folder. Patterns and instances are aggregated with partial
-aggregates, so a very common pattern or value is summed before it moves.
+aggregates, so a very common pattern or value is summed before it moves. The work on a text is in
+proportion to its length and its matches.
 
 The base patterns use possessive loops and look-behinds that find the same
 matches as the plain patterns in linear time without recursion, so very long
 runs of letters, digits or dots are safe.
 
 Defined cases: null text is empty and has no span; of equal candidates all are
-taken; repeated rows of a doc_id each have their own spans. Extra columns are
-ignored.
+taken; repeated rows of a doc_id, and rows without one, each have their own spans; extra columns are
+ignored (mask keeps them).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import bounded, documents, let, numbered, table
+from heliodor.llm.common import bounded, documents, drop, let, numbered, running, table
 
 KINDS = ("email", "ip", "card", "phone", "id")
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -38,9 +45,11 @@ BASE = {
     "card": (r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])", None),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "+"),
 }
-#: A token with a digit.
-CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-ROUNDS, MIN_SEEDS, CONFIDENT, MIN_DIGITS = 2, 4, 0.6, 7
+#: A token with a digit or an at sign, and the tokens behind it that begin with a digit.
+CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [(]?[0-9]\S*+)*+"
+#: Signs around a candidate that are not part of it.
+BEFORE, BEHIND = "([{<\"'", ".,;:!?)]}>\"'"
+MIN_SEEDS, CONFIDENT, MIN_DIGITS, CONTEXT = 4, 0.6, 4, 40
 
 
 def _digits(c: Column) -> Column:
@@ -82,12 +91,8 @@ def matches(text: Column, pattern: str) -> Column:
     def placed(m: Column) -> Column:
         def with_gaps(g: Column) -> Column:
             lengths = F.zip_with(g, m, lambda a, b: F.length(a) + F.coalesce(F.length(b), F.lit(0)))
-
-            def one(x: Column, i: Column, n: Column) -> Column:
-                end = F.aggregate(F.slice(n, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b)
-                return let(end, lambda e: F.struct(x.alias("match"), F.get(g, i).alias("gap"), (e - F.length(x)).alias("start"), e.alias("end")))
-
-            return let(lengths, lambda n: F.transform(m, lambda x, i: one(x, i, n)))
+            ends = running(lengths, lambda a, b: a + b, F.lit(0))
+            return let(ends, lambda e: F.transform(m, lambda x, i: F.struct(x.alias("match"), F.get(g, i).alias("gap"), (F.get(e, i) - F.length(x)).alias("start"), F.get(e, i).alias("end"))))
 
         return let(F.split(text, pattern, -1), with_gaps)
 
@@ -106,45 +111,70 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
+_CANDIDATES = "array<struct<value:string,patterns:array<string>,start:int,end:int>>"
+
+
 def candidates(text: Column) -> Column:
-    """array<struct<value, pattern, start, end>>: tokens with at least MIN_DIGITS digits, and their lexical patterns."""
+    """array<struct<value, patterns, start, end>>: what may identify somebody, and its lexical patterns (none without a word before it)."""
 
-    def one(x: Column) -> Column:
-        left = F.lower(F.regexp_extract(F.substring(x["gap"], -40, 40), r"(\S+\s+\S+\s*|\S+\s*)$", 1))
-        size = F.least(F.length(_digits(x["match"])), F.lit(20))
-        sort = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring(x["match"], 1, 80), "[0-9]+", "9"), r"\p{L}+", "a"), r"(.+?)\1+", "$1")
-        pattern = F.concat_ws("|", F.trim(F.regexp_replace(left, r"\s+", " ")), sort, (size / 4).cast("int").cast("string"))
-        return F.struct(x["match"].alias("value"), pattern.alias("pattern"), x["start"].alias("start"), x["end"].alias("end"))
+    def one(x: Column, before: Column) -> Column:
+        inner = F.ltrim(x["match"], F.lit(BEFORE))
+        left = F.lower(F.concat(F.coalesce(before["match"], F.lit("")), x["gap"]))
+        said = F.filter(F.split(F.regexp_replace(F.substring(left, -CONTEXT, CONTEXT), "[^\\p{L}\\p{N}]+", " "), " "), lambda w: w != "")
+        value = F.rtrim(inner, F.lit(BEHIND))
+        shape = F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), r"\p{L}+", "a")
+        shape = F.when(F.length(shape) <= 40, shape).otherwise(F.hex(F.xxhash64(shape)))
+        kind = F.concat(shape, F.lit("|"), F.ceil(F.sqrt(F.length(_digits(value)))).cast("string"))
+        patterns = let(said, lambda w: F.transform(F.filter(F.array(F.lit(1), F.lit(2)), lambda n: F.size(w) >= n), lambda n: F.concat(F.array_join(F.slice(w, -n, n), " "), F.lit("|"), kind)))
+        start = x["start"] + F.length(x["match"]) - F.length(inner)
+        return F.struct(value.alias("value"), patterns.alias("patterns"), start.alias("start"), (start + F.length(value)).alias("end"))
 
-    worth = F.filter(matches(text, CANDIDATE), lambda x: F.length(_digits(x["match"])) >= MIN_DIGITS)
-    return F.transform(worth, one)
+    found = let(matches(text, CANDIDATE), lambda m: F.transform(m, lambda x, i: one(x, F.get(m, i - 1))))
+    return F.filter(found, lambda c: (F.length(_digits(c["value"])) >= MIN_DIGITS) | F.contains(c["value"], F.lit("@")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """row_id, doc_id, base, cands of every row, in a table."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    none = F.array().cast("array<struct<value:string,pattern:string,start:int,end:int>>")
-    cands = F.when(F.rlike("text", F.lit(r"[0-9]")), candidates(F.col("text"))).otherwise(none)
+    cands = F.when(F.rlike("text", F.lit("[0-9@]")), candidates(F.col("text"))).otherwise(F.array().cast(_CANDIDATES))
     return table(rows.select(F.expr("uuid()").alias("row_id"), "doc_id", "base", cands.alias("cands")), "pii")
 
 
-def bootstrap(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def _placed(scanned: DataFrame) -> DataFrame:
+    """row_id, value, patterns, start, end, seed (whether it meets a base span) of each candidate, in a table.
+
+    A row's spans are walked in order of their places, and back."""
+    each = scanned.where(F.size("cands") > 0).select("row_id", F.explode("cands").alias("c")).select("row_id", "c.*", F.lit(None).cast("int").alias("b0"), F.lit(None).cast("int").alias("b1"))
+    base = scanned.where((F.size("cands") > 0) & (F.size("base") > 0)).select("row_id", F.explode("base").alias("b"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("value", "string"), ("patterns", "array<string>"))]
+    both = each.unionByName(base.select("row_id", *none, F.col("b.start").alias("start"), F.col("b.end").alias("end"), F.col("b.start").alias("b0"), F.col("b.end").alias("b1")))
+    # Two growing frames: a shrinking one would be computed anew for each row.
+    up = Window.partitionBy("row_id").orderBy("start", F.col("b0").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("row_id").orderBy(F.col("start").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    before, behind = F.max("b1").over(up), F.min("b0").over(down)
+    seed = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(behind < F.col("end"), F.lit(False))
+    return table(both.withColumn("seed", seed).where("value IS NOT NULL").select("row_id", "value", "patterns", "start", "end", "seed"), "candidates")
+
+
+def bootstrap(scanned: DataFrame) -> DataFrame:
     """row_id, start, end of the candidates that high-confidence patterns discover."""
-    each = scanned.where(F.size("cands") > 0).select("row_id", "base", F.explode("cands").alias("c")).select("row_id", "c.*", F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start"))).alias("seed"))
-    each = table(each, "candidates")
-    edges = each.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("int")).alias("seed"))
-    edges = table(edges, "edges")
-    instances = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
-    patterns = None
-    for _ in range(rounds):
-        scored = edges.join(instances, "value")
-        patterns = scored.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum("seed").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-        found = edges.join(patterns, "pattern").where(F.col("confidence") >= CONFIDENT).groupBy("value").agg(F.max("confidence").alias("reached"))
-        seeds = edges.groupBy("value").agg(F.max("seed").cast("double").alias("seed"))
-        instances = table(seeds.join(found, "value", "left").select("value", F.greatest("seed", F.coalesce("reached", F.lit(0.0))).alias("score")), "instances")
-    good = patterns.where(F.col("confidence") >= CONFIDENT).select("pattern")
-    return each.where(~F.col("seed")).join(good, "pattern", "left_semi").select("row_id", "start", "end")
+    each = _placed(scanned)
+    edges = table(each.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max(F.col("seed").cast("double")).alias("score")), "edges")
+    taken = -1
+    while True:
+        sure = F.sum((F.col("score") >= CONFIDENT).cast("long"))
+        patterns = edges.groupBy("pattern").agg(F.avg("score").alias("confidence"), sure.alias("sure")).where((F.col("sure") >= MIN_SEEDS) & (F.col("confidence") >= CONFIDENT)).select("pattern", "confidence")
+        patterns = table(patterns, "patterns")
+        now = patterns.count()
+        if now == taken:
+            break
+        taken = now
+        reached = edges.join(patterns, "pattern").groupBy("value").agg(F.max("confidence").alias("reached"))
+        before, edges = edges, table(edges.join(reached, "value", "left").select("pattern", "value", F.greatest("score", F.coalesce("reached", F.lit(0.0))).alias("score")), "edges")
+        drop(before, patterns)
+    new = each.where(~F.col("seed")).select("row_id", "start", "end", F.explode("patterns").alias("pattern"))
+    return new.join(patterns.select("pattern"), "pattern", "left_semi").select("row_id", "start", "end").distinct()
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -155,21 +185,37 @@ def find(docs: DataFrame) -> DataFrame:
     return scanned.join(new, "row_id", "left").select("doc_id", "base", F.concat("base", F.coalesce("new", none)).alias("all"))
 
 
+#: Code points of a text that mask cuts at once.
+_CUT = 4096
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """text with each of the sorted spans (start, end, kind; at least one) replaced; a span that begins before all before it have ended goes with them."""
+
+    def replaced(s: Column, ends: Column, cuts: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            k = F.shiftright(a, 12)
+            held = F.array_join(F.slice(cuts, k + 1, F.shiftright(b, 12) - k + 1), "")
+            return F.substring(held, a - k * _CUT + 1, b - a)
+
+        def one(x: Column, i: Column) -> Column:
+            at = F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+            return F.when(x["start"] >= at, F.concat(between(at, x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(F.lit(""))
+
+        return F.concat(F.array_join(F.transform(s, one), ""), between(F.element_at(ends, -1), F.length(text)))
+
+    cuts = F.transform(F.sequence(F.lit(0), F.shiftright(F.length(text), 12)), lambda k: F.substring(text, k * _CUT + 1, F.lit(_CUT)))
+    ends = lambda s: running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+    return let(spans, lambda s: let(ends(s), lambda e: let(cuts, lambda c: replaced(s, e, c))))
+
+
 def mask(docs: DataFrame) -> DataFrame:
     """docs with each span in text replaced by its kind in brackets. Other columns stay; rows without a doc_id, and rows that repeat one, are masked by their own spans."""
     rows = numbered(docs, "__row")
     rows = docs.withColumn("__row", F.col("doc_id")) if rows is None else rows
     spans = find(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), F.array_sort(F.transform("all", lambda s: F.struct(s["start"], s["end"], s["kind"]))).alias("__spans")).where(F.size("__spans") > 0)
-
-    def masked(s: Column) -> Column:
-        # Spans of two kinds may overlap: a piece begins where all before it have ended.
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-        text = F.col("text")
-        step = lambda a, x: F.when(x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"))).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out")))
-        return F.aggregate(s, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-
-    joined = rows.join(bounded(spans, 100_000), "__row", "left")
-    return joined.withColumn("text", F.when(F.col("__spans").isNotNull(), masked(F.col("__spans"))).otherwise(F.col("text"))).select(*docs.columns)
+    joined = rows.join(bounded(spans, units=F.size("__spans") + 1), "__row", "left")
+    return joined.withColumn("text", F.when(F.col("__spans").isNotNull(), _masked(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def _is(kind: str):

@@ -186,3 +186,21 @@ def test_pipeline_judges_rows_without_an_id(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{k}")
     left = [(None, "write to [EMAIL] now"), (3, "a text of its own kind"), (5, "first words of five"), (5, "mail [EMAIL] for other words"), (7, "seven")]
     assert sorted(((r.doc_id, r.text, r.n_chars) for r in docs.collect()), key=str) == sorted(((d, t, len(t)) for d, t in left), key=str)
+
+
+def test_pipeline_with_clashing_columns_and_no_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    item = spark.createDataFrame([(1, "some words of a benchmark")], "item_id long, text string")
+    labelled = [(i, t, lang) for i, (t, lang) in enumerate([("the house and the garden are here", "en"), ("das Haus und der Garten sind hier", "de")] * 6)] + [(20, None, None), (21, "12 34", None)]
+    names = ("score", "lang_pred", "rejected", "row", "kept", "contaminated", "spans", "base", "n_hit", "component_id")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    for k, rows in enumerate(([], labelled)):
+        docs = spark.createDataFrame([(*r, "s", 1, *["x"] * len(names)) for r in rows], schema)
+        path = saved(spark, tmp_path / str(k), documents=docs, benchmark=item)
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            columns = docs.columns
+            stage(spark, docs, path).write.parquet(f"{tmp_path}/{k}-{i}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}-{i}")
+            assert i == 4 or docs.columns == columns
+        assert docs.count() == (2 if rows else 0)

@@ -61,6 +61,81 @@ def test_bootstrap_finds_what_seeds_point_at(spark):
     assert masked[90]["text"] == "my account number: [ID] thanks" and masked[91]["text"] == rows[-1][1] and masked[0]["text"] == "my account number: [CARD] thanks 0"
 
 
+BLANK = " \t\n\x0b\f\r"
+
+
+def plain_candidates(text):
+    """(value, patterns, start, end) of a text's candidates, with the rules written plainly."""
+    import math
+
+    import regex
+
+    token = pii.CANDIDATE.replace(r"[^\s0-9@]", f"[^{BLANK}0-9@]").replace(r"\S", f"[^{BLANK}]")
+    out, at, last = [], 0, ""
+    for m in regex.finditer(token, text):
+        inner = m[0].lstrip(pii.BEFORE)
+        value, start = inner.rstrip(pii.BEHIND), m.start() + len(m[0]) - len(inner)
+        digits = len(regex.sub("[^0-9]", "", value))
+        said = regex.findall(r"[\p{L}\p{N}]+", (last + text[at : m.start()]).lower()[-pii.CONTEXT :])
+        shape = regex.sub(r"\p{L}+", "a", regex.sub("[0-9]+", "9", value))
+        if digits >= pii.MIN_DIGITS or "@" in value:
+            out.append((value, [f"{' '.join(said[-n:])}|{shape}|{math.ceil(math.sqrt(digits))}" for n in (1, 2) if len(said) >= n], start, start + len(value)))
+        at, last = m.end(), m[0]
+    return out
+
+
+def plain_found(texts):
+    """The spans that bootstrapping adds to each text."""
+    each, scores = [], {}
+    for i, text in enumerate(texts):
+        base = [tuple(map(int, s.split(":")[1:])) for s in plain_spans(text)]
+        for value, patterns, a, b in plain_candidates(text):
+            seed = any(x < b and y > a for x, y in base)
+            each.append((i, patterns, a, b, seed))
+            for p in patterns:
+                scores.setdefault(p, {})[value] = max(float(seed), scores.get(p, {}).get(value, 0.0))
+    taken = {}
+    while True:
+        good = {p: sum(v.values()) / len(v) for p, v in scores.items() if sum(s >= pii.CONFIDENT for s in v.values()) >= pii.MIN_SEEDS and sum(v.values()) / len(v) >= pii.CONFIDENT}
+        if len(good) == len(taken):
+            break
+        taken, best = good, {}
+        for p, c in good.items():
+            for value in scores[p]:
+                best[value] = max(c, best.get(value, 0.0))
+        for v in scores.values():
+            for value in v:
+                v[value] = max(v[value], best.get(value, 0.0))
+    return [sorted({(a, b) for j, patterns, a, b, seed in each if j == i and not seed and set(patterns) & set(taken)}) for i in range(len(texts))]
+
+
+def test_bootstrap_goes_on_from_what_it_found(spark):
+    cards = ["4539578763621486", "4485275742308327", "4916338506082832", "4556015886206505", "4929896355493470", "4024007103939509"]
+    codes = [f"K{7301 + 17 * i}-{i}" for i in range(4)]
+    numbers = [f"{x[:4]} {x[4:8]} {x[8:12]} {x[12:]}" for x in cards]
+    texts = [f"my account number: {c}, thanks" for c in cards] + [f"my account number: {8123456789012345 + i} ok" for i in range(3)]
+    texts += [f"hello member code {8123456789012345 + i}." for i in range(3)] + [f"hello member code {c}" for c in cards[:3]] + ["member code 9123456789012345!"]
+    texts += [f"paid with card {n} today" for n in numbers] + ["paid with card 1234 5678 9012 3456 today", "in the year 2019 or 2020", "mail bob@x-y.org, ann@z.org"]
+    texts += [f"the order {c} came" for c in codes] + ["", "12", "@ @", "(4539578763621487)"]
+    rows = frame(spark, [(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = by_id(pii.find(rows))
+    want = plain_found(texts)
+    assert [[(s.start, s.end) for s in got[i]["all"] if s.kind == "id"] for i in range(len(texts))] == want
+    hop = texts.index("member code 9123456789012345!")  # no seed stands under its pattern but what the first round found
+    assert want[hop] and want[texts.index("paid with card 1234 5678 9012 3456 today")] and not any(want[-4:])
+
+
+def test_long_rows(spark):
+    import time
+
+    text = "id 12345 " * 200_000
+    rows = frame(spark, [(1, text), (2, "call +1 (212) 555-0100 " * 3000)], "doc_id long, text string")
+    begin = time.time()
+    masked = by_id(pii.mask(rows))
+    assert masked[1]["text"] == text and masked[2]["text"] == "call [PHONE] " * 3000
+    assert time.time() - begin < 90
+
+
 def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     talks = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
@@ -90,6 +165,18 @@ def test_chat_round_trip(spark, tmp_path):
         assert all(not any(w in c for w in chat.CONTROL) for c in cut)
 
 
+def test_chat_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    hard = ["␛x", "␛7", "␛4", "␛", "x␛0", "<s>␛", "plain", None, "[/INST", "a\nb"]
+    rows = [(i, t, r, x) for i, x in enumerate(hard) for t, r in enumerate(["user", "assistant"])] + [(40 + i, 0, r, "␛ y") for i, r in enumerate(["odd\nrole", "␛5", "r␛", "<s>"])]
+    path = saved(spark, tmp_path, conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = sorted(tuple(r) for r in chat.op2_chat_format(spark, path).collect())
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW conversations AS SELECT * FROM '{path}/conversations.parquet/*.parquet'")
+    assert got == sorted(db.sql(chat.ORACLE_SQL["op2_chat_format"]).fetchall())
+
+
 def plain_contamination(docs, items, n=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     wins = {}
@@ -119,6 +206,12 @@ def test_contamination(spark):
         assert mine["contaminated"] == (want[1] > 0)
 
 
+def test_contamination_judges_rows(spark):
+    docs = frame(spark, [(5, "alpha x gamma", None), (5, "y beta z", None), (5, "so alpha beta gamma", None), (None, "alpha beta gamma", None), (None, "beta", None), (7, "alpha beta gamma", None)])
+    got = decontam.contamination(docs, spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string"))
+    assert sorted(((r.doc_id or 0, r.n_words, r.n_hit) for r in got.collect())) == [(0, 1, 0), (0, 3, 3), (5, 3, 0), (5, 3, 0), (5, 4, 3), (7, 3, 3)]
+
+
 def test_proximity(spark):
     wins = decontam.windows(spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string"))
     docs = frame(spark, [(1, "alpha x beta gamma y delta", None), (2, "alpha q q q q q q q q beta", None)])
