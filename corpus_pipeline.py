@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliodor.llm import bpe, decontam, langid, neardup, pii
-from heliodor.llm.common import bounded, numbered, shared_dir
+from heliodor.llm.common import bounded, delete, numbered, shared_dir
 
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE_WORDS = 5
@@ -24,8 +24,7 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language is rejected: no letter, or a narrow margin."""
-    judged = langid.predict(docs, langid.fit(docs), keep=docs.columns)
-    return judged.where(~F.col("rejected")).select(*docs.columns)
+    return langid.predict(docs, langid.fit(docs), keep=docs.columns, accepted=True)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -72,4 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = stage(spark, docs, sf_dir)
         made.write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # nothing reads the stage before any more
+            delete(spark, f"{folder}/{k - 1}")
     return docs
