@@ -32,19 +32,29 @@ def ngrams(tokens: Column, n: int) -> Column:
     return let(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(none))
 
 
+def _place(ordered: Column, value: Column, after: bool) -> Column:
+    """How many values of a sorted array are less than value (or, with after, not greater), by bisection."""
+    fits = lambda x: x <= value if after else x < value
+    steps = F.array(*[F.lit(1 << b) for b in range(27, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when((low + step <= F.size(ordered)) & fits(F.get(ordered, low + step - 1)), low + step).otherwise(low))
+
+
 def clipped_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    total = lambda p: F.aggregate(F.array_distinct(p["a"]), F.lit(0), lambda s, x: s + F.least(count(p["a"], x), count(p["b"], x)))
-    return let(F.struct(a.alias("a"), b.alias("b")), total)
+    """Size of the multiset intersection of two arrays: the counts of what both hold, from both in order."""
+    count = lambda xs, x: _place(xs, x, True) - _place(xs, x, False)
+    both = lambda p: F.aggregate(F.array_intersect(p["a"], p["b"]), F.lit(0), lambda s, x: s + F.least(count(p["a"], x), count(p["b"], x)))
+    return let(F.struct(F.sort_array(a).alias("a"), F.sort_array(b).alias("b")), both)
 
 
 def rouge_n(tokens: Column, truth: Column, n: int) -> Column:
     """struct<precision, recall, f1> of n-grams, unstemmed unless the tokens are stems."""
-    a, b = ngrams(tokens, n), ngrams(truth, n)
-    hit = clipped_overlap(a, b).cast("double")
-    p, r = ratio(hit, F.size(a)), ratio(hit, F.size(b))
-    return F.struct(p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
+
+    def scored(g: Column) -> Column:
+        hit = clipped_overlap(g["a"], g["b"]).cast("double")
+        p, r = ratio(hit, F.size(g["a"])), ratio(hit, F.size(g["b"]))
+        return let(F.struct(p.alias("p"), r.alias("r")), lambda x: F.struct(x["p"].alias("precision"), x["r"].alias("recall"), f1(x["p"], x["r"]).alias("f1")))
+
+    return let(F.struct(ngrams(tokens, n).alias("a"), ngrams(truth, n).alias("b")), scored)
 
 
 def rouge_tokens(text: str, stem: bool = True) -> list[str]:
