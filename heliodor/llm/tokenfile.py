@@ -589,6 +589,13 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def encoder(path: str) -> WordEncoder:
+    """A worker's encoder, with what it remembers from one task to the next. (A dict that a task's own function named would go with each task, empty.)"""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     """Encode docs (doc_id, text), append end_id to each, and write segments in ascending doc_id order below path."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -596,8 +603,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     def run(batches):
         from pyspark import TaskContext
 
-        words = _ENCODERS.setdefault(tokenizer, None) or WordEncoder(tokenizer)
-        _ENCODERS[tokenizer] = words
+        words = encoder(tokenizer)
         part, first, segment = TaskContext.get().partitionId(), 0, 0
         held, open_ids, open_docs, open_sizes, size = [], [], [], [], 0
 
