@@ -45,10 +45,8 @@ from heliodor.llm.common import _SPACE, Memo, PartHashes, documents, shared_dir,
 
 MAGIC, VERSION = b"HTOK", 2
 BLOCK, SEGMENT = 2048, 1 << 20
-#: Ids that a task codes in lockstep at most.
+#: Ids that a task codes or decodes in lockstep at most (a longer segment alone).
 LOCKSTEP = 6 << 20
-#: Segments that a task decodes in lockstep at most.
-READ_TOGETHER = 6
 #: Bytes of text that are parted into words together (a longer text alone).
 TEXT_BLOCK = 1 << 20
 MOST_ID = (1 << 27) - 2
@@ -66,7 +64,7 @@ def _const(value, kind=np.float64) -> np.ndarray:
     return np.array(value, kind)
 
 
-_NONE, _ONE, _WINDOW, _WORD = _const(0), _const(1), _const(1 << 32), _const(1 << 16)
+_ONE, _WINDOW, _WORD = _const(1), _const(1 << 32), _const(1 << 16)
 _A_WORD, _A_WINDOW, _A_NEW = _const(1 / (1 << 16)), _const(1 / (1 << 32)), _const(1 / (1 << 24))
 _UP4, _DOWN27, _DOWN29 = _const(4, np.int8), _const(27, np.int32), _const(29, np.int32)
 _CONTEXTS = 32
@@ -235,24 +233,25 @@ class _Writer:
             self.words, self.room = wider.reshape(-1), 2 * self.room
             self.at = fill + np.arange(lanes) * self.room
 
-    def put(self, lanes, cum, f, total: np.ndarray) -> None:
-        """Code a symbol in each lane, and put out a word of each whose width falls under 2**32."""
+    def put(self, lanes, cum, f, total: np.ndarray, words: int = 1) -> None:
+        """Code a symbol in each lane, and put out a word, or up to so many, of each whose width falls under 2**32."""
         r = self.width[lanes] * total
         np.floor(r, out=r)
         f = f * r
         r *= cum
         r += self.low[lanes]
-        word = r * _A_WINDOW
-        np.floor(word, out=word)
-        out = f < _WINDOW
         at = self.at[lanes]
-        self.words[at] = word  # where nothing is put out the next word takes its place
-        self.at[lanes] = at + out
-        word *= _WINDOW
-        rest = r - word
-        rest *= _WORD
-        self.low[lanes] = np.where(out, rest, r)
-        self.width[lanes] = np.where(out, f * _WORD, f)
+        for _ in range(words):
+            word = r * _A_WINDOW
+            np.floor(word, out=word)
+            out = f < _WINDOW
+            self.words[at] = word  # where nothing is put out the next word takes its place
+            at = at + out
+            word *= _WINDOW
+            rest = r - word
+            rest *= _WORD
+            r, f = np.where(out, rest, r), np.where(out, f * _WORD, f)
+        self.at[lanes], self.low[lanes], self.width[lanes] = at, r, f
 
     def close(self) -> list[np.ndarray]:
         for _ in range(3):
@@ -329,8 +328,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             x = ids[t][new]
             h = np.minimum(x >> 8, 256)
             each = _EACH[h]
-            writer.put(new, _HIGH[h] * 256 + each * (x & 255), each, _A_NEW)
-            writer.put(new, _NONE, _ONE, _ONE)
+            writer.put(new, _HIGH[h] * 256 + each * (x & 255), each, _A_NEW, 2)
             if len(far := new[h == 256]):  # an id of more than two bytes
                 for shift, total in _FAR:
                     writer.put(far, (ids[t][far] >> shift) & (total - 1), _ONE, _const(1 / total))
@@ -365,16 +363,17 @@ class _Reader:
         np.floor(v, out=v)
         return r, np.minimum(v, _const(total - 1), out=v)
 
-    def take(self, lanes, r: np.ndarray, cum, f) -> None:
+    def take(self, lanes, r: np.ndarray, cum, f, words: int = 1) -> None:
         wide = r * f
         value = self.value[lanes] - r * cum
-        more = wide < _WINDOW
         at = self.at[lanes]
-        next_ = value * _WORD
-        next_ += self.words.take(at, mode="clip")
-        self.at[lanes] = at + more
-        self.value[lanes] = np.where(more, next_, value)
-        self.width[lanes] = np.where(more, wide * _WORD, wide)
+        for _ in range(words):
+            more = wide < _WINDOW
+            next_ = value * _WORD
+            next_ += self.words.take(at, mode="clip")
+            at = at + more
+            value, wide = np.where(more, next_, value), np.where(more, wide * _WORD, wide)
+        self.at[lanes], self.value[lanes], self.width[lanes] = at, value, wide
 
 
 def decode_blocks(coded: list[bytes], sizes_in: list[int]) -> list[np.ndarray]:
@@ -421,8 +420,7 @@ def decode_blocks(coded: list[bytes], sizes_in: list[int]) -> list[np.ndarray]:
             high = _HIGH_OF[v.astype(np.int64) >> 8]
             each, first = _EACH[high], _HIGH[high] * 256
             low = np.floor((v - first) / each)
-            reader.take(new, r, first + each * low, each)
-            reader.take(new, reader.width[new], _NONE, _ONE)
+            reader.take(new, r, first + each * low, each, 2)
             if len(far := np.flatnonzero(high == 256)):
                 high[far] = 0
                 for shift, total in _FAR:
@@ -673,9 +671,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         starts[part] = total
         total += n
 
+    def together(whole):
+        """Parts of a batch with at most LOCKSTEP ids, one segment at least."""
+        ends, begin = np.cumsum(whole.column("n_tokens").to_numpy()), 0
+        while begin < whole.num_rows:
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + LOCKSTEP, "right")))
+            yield whole.slice(begin, end - begin)
+            begin = end
+
     def run(batches):
-        for whole, at in ((b, i) for b in batches for i in range(0, b.num_rows, READ_TOGETHER)):
-            batch = whole.slice(at, READ_TOGETHER)
+        for batch in (part for whole in batches for part in together(whole)):
             base = [starts[p] + f for p, f in zip(batch.column("part").to_pylist(), batch.column("first").to_pylist(), strict=True)]
             for start, (doc_ids, n, ids) in zip(base, unpack_segments(batch.column("data").to_pylist()), strict=True):
                 ends = np.cumsum(n)
@@ -683,7 +688,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "start": pa.array(start + ends - n, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return stored.select("part", "first", "data").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return stored.select("part", "first", "n_tokens", "data").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
