@@ -163,7 +163,7 @@ def _counted_until(t: int) -> int:
 def _order0(ids: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For ids[begin:end] of each lane (columns): how many of ids[:begin] are less, and less or equal; 4 where one is equal."""
     n, width = ids.shape[1], end - begin
-    low, high = np.empty((width, n), np.int16), np.empty((width, n), np.int16)
+    both = np.empty((width, n), np.int32)  # less in the upper half, less or equal in the lower
     wide = np.int32 if not ids.size or int(ids.max()) < 1 << 17 else np.int64
     along = np.arange(end, dtype=wide)
     for at in range(0, n, 64):
@@ -179,12 +179,13 @@ def _order0(ids: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarr
         first = before - old
         first[:, 1:][keys[:, 1:] == keys[:, :-1]] = 0
         np.maximum.accumulate(first, axis=1, out=first)
-        new = ~old
-        to = place[new].reshape(lanes, width) + (np.arange(lanes) * width - begin)[:, None]
-        for out, value in ((low, first), (high, before)):
-            own = np.empty(lanes * width, np.int16)
-            own[to] = value[new].reshape(lanes, width)
-            out[:, at : at + 64] = own.reshape(lanes, width).T
+        packed = first.astype(np.int32)
+        packed <<= 16
+        packed |= before
+        own = np.empty(lanes * end, np.int32)
+        own[place + (np.arange(lanes) * end)[:, None]] = packed
+        both[:, at : at + 64] = own.reshape(lanes, end)[:, begin:].T
+    low, high = (both >> 16).astype(np.int16), (both & 0xFFFF).astype(np.int16)
     return low, high, (high > low).view(np.int8) << 2
 
 
@@ -192,13 +193,19 @@ def _order0_table(ids: np.ndarray) -> np.ndarray:
     """For each lane (column of ids) its ids in order, packed as id, how many are less, and how many are less or equal."""
     most, n = ids.shape
     out = np.empty((n, most), np.int64)
+    place, none, end = np.arange(1, most, dtype=np.int16), np.int16(0), np.int16(most)
     for at in range(0, n, 64):
         part = np.sort(np.ascontiguousarray(ids[:, at : at + 64].T), axis=1)
         new = part[:, 1:] != part[:, :-1]
-        first, last = np.zeros(part.shape, np.int64), np.full(part.shape, most)
-        np.maximum.accumulate(np.where(new, np.arange(1, most), 0), axis=1, out=first[:, 1:])
-        last[:, :-1] = np.minimum.accumulate(np.where(new, np.arange(1, most), most)[:, ::-1], axis=1)[:, ::-1]
-        out[at : at + 64] = (part.astype(np.int64) << 26) | (first << 13) | last
+        first, last = np.zeros(part.shape, np.int16), np.full(part.shape, end)
+        np.maximum.accumulate(np.where(new, place, none), axis=1, out=first[:, 1:])
+        last[:, :-1] = np.minimum.accumulate(np.where(new, place, end)[:, ::-1], axis=1)[:, ::-1]
+        entry = part.astype(np.int64)
+        entry <<= 13
+        entry |= first
+        entry <<= 13
+        entry |= last
+        out[at : at + 64] = entry
     return out.reshape(-1)
 
 
