@@ -16,6 +16,7 @@ MODULES = {
     "op8_personal_data": "pii",
     "op9_substring_dedup": "substring",
     "op10_order_minhash": "fingerprint",
+    "op11_merkle_manifest": "manifest",
     "op12_filter_audit": "audit",
     "op13_sentencepiece": "pieces",
 }
