@@ -20,9 +20,9 @@ a batch are one row, so a passage that is in a third of all documents sends one
 a batch. Only the splitter sample reaches the driver, and its size is bounded.
 
 Defined cases: null text is empty; texts under `LENGTH` bytes keep all; a string that
-overlaps its own repeat counts; repeated rows of a doc_id are documents of their own when
-strings are counted, and what is removed for one is removed for all (equal rows: all
-is removed); the text of a null doc_id is compared but itself kept. Extra columns are ignored.
+overlaps its own repeat counts; rows that repeat a doc_id or lack it are documents of
+their own, each judged and cut by itself (equal rows: all is removed from both, if they
+have `LENGTH` bytes). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliodor.llm.common import _BYTE, documents, mix64, slices, table, text_buffer, tidy
+from heliodor.llm.common import _BYTE, documents, mix64, numbered, slices, text_buffer, tidy
 from heliodor.llm.seeds import Spans, combine_shared, shared_keys, window_runs, with_lists
 
 LENGTH, GRAM = 200, 48
@@ -151,21 +151,10 @@ def _splitters(docs: DataFrame, length: int, gram: int, buckets: int) -> list[by
     return sorted(set(cuts))
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """doc_id and text, where rows without a doc_id have numbers above all doc_ids."""
-    docs = docs.select("doc_id", "text")
-    if not docs.where("doc_id IS NULL").limit(1).count():
-        return docs
-    top = docs.agg(F.max("doc_id")).first()[0]
-    spare = F.lit(-1 if top is None else top) + 1 + F.monotonically_increasing_id()
-    return table(docs.select(F.coalesce("doc_id", spare).alias("doc_id"), "text"), "identified")
-
-
 def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc, spans (array<struct<start, stop>>): bytes of each document that lie in repeated strings; spans may overlap.
 
-    Rows without a doc_id have numbers of their own above all doc_ids."""
-    docs = _identified(docs)
+    Each row needs a doc_id of its own, as remove_repeats() gives it one."""
     spark = docs.sparkSession
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     splitters = _splitters(docs, length, gram, buckets)
@@ -278,7 +267,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
-    return with_lists(docs, find_repeats(docs, length, gram)).mapInArrow(tidy(strip), schema)
+    rows = numbered(docs.select("doc_id", "text"), "row")
+    texts = docs.select("doc_id", "text") if rows is None else rows.select(F.col("row").alias("doc_id"), "text")
+    made = with_lists(texts, find_repeats(texts, length, gram)).mapInArrow(tidy(strip), schema)
+    if rows is None:
+        return made
+    return made.withColumnRenamed("doc_id", "row").join(rows.select("row", "doc_id"), "row").select(*made.columns)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
