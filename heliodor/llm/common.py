@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 import uuid
 
@@ -196,8 +197,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Longest part, in bytes, whose hash is a polynomial's: modulo 2**64, Thue-Morse words of 1,024 signs and more have the hash of their complements.
+POLYNOMIAL_BYTES = 256
+
+
 class PartHashes:
-    """64-bit hashes of any parts of a byte buffer, by prefix sums modulo 2**64 of random byte values times powers of an odd base."""
+    """64-bit hashes of any parts of a byte buffer, by prefix sums modulo 2**64 of random byte values times powers of an odd base; long parts by BLAKE2."""
 
     _up = _down = np.ones(1, np.uint64)
 
@@ -206,6 +211,7 @@ class PartHashes:
         if len(cls._up) <= len(raw):
             n = max(len(raw) + 1, 2 * len(cls._up))
             cls._up, cls._down = powers(n), powers(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))
+        self.raw = raw
         self.sums = np.zeros(len(raw) + 1, np.uint64)
         value = _BYTE[raw]
         value *= cls._up[: len(raw)]
@@ -215,8 +221,12 @@ class PartHashes:
         out = self.sums[ends]
         out -= self.sums[starts]
         out *= type(self)._down[starts]
-        out += (ends - starts).astype(np.uint64)
-        return mix64(out)
+        size = ends - starts
+        out += size.astype(np.uint64)
+        out = mix64(out)
+        for i in np.flatnonzero(size > POLYNOMIAL_BYTES).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        return out
 
 
 class Memo:
