@@ -7,7 +7,6 @@ step's state is checkpointed in the shared folder.
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,19 +15,22 @@ from pyspark.sql import functions as F
 from heliodor.functions import text
 from heliodor.functions.scalars import truncate
 from heliodor.operators import rank, search
+from heliodor.operators.textindex import TextIndex
 from heliodor.plans.providers import HashingEmbedder, OverlapReranker, TemplateGenerator, query_text
+from heliodor.storage import cut
 
 NO_CONTEXT = "No relevant information was found."
 
 
 @dataclass
 class Corpus:
-    """Chunks (id, text, file_id, page, chunk_index) with their vectors, and the models that a plan may ask."""
+    """Chunks (id, text, file_id, page, chunk_index) with their vectors, the models that a plan may ask, and a stored full-text index if there is one."""
 
     chunks: DataFrame
     embedder: HashingEmbedder = field(default_factory=HashingEmbedder)
     reranker: OverlapReranker | None = None
     generator: object = field(default_factory=TemplateGenerator)
+    index: TextIndex | None = None
 
     def points(self) -> DataFrame:
         return self.chunks if "vector" in self.chunks.columns else self.chunks.withColumn("vector", self.embedder.embed(F.col("text")))
@@ -38,6 +40,9 @@ class Corpus:
         return search.dense_topk(self.points(), asked, k)
 
     def bm25(self, queries: DataFrame, k: int, files: DataFrame | None = None, column: str = "question") -> DataFrame:
+        if self.index is not None:
+            kept = F.array_join(text.fts_tokens(F.col(column)), " ")
+            return self.index.search(queries.select("query_id", kept.alias("text")), k, files)
         docs = self.chunks.select("id", text.words(F.col("text")).alias("tokens"))
         asked = queries.select("query_id", F.flatten(F.transform(text.fts_tokens(F.col(column)), text.words)).alias("tokens"))
         return search.bm25_topk(docs, asked, k, files)
@@ -50,12 +55,8 @@ class Corpus:
         return rank.rerank(met, F.round(self.reranker.score(F.col("question"), F.col("text")), 6), k).select("query_id", "id", "score", "rank")
 
 
-def _save(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a step."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heliodor-plans-"))
-    return df.checkpoint()
+#: Cuts the lineage of a step.
+_save = cut
 
 
 def vector_search(queries: DataFrame, corpus: Corpus, k: int = 20, rerank_k: int = 5) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from heliodor.functions.text import words
 from heliodor.operators import rank, search
+from heliodor.operators.textindex import TextIndex
 from heliodor.queries import load, query
+from heliodor.queries.stemming import stems_sql
 
 
 def _vectors(spark, sf_dir):
@@ -85,16 +87,36 @@ def _texts(spark, sf_dir):
     return docs.select(F.col("doc_id").alias("id"), words(F.col("text")).alias("tokens"), "source"), items.select(F.col("item_id").alias("query_id"), words(F.col("text")).alias("tokens"))
 
 
+def _index(spark, sf_dir, analyzer: str = "words") -> TextIndex:
+    """The stored index of documents, and the questions' tokens as it parts them."""
+    docs = lambda: load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    return TextIndex.stored(spark, f"{sf_dir}/documents.parquet", docs, analyzer)
+
+
+def _questions(spark, sf_dir):
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 @query(f"WITH {_BM25} s AS (SELECT query_id, tf.id, round(sum({_SCORE}), 4) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN d ON d.id = tf.id, st GROUP BY ALL) {_top('s', 20)}")
 def bm25_topk(spark, sf_dir):
-    docs, asked = _texts(spark, sf_dir)
-    return search.bm25_topk(docs, asked, 20)
+    return _index(spark, sf_dir).search(_questions(spark, sf_dir), 20)
+
+
+@query(f"""WITH x AS (SELECT doc_id, source, {_WORDS} AS w FROM documents), y AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+u AS (SELECT doc_id AS id, unnest(w) AS w FROM x), p AS (SELECT item_id AS query_id, unnest(w) AS w FROM y),
+both_w AS (SELECT w FROM u UNION SELECT w FROM p), {stems_sql('both_w', 3, 64)},
+tf AS (SELECT id, stem AS term, count(*) AS tf FROM u JOIN stemmed USING (w) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+d AS (SELECT doc_id AS id, source, w FROM x), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d), q AS (SELECT DISTINCT query_id, stem AS term FROM p JOIN stemmed USING (w)),
+s AS (SELECT query_id, tf.id, round(sum({_SCORE}), 4) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN d ON d.id = tf.id, st GROUP BY ALL)
+SELECT query_id, id, score, rank, source FROM ({_top('s', 20)}) JOIN d USING (id)""")
+def bm25_indexed_topk(spark, sf_dir):
+    return _index(spark, sf_dir, "stems").search(_questions(spark, sf_dir), 20, keep=["source"])
 
 
 @query(f"WITH {_BM25} s AS (SELECT query_id, tf.id, round(sum({_SCORE}), 4) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN d ON d.id = tf.id, st WHERE source IN ('src0', 'src1', 'src2') GROUP BY ALL) {_top('s', 20)}")
 def bm25_file_filter(spark, sf_dir):
-    docs, asked = _texts(spark, sf_dir)
-    return search.bm25_topk(docs, asked, 20, files=docs.where(F.col("source").isin("src0", "src1", "src2")).select("id"))
+    allowed = load(spark, sf_dir, "documents").where(F.col("source").isin("src0", "src1", "src2")).select(F.col("doc_id").alias("id"))
+    return _index(spark, sf_dir).search(_questions(spark, sf_dir), 20, only=allowed)
 
 
 def _weights(spark, sf_dir):
@@ -134,9 +156,8 @@ qw AS (SELECT query_id, term, count(*) AS qw FROM (SELECT item_id AS query_id, u
 i AS (SELECT query_id, id, round(CAST(sum(qw * tf) AS DOUBLE), 6) AS score FROM qw JOIN tf USING (term) GROUP BY ALL),
 a AS ({_top('i', 100)}), b AS ({_top('s', 100)}), lists AS (SELECT 0 AS list_no, * FROM a UNION ALL SELECT 1, * FROM b), {_FUSE}""")
 def hybrid_search(spark, sf_dir):
-    docs, asked = _texts(spark, sf_dir)
-    weights, asked_weights = _weights(spark, sf_dir)
-    return rank.rrf([search.sparse_topk(weights, asked_weights, 100), search.bm25_topk(docs, asked, 100)], 20)
+    index, asked = _index(spark, sf_dir), _questions(spark, sf_dir)
+    return rank.rrf([index.search(asked, 100, digits=6, model="product"), index.search(asked, 100)], 20)
 
 
 @query(f"""{_TWO}, c AS (SELECT query_id, id, score FROM b), j AS (SELECT query_id, id, a.score AS d, c.score AS s FROM a FULL JOIN c USING (query_id, id))

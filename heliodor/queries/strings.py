@@ -8,6 +8,7 @@ from heliodor import sources
 from heliodor.functions import scalars, text
 from heliodor.operators import metrics, rank
 from heliodor.queries import load, query
+from heliodor.queries.stemming import stems_sql
 
 _NORM = "array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
 _WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
@@ -74,7 +75,10 @@ def bleu4(spark, sf_dir):
     return _pairs(spark, sf_dir).select("doc_id", metrics.bleu(F.col("answer"), F.col("truth")).alias("m")).select("doc_id", "m.*")
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM d), {stems_sql('u', 4)},
+s AS (SELECT doc_id, list(stem ORDER BY pos) AS stems FROM u JOIN stemmed USING (w) GROUP BY doc_id)
+SELECT doc_id, coalesce(stems, []) AS stems FROM d LEFT JOIN s USING (doc_id)""")
 def porter_stems(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", text.stems(text.words(F.col("text"))).alias("stems"))
 
