@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
@@ -107,7 +108,8 @@ def test_search_reads_segments_alone(spark, tmp_path):
     found = index.search(spark.createDataFrame([(1, "w3")], "query_id long, text string"), 5)
     plan = found._jdf.queryExecution().executedPlan().toString()
     scans = plan.split("FileScan parquet")[1:]
-    assert scans and all("/blocks" in scan and "PartitionFilters: [bucket" in scan for scan in scans)
+    assert scans and all(re.search(r"PartitionFilters: \[[^\]]*bucket", scan) for scan in scans)
+    assert all("/blocks/bucket=" in file for file in found.inputFiles())
 
 
 def test_empty_index(spark, tmp_path):
