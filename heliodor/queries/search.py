@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heliodor.functions.text import words
 from heliodor.operators import rank, search
 from heliodor.operators.textindex import TextIndex
+from heliodor.operators.vectorindex import VectorIndex
 from heliodor.queries import load, query
 from heliodor.queries.stemming import stems_sql
 
@@ -61,6 +63,31 @@ def ann_topk_lsh(spark, sf_dir):
     return search.ann_topk(points.select("id", "vector"), asked, 10, 64)
 
 
+def _vector_index(spark, sf_dir, metric: str = "cosine") -> VectorIndex:
+    return VectorIndex.stored(spark, f"{sf_dir}/embeddings.parquet", lambda: _vectors(spark, sf_dir)[0], metric)
+
+
+@query()
+def ann_topk_ivf(spark, sf_dir):
+    """About the 10 best, from the stored index: exact scores of 100 candidates a query."""
+    return _vector_index(spark, sf_dir).search(_vectors(spark, sf_dir)[1], 10)
+
+
+@query(f"""WITH {_dense('cosine')}, best AS ({_top('cosine', 10)}), n AS (SELECT count(*) AS n FROM e)
+SELECT query_id, count(*) >= 5 AS found_half, sum(count(*)) OVER () > 0 AS found_most, least(100, any_value(n)) AS scored, any_value(n) AS points, max(score) AS best FROM best, n GROUP BY query_id""")
+def ann_quality(spark, sf_dir):
+    """For each query whether the index finds 5 of the exact 10 best, and over all queries 9 of 10; how many points are scored exactly of how many; and the best exact score."""
+    points, asked = _vectors(spark, sf_dir)
+    index = _vector_index(spark, sf_dir)
+    scored = index.candidates(asked, 100).groupBy("query_id").agg(F.count("*").alias("scored"))
+    found = index.search(asked, 10).select("query_id", "id", F.col("score").alias("own"))
+    exact = search.dense_topk(points, asked, 10).join(found, ["query_id", "id"], "left")
+    each = exact.groupBy("query_id").agg(F.count("own").alias("n"), F.count("*").alias("of"), F.max("own").alias("best"))
+    whole = Window.partitionBy()
+    most = F.sum("n").over(whole) >= 0.9 * F.sum("of").over(whole)
+    return each.withColumn("found_most", most).join(scored, "query_id").crossJoin(F.broadcast(points.agg(F.count("*").alias("points")))).select("query_id", (F.col("n") >= 5).alias("found_half"), "found_most", "scored", "points", "best")
+
+
 @query(f"""WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 m AS (SELECT label AS query_id, pos, avg(v[pos]) AS x FROM e, unnest(range(1, 65)) AS t(pos) GROUP BY label, pos),
 q AS (SELECT query_id, list(x ORDER BY pos) AS v FROM m GROUP BY query_id),
