@@ -60,6 +60,10 @@ class Folder:
     def size(self, name: str = "") -> int:
         return self.fs.getContentSummary(self._path(self.at(name) if name else self.path)).getLength()
 
+    def modified(self, name: str) -> float:
+        """Seconds since 1970 at which a file or folder was changed."""
+        return self.fs.getFileStatus(self._path(self.at(name))).getModificationTime() / 1000
+
     def delete(self, name: str = "") -> None:
         self.fs.delete(self._path(self.at(name) if name else self.path), True)
 

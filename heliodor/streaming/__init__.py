@@ -40,10 +40,12 @@ def rolling_tokens(events: DataFrame, seconds: int = 60, step: int = 10) -> Data
     return events.groupBy(F.window("ts", f"{seconds} seconds", f"{step} seconds").alias("w"), "session").agg(F.sum("tokens").alias("used")).select("session", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "used")
 
 
-def index_batches(files: DataFrame, store: PointStore, chunk: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """Start a query that chunks new files and stores chunks that are not there yet. Ids are digests of content, so a repeated batch changes nothing."""
+def index_batches(files: DataFrame, store: PointStore, chunk: Callable[[DataFrame], DataFrame], checkpoint: str, name: str = "index"):
+    """A stream that chunks new files and stores chunks that are not there yet, as one delta a batch.
 
-    def batch(df: DataFrame, _: int) -> None:
-        store.upsert(store.missing(chunk(df)))
+    The store knows the last batch of each stream by its name, so a batch that is run again after a failure changes nothing."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        store.upsert(store.missing(chunk(df)), batch=(name, number))
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
