@@ -226,11 +226,18 @@ def compact_output(text: Column, budget: int = OUTPUT_CHARS) -> Column:
 
 
 def page_sessions(steps: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Steps (session, step, command) with the chunk that each repetition of a command is answered with; null after the last.
-
-    chunks: command, chunk, content."""
-    turn = F.row_number().over(Window.partitionBy("session", "command").orderBy("step")) - 1
-    return steps.withColumn("chunk", turn).join(chunks, ["command", "chunk"], "left").select("session", "step", "command", "chunk", "content", F.col("content").isNull().alias("complete"))
+    """Steps (session, step, command) with the chunk that each repetition of a command is answered with; null and complete after the last.
+
+    chunks: command, chunk, content. Steps may also have `fresh`, that the command was run anew: its payload starts again at
+    the first chunk; and `small`, that the payload has no chunks: the command's pages end, and nothing is complete until it is fresh again."""
+    fresh = F.coalesce("fresh", F.lit(False)) if "fresh" in steps.columns else F.lit(False)
+    small = fresh & F.coalesce("small", F.lit(False)) if "small" in steps.columns else F.lit(False)
+    own = Window.partitionBy("session", "command")
+    run = Window.partitionBy("session", "command", "__run")
+    placed = steps.withColumn("__fresh", fresh).withColumn("__small", small).withColumn("__run", F.sum(F.col("__fresh").cast("int")).over(own.orderBy("step")))
+    turned = placed.withColumn("__none", F.max("__small").over(run)).withColumn("chunk", F.when(~F.col("__none"), F.row_number().over(run.orderBy("step")) - 1))
+    met = turned.join(chunks, ["command", "chunk"], "left")
+    return met.select("session", "step", "command", "chunk", "content", (F.col("content").isNull() & ~F.col("__none")).alias("complete"))
 
 
 def allowed(steps: DataFrame, flags: DataFrame) -> DataFrame:
