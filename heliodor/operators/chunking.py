@@ -84,6 +84,14 @@ def whole_file(segments: DataFrame) -> DataFrame:
     return good.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda s: s["text"]), "\n\n").alias("text"))
 
 
+def file_chunks(segments: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """file_id, chunk_index, content, start, end: whole files (file_id long), those over max_chars split by the semantic method."""
+    files = whole_file(segments)
+    long = F.length("text") > max_chars if max_chars else F.lit(False)
+    short = files.where(~long).select("file_id", F.lit(0).cast("long").alias("chunk_index"), F.col("text").alias("content"), F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end"))
+    return short.unionByName(packed(files.where(long).withColumnRenamed("file_id", "id"), "semantic", max_chars=max_chars).withColumnRenamed("id", "file_id")) if max_chars else short
+
+
 def provenance(segment: Column) -> Column:
     """struct<start, end, page> of a segment (start, end, start_time, end_time, page_number, page)."""
     return F.struct(F.coalesce(time_value(segment["start"]), segment["start_time"]).alias("start"), F.coalesce(time_value(segment["end"]), segment["end_time"]).alias("end"), F.coalesce(segment["page_number"], segment["page"]).alias("page"))
@@ -122,173 +130,176 @@ def estimate(text: str) -> int:
     return max(int((len(text) - cjk) / 2.7) + cjk, int(len(text.split()) * 1.2))
 
 
-def sections(text: str, least: int = 300) -> list[str]:
-    """Texts under each header line; a short preamble goes to the first."""
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span without white space at its ends."""
+    while a < b and text[a].isspace():
+        a += 1
+    while a < b and text[b - 1].isspace():
+        b -= 1
+    return a, b
+
+
+def section_spans(text: str, least: int = 300) -> list[tuple[int, int]]:
+    """Spans from each header line to the next; a short preamble goes to the first."""
     heads = [m.start() for m in re.finditer(r"^#+\s+.*$", text, re.M)]
     if not heads:
-        return [text]
-    parts = [text[a:b] for a, b in zip(heads, [*heads[1:], len(text)], strict=True)]
-    before = text[: heads[0]]
-    if not before.strip():
-        return parts
-    return [before, *parts] if len(before) > least else [before + parts[0], *parts[1:]]
-
-
-def _plain_parts(text: str) -> list[tuple[str, str]]:
-    """(kind, text) of the stretches between fences: tables, and what is not."""
-    out, kind, held = [], None, []
-    for line in text.split("\n"):
-        s = line.strip()
-        table = (s.startswith("|") and s.count("|") > 1) or (kind == "table" and "---" in s and "|" in s)
-        if ("table" if table else "text") != kind and held:
-            out.append((kind, "\n".join(held)))
-            held = []
+        return [(0, len(text))]
+    if text[: heads[0]].strip():
+        heads = [0, *heads] if heads[0] > least else [0, *heads[1:]]
+    return list(zip(heads, [*heads[1:], len(text)], strict=True))
+
+
+def _paragraphs(text: str, a: int, b: int) -> list[tuple[str, int, int]]:
+    """Paragraphs of a stretch without code, tables cut out of it line by line; consecutive list paragraphs are one."""
+    stretches: list[tuple[str, int, int]] = []
+    at = a
+    while at < b:
+        end = text.find("\n", at, b) + 1 or b
+        line = text[at:end].strip()
+        inside = bool(stretches) and stretches[-1][0] == "table"
+        table = (line.startswith("|") and line.count("|") > 1) or (inside and "---" in line and "|" in line)
         kind = "table" if table else "text"
-        held.append(line)
-    return [*out, (kind, "\n".join(held))] if held else out
-
-
-def semantic_blocks(text: str) -> list[tuple[str, str]]:
-    """Fenced code, tables, lists (consecutive list paragraphs are one) and paragraphs."""
-    parts, at = [], 0
-    for m in _FENCE.finditer(text):
-        parts += _plain_parts(text[at : m.start()]) + [("table" if m[0].startswith("[") else "code", m[0])]
-        at = m.end()
-    parts += _plain_parts(text[at:])
-    out: list[tuple[str, str]] = []
-    for kind, part in parts:
-        if kind != "text":
-            out.append((kind, part.strip("\n")))
+        stretches[-1:] = [(kind, stretches[-1][1], end)] if stretches and stretches[-1][0] == kind else [*stretches[-1:], (kind, at, end)]
+        at = end
+    out: list[tuple[str, int, int]] = []
+    for kind, x, y in stretches:
+        if kind == "table":
+            out.append((kind, x, y))
             continue
-        for para in re.split(r"\n\s*\n+", part):
-            if para.strip():
-                k = "list" if _LIST.match(para) else "text"
-                if k == "list" and out and out[-1][0] == "list":
-                    out[-1] = ("list", out[-1][1] + "\n\n" + para.strip("\n"))
+        edges = [x, *(e for m in re.compile(r"\n\s*\n").finditer(text, x, y) for e in m.span()), y]
+        for p, q in zip(edges[::2], edges[1::2], strict=True):
+            if text[p:q].strip():
+                kind = "list" if _LIST.match(text[p:q]) else "text"
+                if kind == "list" and out and out[-1][0] == "list":
+                    out[-1] = ("list", out[-1][1], q)
                 else:
-                    out.append((k, para.strip("\n")))
+                    out.append((kind, p, q))
     return out
 
 
-def _cut(text: str, most: int, least: int) -> int:
-    """Where to cut a text that is too long: a line break, else a bar, else a space, else hard."""
+def block_spans(text: str, a: int, b: int) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the fenced code, tables, lists and paragraphs of a span."""
+    out, at = [], a
+    for m in _FENCE.finditer(text, a, b):
+        out += [*_paragraphs(text, at, m.start()), ("table" if m[0].startswith("[") else "code", *m.span())]
+        at = m.end()
+    return [(kind, *_trimmed(text, x, y)) for kind, x, y in out + _paragraphs(text, at, b)]
+
+
+def _cut(text: str, a: int, most: int, least: int) -> int:
+    """Where to cut a span from a that is too long: after a line break, else a bar, else a space, else hard."""
     for sign in ("\n", "|", " "):
-        at = text.rfind(sign, 0, most)
-        if at + 1 >= max(least, 1):
-            return at + 1
-    return most
+        at = text.rfind(sign, a, a + most) + 1
+        if at >= a + max(least, 1):
+            return at
+    return a + most
+
+
+def _by_length(text: str, a: int, b: int, most: int, least: int) -> list[tuple[int, int]]:
+    cuts = [a]
+    while b - cuts[-1] > most:
+        cuts.append(_cut(text, cuts[-1], most, least))
+    out = [s for s in (_trimmed(text, x, y) for x, y in zip(cuts, [*cuts[1:], b], strict=True)) if s[0] < s[1]]
+    if len(out) > 1 and out[-1][1] - out[-1][0] < least and out[-1][1] - out[-2][0] <= most:
+        out[-2:] = [(out[-2][0], out[-1][1])]
+    return out
 
 
-def _by_length(text: str, most: int, least: int) -> list[str]:
-    out = []
-    while len(text) > most:
-        at = _cut(text, most, least)
-        out.append(text[:at].strip())
-        text = text[at:]
-    if text.strip():
-        if out and len(text) < least and len(out[-1]) + len(text) + 1 <= most:
-            out[-1] += "\n" + text.strip()
-        else:
-            out.append(text.strip())
-    return [o for o in out if o]
-
-
-def _split_large(kind: str, text: str, most: int, least: int) -> list[str]:
-    pieces = re.split(r"\n\s*\n", text) if kind in ("code", "table") else [m[0] for m in _SENTENCE.finditer(text)]
-    join = "\n\n" if kind in ("code", "table") else ""
-    out, cur = [], ""
-    for piece in pieces:
-        if cur and len(cur) + len(join) + len(piece) > most and len(cur.strip()) >= least:
-            out.append(cur.strip())
-            cur = piece
+def _parts_of(kind: str, text: str, a: int, b: int, most: int, least: int) -> list[tuple[int, int]]:
+    """A block that is too long: runs of its paragraphs (code, tables) or sentences, cut by length where need be."""
+    if kind in ("code", "table"):
+        edges = [a, *(m.end() for m in re.compile(r"\n\s*\n").finditer(text, a, b)), b]
+    else:
+        edges = [a, *(a + m.end() for m in _SENTENCE.finditer(text[a:b]))]
+    runs, begin = [], a
+    for x, y in zip(edges, edges[1:], strict=False):
+        if x > begin and y - begin > most and x - begin >= least:
+            runs.append((begin, x))
+            begin = x
+    runs = [_trimmed(text, *r) for r in [*runs, (begin, b)]]
+    return [s for x, y in runs if x < y for s in ([(x, y)] if y - x <= most else _by_length(text, x, y, most, least))]
+
+
+def _lead(text: str, a: int, b: int, n: int) -> int:
+    """Where the overlap with a chunk begins: after a sentence's end in its last n signs, else after their first space."""
+    begin = max(a, b - n)
+    m = re.compile(r"[.!?。！？；]+[\s\n]+").search(text, begin, b)
+    if m and m.end() < b:
+        return m.end()
+    space = text.find(" ", begin, b)
+    return space + 1 if 0 <= space < begin + (b - begin) / 2 else begin
+
+
+def _packed_spans(text: str, blocks: list[tuple[str, int, int]], most: int, least: int, overlap: int) -> list[tuple[int, int]]:
+    """Blocks folded into chunks: `open_` is the chunk that still grows, or None."""
+    done: list[tuple[int, int]] = []
+    open_: tuple[int, int] | None = None
+    for kind, a, b in blocks:
+        if b - a > most:
+            done += ([open_] if open_ else []) + _parts_of(kind, text, a, b, most, least)
+            open_ = None
+        elif open_ is None:
+            open_ = (a, b)
+        elif b - open_[0] <= most:
+            open_ = (open_[0], b)
+        elif open_[1] - open_[0] >= least:
+            done.append(open_)
+            open_ = (_lead(text, *open_, overlap) if overlap else a, b)
+        else:  # too short to stand alone: it takes as much of the block as fits
+            at = _cut(text, a, open_[0] + most - a, 1) if open_[0] + most > a else a
+            done.append(_trimmed(text, open_[0], at))
+            a, b = _trimmed(text, at, b)
+            open_ = (a, b) if a < b else None
+    done += [open_] if open_ else []
+    out: list[tuple[int, int]] = []
+    for a, b in done:
+        if out and min(b - a, out[-1][1] - out[-1][0]) < least and b - out[-1][0] <= most:
+            out[-1] = (out[-1][0], b)
         else:
-            cur = cur + join + piece if cur else piece
-    if cur.strip():
-        out.append(cur.strip())
-    return [p for o in out for p in ([o] if len(o) <= most else _by_length(o, most, least))]
-
-
-def _overlap(text: str, n: int) -> str:
-    tail = text[-n:] if n else ""
-    m = re.search(r"[.!?。！？；]+[\s\n]+", tail)
-    if m and m.end() < len(tail):
-        return tail[m.end() :]
-    space = tail.find(" ")
-    return tail[space + 1 :] if 0 <= space < len(tail) / 2 else tail
-
-
-def semantic_split(text: str, max_chars: int = 1000, min_chars: int = 200, overlap: int = 0, token_limit: int | None = None, by_section: bool = True) -> list[str]:
-    """Structure-aware chunks: blocks are packed up to max_chars, large ones are split, small neighbours merged."""
-    out: list[str] = []
-    for section in sections(text) if by_section else [text]:
-        made, cur = [], ""
-        for kind, block in semantic_blocks(section):
-            if len(block) > max_chars:
-                if cur.strip():
-                    made.append(cur.strip())
-                made += _split_large(kind, block, max_chars, min_chars)
-                cur = ""
-                continue
-            if cur and len(cur) + len(block) + 2 > max_chars:
-                if len(cur.strip()) >= min_chars:
-                    made.append(cur.strip())
-                    lead = _overlap(cur, overlap)
-                    cur = f"{lead}\n\n{block}" if lead else block
-                else:
-                    room = max_chars - len(cur) - 2
-                    at = _cut(block, room, 1) if room > 0 else 0
-                    made.append(f"{cur}\n\n{block[:at]}".strip())
-                    cur = block[at:].strip()
-            else:
-                cur = f"{cur}\n\n{block}" if cur else block
-        if cur.strip():
-            made.append(cur.strip())
-        merged: list[str] = []
-        for piece in made:
-            if merged and (len(merged[-1]) < min_chars or len(piece) < min_chars) and len(merged[-1]) + len(piece) + 2 <= max_chars:
-                merged[-1] += "\n\n" + piece
-            else:
-                merged.append(piece)
-        out += merged
-    if token_limit:
-        out = [p for o in out for p in _within_tokens(o, token_limit)]
+            out.append((a, b))
     return out
 
 
-def _within_tokens(text: str, limit: int) -> list[str]:
+def semantic_spans(text: str, max_chars: int = 1000, min_chars: int = 200, overlap: int = 0, token_limit: int | None = None, by_section: bool = True) -> list[tuple[int, int]]:
+    """(start, end) of structure-aware chunks: blocks are packed up to max_chars, large ones are split, small neighbours merged."""
+    out = [s for x, y in (section_spans(text) if by_section else [(0, len(text))]) for s in _packed_spans(text, block_spans(text, x, y), max_chars, min_chars, overlap)]
+    return [p for s in out for p in _within_tokens(text, *s, token_limit)] if token_limit else out
+
+
+def _within_tokens(text: str, a: int, b: int, limit: int) -> list[tuple[int, int]]:
     out = []
-    while estimate(text) > limit:
-        low, high = 1, len(text)
+    while estimate(text[a:b]) > limit:
+        low, high = 1, b - a
         while low < high:
             mid = (low + high + 1) // 2
-            low, high = (mid, high) if estimate(text[:mid]) <= limit else (low, mid - 1)
-        at = _cut(text, low, low // 2)
-        out.append(text[:at].strip())
-        text = text[at:]
-    return [*out, text.strip()] if text.strip() else out
+            low, high = (mid, high) if estimate(text[a : a + mid]) <= limit else (low, mid - 1)
+        at = _cut(text, a, low, low // 2)
+        out.append((a, at))
+        a = at
+    return [s for s in (_trimmed(text, *s) for s in [*out, (a, b)]) if s[0] < s[1]]
 
 
-def recursive_split(text: str, max_chars: int = 1000, min_chars: int = 1, overlap: int = 0) -> list[str]:
-    """Paragraphs, then lines, sentences, words and signs, until each piece fits; neighbours are merged as far as they fit."""
+def recursive_spans(text: str, max_chars: int = 1000, min_chars: int = 1, overlap: int = 0) -> list[tuple[int, int]]:
+    """(start, end) of chunks: paragraphs, then lines, sentences, words and signs, until each piece fits; neighbours are merged as far as they fit."""
 
-    def split(part: str, level: int) -> list[str]:
-        if len(part) <= max_chars:
-            return [part]
+    def split(a: int, b: int, level: int) -> list[tuple[int, int]]:
+        if b - a <= max_chars:
+            return [(a, b)]
         if level == 4:
-            return [part[i : i + max_chars] for i in range(0, len(part), max_chars)]
-        pieces = re.split((r"(?<=\n\n)", r"(?<=\n)", r"(?<=[.!?])(?=\s)", r"(?<=\s)")[level], part)
-        out, cur = [], ""
-        for p in (q for piece in pieces if piece for q in split(piece, level + 1)):
-            if cur and len(cur) + len(p) > max_chars:
-                out.append(cur)
-                cur = p
+            return [(i, min(i + max_chars, b)) for i in range(a, b, max_chars)]
+        cuts = [m.start() for m in re.compile((r"(?<=\n\n)", r"(?<=\n)", r"(?<=[.!?])(?=\s)", r"(?<=\s)")[level]).finditer(text, a, b) if a < m.start() < b]
+        out: list[tuple[int, int]] = []
+        for x, y in (s for p, q in zip([a, *cuts], [*cuts, b], strict=True) for s in split(p, q, level + 1)):
+            if out and y - out[-1][0] <= max_chars:
+                out[-1] = (out[-1][0], y)
             else:
-                cur += p
-        return [*out, cur] if cur else out
+                out.append((x, y))
+        return out
 
-    out = [p.strip() for p in split(text, 0)]
-    out = [p for p in out if len(p) >= min_chars] or ([text.strip()] if len(text.strip()) >= min_chars else [])
-    return out if not overlap else [p if not i else out[i - 1][-overlap:] + p for i, p in enumerate(out)]
+    out = [_trimmed(text, *s) for s in split(0, len(text), 0)]
+    whole = _trimmed(text, 0, len(text))
+    out = [s for s in out if s[1] - s[0] >= max(min_chars, 1)] or [s for s in [whole] if s[1] - s[0] >= max(min_chars, 1)]
+    return [(max(out[i - 1][0], out[i - 1][1] - overlap), b) if i and overlap else (a, b) for i, (a, b) in enumerate(out)]
 
 
 def json_split(text: str, size: int = 10, overlap: int = 0, line_size: int = 50) -> list[str]:
@@ -319,24 +330,64 @@ def cross_segments(texts: list[str], max_chars: int = 2000, min_chars: int = 1)
     return [*out, (first, len(texts) - 1, cur)] if cur and len(cur) >= min_chars else out
 
 
-_SPLITTERS = {"semantic": semantic_split, "recursive": recursive_split, "json": json_split}
+def semantic_split(text: str, *options, **named) -> list[str]:
+    return [text[a:b] for a, b in semantic_spans(text, *options, **named)]
+
+
+def recursive_split(text: str, *options, **named) -> list[str]:
+    return [text[a:b] for a, b in recursive_spans(text, *options, **named)]
+
+
+_SPANS = {"semantic": semantic_spans, "recursive": recursive_spans}
 
 
 def packed(df: DataFrame, method: str, **options) -> DataFrame:
-    """id, chunk_index, content of the texts of df (id, text), by a method that packs one text at a time."""
-    split = _SPLITTERS[method]
+    """id, chunk_index, content, start, end of the texts of df (id, text), by a method that packs one text at a time.
+
+    content is the text from sign start (from 0) up to sign end; chunks of json are written anew and have no place."""
 
     def run(batches):
         for batch in batches:
-            ids, at, content = [], [], []
+            rows = []
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for n, c in enumerate(split(t or "", **options)):
-                    ids.append(i)
-                    at.append(n)
-                    content.append(c)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "chunk_index": pa.array(at, pa.int64()), "content": pa.array(content, pa.string())})
+                t = t or ""
+                if method == "json":
+                    rows += [(i, n, c, None, None) for n, c in enumerate(json_split(t, **options))]
+                else:
+                    rows += [(i, n, t[a:b], a, b) for n, (a, b) in enumerate(_SPANS[method](t, **options))]
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], pa.string() if c == "content" else pa.int64()) for k, c in enumerate(("id", "chunk_index", "content", "start", "end"))})
+
+    if method not in (*_SPANS, "json"):
+        raise ValueError(f"no method {method}")
+    return df.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, chunk_index long, content string, start long, end long")
+
+
+def placed_segments(segments: DataFrame, separator: str = "\n") -> DataFrame:
+    """Segments (file_id, seg_idx, text, and more) with their place (start, end) in their file's text, in which a separator stands between them."""
+    before = Window.partitionBy("file_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length(F.coalesce("text", F.lit("")))
+    start = F.coalesce(F.sum(size + len(separator)).over(before), F.lit(0))
+    return segments.withColumn("start", start).withColumn("end", start + size)
+
+
+def overlapping(chunks: DataFrame, segments: DataFrame, bin_size: int = 4096) -> DataFrame:
+    """Pairs of chunks (file_id, chunk_index, start, end) and segments (file_id, start, end, and more) that share a sign.
+
+    A binned range join: both sides go to the bins of `bin_size` signs that they reach into, and a pair is given in the first bin it shares, once."""
+    bins = lambda a, b: F.sequence(F.floor(F.col(a) / bin_size), F.floor((F.col(b) - 1) / bin_size))
+    left = chunks.where("end > start").withColumn("__bin", F.explode(bins("start", "end")))
+    right = segments.where("end > start").withColumnsRenamed({"start": "seg_start", "end": "seg_end"}).withColumn("__bin", F.explode(bins("seg_start", "seg_end")))
+    met = left.join(right, ["file_id", "__bin"]).where((F.col("start") < F.col("seg_end")) & (F.col("seg_start") < F.col("end")))
+    return met.where(F.col("__bin") == F.floor(F.greatest("start", "seg_start") / bin_size)).drop("__bin")
+
 
-    return df.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, chunk_index long, content string")
+def with_provenance(chunks: DataFrame, segments: DataFrame, bin_size: int = 4096) -> DataFrame:
+    """chunks with page_numbers, sorted and distinct, and time_ranges, in the segments' order, of the segments (with page, start_time, end_time) that they reach into."""
+    met = overlapping(chunks.select("file_id", "chunk_index", "start", "end"), segments.select("file_id", "start", "end", "page", "start_time", "end_time"), bin_size)
+    timed = F.when(F.col("start_time").isNotNull() | F.col("end_time").isNotNull(), F.struct("seg_start", "start_time", "end_time"))
+    ranges = F.transform(F.array_sort(F.collect_list(timed)), lambda t: F.struct(t["start_time"].alias("start"), t["end_time"].alias("end")))
+    found = met.groupBy("file_id", "chunk_index").agg(F.array_sort(F.collect_set("page")).alias("page_numbers"), ranges.alias("time_ranges"))
+    return chunks.join(found, ["file_id", "chunk_index"], "left")
 
 
 def packed_segments(df: DataFrame, max_chars: int = 2000, min_chars: int = 1) -> DataFrame:
@@ -361,18 +412,27 @@ def route(segments: DataFrame, configs: dict[str, dict], default: dict | None =
 
     Each file type has its method and options; a summary is a chunk of its own before the others (seg_idx -1)."""
     default = default or {"method": "semantic"}
-    parts = []
+    parts: list[DataFrame] = []
+
+    def placed(out: list[DataFrame], mine: DataFrame, method: str, options: dict) -> None:
+        if method in COLUMNAR:
+            out.append(mine.select("file_id", "seg_idx", F.lit(method).alias("method"), F.posexplode(chunk_column(method, F.col("text"), **options)).alias("local", "content")))
+        else:
+            keyed = mine.withColumn("id", F.xxhash64("file_id", "seg_idx"))
+            made = packed(keyed, method, **options).select("id", F.col("chunk_index").cast("int").alias("local"), "content")
+            out.append(keyed.select("id", "file_id", "seg_idx", F.lit(method).alias("method")).join(made, "id").drop("id"))
+
     named = {t: c for t, c in configs.items()}
     for kind, config in [*named.items(), (None, default)]:
         mine = segments.where(F.col("file_type") == kind) if kind else segments.where(~F.coalesce(F.col("file_type").isin(*named) if named else F.lit(False), F.lit(False)))
         options = dict(config)
         method = options.pop("method")
-        if method in COLUMNAR:
-            parts.append(mine.select("file_id", "seg_idx", F.lit(method).alias("method"), F.posexplode(chunk_column(method, F.col("text"), **options)).alias("local", "content")))
-        else:
-            keyed = mine.withColumn("id", F.xxhash64("file_id", "seg_idx"))
-            made = packed(keyed, method, **options).select("id", F.col("chunk_index").cast("int").alias("local"), "content")
-            parts.append(keyed.select("id", "file_id", "seg_idx", F.lit(method).alias("method")).join(made, "id").drop("id"))
+        if method == "segment" and "max_chars" in options:  # a segment is a chunk as it is, a longer one goes to the recursive method
+            most = options.pop("max_chars")
+            long = F.length("text") > most
+            placed(parts, mine.where(long), "recursive", {"max_chars": most})
+            mine = mine.where(~F.coalesce(long, F.lit(False)))
+        placed(parts, mine, method, options)
     summary = segments.where("summary IS NOT NULL AND summary <> ''").select("file_id", F.lit(-1).alias("seg_idx"), F.lit("summary").alias("method"), F.lit(0).alias("local"), F.col("summary").alias("content")).distinct()
     every = summary
     for p in parts:

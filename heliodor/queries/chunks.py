@@ -71,11 +71,54 @@ def chunk_recursive(spark, sf_dir):
     return chunking.packed(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "recursive", max_chars=1000, min_chars=20)
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+f(conv_id, i, n, first, cur, out_first, out_last, out) AS (
+  SELECT conv_id, -1, n, 0, '', NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR FROM t WHERE i = 0
+  UNION ALL
+  SELECT f.conv_id, t.i, f.n, CASE WHEN f.cur <> '' AND length(f.cur) + length(t.text) > 2000 THEN t.i ELSE f.first END,
+    CASE WHEN f.cur = '' OR length(f.cur) + length(t.text) > 2000 THEN t.text ELSE f.cur || chr(10) || t.text END,
+    CASE WHEN f.cur <> '' AND length(f.cur) + length(t.text) > 2000 THEN f.first END, t.i - 1, CASE WHEN f.cur <> '' AND length(f.cur) + length(t.text) > 2000 THEN f.cur END
+  FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1),
+c AS (SELECT conv_id, out_first AS first, out_last AS last, out AS content FROM f WHERE out IS NOT NULL UNION ALL SELECT conv_id, first, n - 1, cur FROM f WHERE i = n - 1 AND cur <> '')
+SELECT conv_id AS file_id, row_number() OVER (PARTITION BY conv_id ORDER BY first) - 1 AS chunk_index, first, last, content FROM c""")
 def chunk_cross_segment(spark, sf_dir):
     return chunking.packed_segments(load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seg_idx"), "text"))
 
 
+_PLACED = """t AS (SELECT conv_id AS file_id, turn AS seg_idx, coalesce(text, '') AS text, turn // 4 AS page, turn * 1.5 AS start_time FROM conversations),
+p AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY file_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM t),
+s AS (SELECT *, a + length(text) AS b FROM p), n AS (SELECT file_id, max(b) AS n FROM s GROUP BY file_id),
+c AS (SELECT file_id, chunk_index, chunk_index * 300 AS a, least(chunk_index * 300 + 350, n) AS b FROM n, unnest(range(0, (n + 299) // 300)) AS u(chunk_index))"""
+
+
+@query(f"""WITH {_PLACED} SELECT file_id, chunk_index, c.a AS start, c.b AS "end", array_to_string(list_sort(list(DISTINCT page)), ',') AS pages, array_to_string(list(start_time ORDER BY s.a), ',') AS times
+FROM c JOIN s USING (file_id) WHERE c.a < s.b AND s.a < c.b GROUP BY ALL""")
+def chunk_pages(spark, sf_dir):
+    """Pages and times of overlapping chunks of 350 signs, by the binned range join with the turns they reach into."""
+    turns = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("seg_idx"), "text", F.expr("turn div 4").alias("page"), (F.col("turn") * 1.5).cast("double").alias("start_time"), F.lit(None).cast("double").alias("end_time"))
+    segments = chunking.placed_segments(turns)
+    size = segments.groupBy("file_id").agg(F.max("end").alias("n"))
+    each = size.withColumn("chunk_index", F.explode(F.expr("CASE WHEN n > 0 THEN sequence(0L, (n - 1) div 300) ELSE array() END")))
+    chunks = each.select("file_id", "chunk_index", (F.col("chunk_index") * 300).alias("start"), F.least(F.col("chunk_index") * 300 + 350, "n").alias("end"))
+    found = chunking.with_provenance(chunks, segments, 512).where("page_numbers IS NOT NULL")
+    return found.select("file_id", "chunk_index", "start", "end", F.array_join(F.transform("page_numbers", lambda x: x.cast("string")), ",").alias("pages"), F.array_join(F.transform("time_ranges", lambda x: x["start"].cast("string")), ",").alias("times"))
+
+
+@query("SELECT doc_id AS id, true AS gives_back FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+def chunk_offsets(spark, sf_dir):
+    """For each document with text, whether the text from start to end gives back each chunk, of both methods, and the chunks leave out white space alone."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    bare = lambda c: F.regexp_replace(c, r"\s", "")
+    out = None
+    for method in ("semantic", "recursive"):
+        made = chunking.packed(docs, method, max_chars=1000, min_chars=1).join(docs, "id")
+        same = F.substring(F.col("text"), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")) == F.col("content")
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda s: s["content"]), "")
+        each = made.groupBy("id").agg((F.bool_and(same) & (F.md5(bare(whole)) == F.md5(bare(F.first("text"))))).alias("ok"))
+        out = each if out is None else out.unionByName(each)
+    return out.groupBy("id").agg(F.bool_and("ok").alias("gives_back"))
+
+
 @query()
 def chunk_router(spark, sf_dir):
     segments = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.when(F.col("conv_id") % 2 == 0, "txt").otherwise("md").alias("file_type"), F.col("turn").cast("int").alias("seg_idx"), "text", F.lit(None).cast("string").alias("summary"))

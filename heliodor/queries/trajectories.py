@@ -70,7 +70,13 @@ def history_compaction(spark, sf_dir):
     return trajectory.compact_history(_tokens(spark, sf_dir).select("session", F.col("step").alias("place"), "tokens"), 2000)
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT conv_id AS session, turn AS place, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS i FROM conversations),
+f(session, i, place, chunk, used) AS (
+  SELECT session, 1, place, 0, size FROM t WHERE i = 1
+  UNION ALL
+  SELECT f.session, t.i, t.place, f.chunk + CASE WHEN f.used > 0 AND f.used + t.size > 1500 THEN 1 ELSE 0 END, CASE WHEN f.used > 0 AND f.used + t.size > 1500 THEN t.size ELSE f.used + t.size END
+  FROM f JOIN t ON t.session = f.session AND t.i = f.i + 1)
+SELECT session, CAST(place AS BIGINT) AS place, chunk, 1 + max(chunk) OVER (PARTITION BY session) AS total, chunk < max(chunk) OVER (PARTITION BY session) AS has_more FROM f""")
 def output_slices(spark, sf_dir):
     items = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("place"), F.length("text").cast("long").alias("size"))
     return trajectory.fit_slices(items, 1500)
