@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliodor.functions.scalars import f1, log_scaled, ratio
+from heliodor.operators.quantiles import quantile_columns, quantiles
+from heliodor.storage import written
 
 # Features of a question, their weights, and how they interact.
 WEIGHTS = {"evidence_files": 0.19, "modality_count": 0.10, "file_type_count": 0.08, "evidence_items": 0.18, "reasoning_steps": 0.20, "question_tokens": 0.10, "answer_tokens": 0.07, "time_span_days": 0.08}
@@ -65,15 +67,20 @@ def time_spans(paths: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def feature_stats(features: DataFrame, keys: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
-    """One row: p90 and p98 of each feature (exact, interpolated), guarded against zeros."""
-    raw = features.agg(*[F.percentile(k, F.array(F.lit(0.9), F.lit(0.98))).alias(k) for k in keys])
+    """One row: p90 and p98 of each feature (exact, interpolated), guarded against zeros. All features are selected from counted values at once."""
+    long = features.select(*(F.col(k).cast("double").alias(k) for k in keys)).unpivot([], list(keys), "feature", "v")
+    found = quantiles(long, "v", [0.9, 0.98], "feature")
+    at = lambda k, p: F.max(F.when((F.col("feature") == k) & (F.col("prob") == p), F.col("quantile")))
+    raw = found.agg(*[F.array(at(k, 0.9), at(k, 0.98)).alias(k) for k in keys])
     p90 = lambda k: F.when(F.col(k)[0] <= 0, 1.0).otherwise(F.col(k)[0])
     return raw.select(*[x for k in keys for x in (p90(k).alias(f"{k}_p90"), F.when(F.col(k)[1] <= 0, p90(k)).otherwise(F.col(k)[1]).alias(f"{k}_p98"))])
 
 
 def difficulty(features: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """features with `difficulty`, 1 to 99."""
-    stats = feature_stats(features) if stats is None else stats
+    if stats is None:
+        features = written(features, "features")  # made once, for the statistics and the scores
+        stats = feature_stats(features)
     both = features.crossJoin(F.broadcast(stats))  # one row
     n = {k: F.col(f"__{k}") for k in WEIGHTS}
     both = both.select(*features.columns, *[log_scaled(F.col(k).cast("double"), F.col(f"{k}_p90"), F.col(f"{k}_p98")).alias(f"__{k}") for k in WEIGHTS])
@@ -99,7 +106,7 @@ def summary_line(rows: DataFrame, *keys: str) -> DataFrame:
 
 def tail_merged(rows: DataFrame, column: str, quantile: float = 0.95) -> DataFrame:
     """bin, n: values up to the ceiling of the quantile as they are, the rest as one bin."""
-    cutoff = rows.agg(F.ceil(F.percentile(column, quantile)).alias("cutoff"))
+    cutoff = quantile_columns(rows, column, {"q": quantile}).select(F.ceil("q").alias("cutoff"))
     bin_ = F.when(F.col(column) <= F.col("cutoff"), F.col(column).cast("long").cast("string")).otherwise(F.concat(F.lit(">"), F.col("cutoff").cast("string")))
     return rows.crossJoin(F.broadcast(cutoff)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
 
@@ -129,7 +136,7 @@ def months(rows: DataFrame, ts: str) -> DataFrame:
 
 def box_plot(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """q1, median, q3, and whiskers: the extreme values within 1.5 interquartile ranges."""
-    q = rows.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantile_columns(rows, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, *keys).select(*keys, F.array("q1", "median", "q3").alias("q"))
     span = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = F.col(value).between(F.col("q")[0] - span, F.col("q")[2] + span)
     joined = rows.join(F.broadcast(q), list(keys)) if keys else rows.crossJoin(F.broadcast(q))

@@ -58,6 +58,8 @@ def left_join_default(spark, sf_dir):
     return nations.join(suppliers, nations.n_nationkey == suppliers.s_nationkey, "left").groupBy("n_name").agg(F.count("s_suppkey").alias("suppliers"))
 
 
-@query("SELECT event_type, approx_count_distinct(user_id) > 0 AS some, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+@query("SELECT event_type, count(DISTINCT user_id) AS users, true AS near FROM events GROUP BY 1")
 def distinct_users(spark, sf_dir):
-    return load(spark, sf_dir, "events").groupBy("event_type").agg((F.approx_count_distinct("user_id") > 0).alias("some"), F.count_distinct("user_id").alias("users"))
+    """Distinct users of each event type, and whether the approximate count is within 5 % of them."""
+    users, about = F.count_distinct("user_id"), F.approx_count_distinct("user_id", 0.02)
+    return load(spark, sf_dir, "events").groupBy("event_type").agg(users.alias("users"), (F.abs(about - users) <= 0.05 * users).alias("near"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from heliodor.functions import scalars
-from heliodor.operators import metrics, reports
+from heliodor.operators import metrics, quantiles, reports
 from heliodor.queries import load, query
+from heliodor.storage import written
 
 
 def _lists(spark, sf_dir):
@@ -201,6 +202,19 @@ def boxplot_stats(spark, sf_dir):
     return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")], "low", "high", "n")
 
 
+@query("""SELECT CAST(year(ts) AS INTEGER) AS year, event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_near, true AS median_near FROM events GROUP BY ALL""")
+def sketch_year(spark, sf_dir):
+    """Sketches of each month, stored, then merged into years: whether the distinct users are within 5 % of the exact count, and the median's rank within 3 % of the middle."""
+    events = load(spark, sf_dir, "events").withColumn("month", F.trunc(F.col("ts").cast("date"), "month"))
+    months = written(quantiles.sketched(events, "month", "event_type", distinct="user_id", value="value"), "month-sketches")
+    years = quantiles.merged(months.withColumn("year", F.year("month")), "year", "event_type")
+    told = years.select("year", "event_type", "n", quantiles.sketch_count(F.col("users")).alias("about"), quantiles.sketch_quantile("values", 0.5).alias("middle"))
+    exact = events.withColumn("year", F.year("month")).join(F.broadcast(told.select("year", "event_type", "middle")), ["year", "event_type"])
+    exact = exact.groupBy("year", "event_type").agg(F.count_distinct("user_id").alias("users"), F.avg((F.col("value") <= F.col("middle")).cast("double")).alias("rank"))
+    near = (F.abs(F.col("about") - F.col("users")) <= 0.05 * F.col("users")).alias("users_near")
+    return told.join(exact, ["year", "event_type"]).select("year", "event_type", "n", "users", near, (F.abs(F.col("rank") - 0.5) <= 0.03).alias("median_near"))
+
+
 @query("""WITH d AS (SELECT o_orderkey, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS d FROM orders)
 SELECT o_orderkey, round(greatest(0.0, least(1.0, CASE WHEN d <= 1500 THEN d / 1500 * 0.3 ELSE 0.3 + (d - 1500) / 1100 * 0.7 END)), 6) AS x FROM d""")
 def piecewise_time_scale(spark, sf_dir):

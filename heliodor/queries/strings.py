@@ -78,9 +78,9 @@ def bleu4(spark, sf_dir):
 @query(f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
 u AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM d), {stems_sql('u', 4)},
 s AS (SELECT doc_id, list(stem ORDER BY pos) AS stems FROM u JOIN stemmed USING (w) GROUP BY doc_id)
-SELECT doc_id, coalesce(stems, []) AS stems FROM d LEFT JOIN s USING (doc_id)""")
+SELECT doc_id, coalesce(array_to_string(stems, ' '), '') AS stems FROM d LEFT JOIN s USING (doc_id)""")
 def porter_stems(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", text.stems(text.words(F.col("text"))).alias("stems"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(text.stems(text.words(F.col("text"))), " ").alias("stems"))
 
 
 _FTS = "list_filter(regexp_split_to_array(regexp_replace(regexp_replace(text, '\\b([aA][nN][dD]|[oO][rR]|[nN][oO][tT]|[nN][eE][aA][rR])\\b', ' ', 'g'), '[\"*+(){{}}^~:-]', ' ', 'g'), '\\s+'), lambda t: t <> '' AND lower(t) NOT IN ({0}))".format(", ".join(f"'{w}'" for w in text.STOP_WORDS))

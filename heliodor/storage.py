@@ -38,6 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: a cut that keeps columns prunable."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/heliodor-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Folder:
     """A folder of any file system that Spark reads."""
 
