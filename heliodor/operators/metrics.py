@@ -6,13 +6,16 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from heliodor.functions.scalars import f1, let, ratio
 from heliodor.functions.text import normalize_answer, porter
+from heliodor.operators.search import vector_score
 
 
 def _doubles(names: tuple[str, ...]) -> StructType:
@@ -180,31 +183,137 @@ def judge_status(answer: Column, truth: Column, reply: Column) -> Column:
     return F.when(blank(truth), "missing_ground_truth").when(blank(answer), "missing_answer").when(reply.isNull(), "no_reply").otherwise("ok")
 
 
+#: Tokens of a block of the products of token vectors: a block has so many scores squared.
+TOKEN_BLOCK = 1024
+
+
+def _unit(lists: pa.Array) -> np.ndarray:
+    """The vectors of one list as rows of length 1; zero vectors stay."""
+    n = len(lists)
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 1))
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def greedy_match(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    """Means of the best cosine that each row of a finds in b, and each of b in a: products of blocks, whose running maxima are all that is kept."""
+    if not len(a) or not len(b):
+        return 0.0, 0.0
+    of_a, of_b = np.full(len(a), -np.inf), np.full(len(b), -np.inf)
+    for i in range(0, len(a), TOKEN_BLOCK):
+        for j in range(0, len(b), TOKEN_BLOCK):
+            block = a[i : i + TOKEN_BLOCK] @ b[j : j + TOKEN_BLOCK].T
+            np.maximum(of_a[i : i + TOKEN_BLOCK], block.max(1), out=of_a[i : i + TOKEN_BLOCK])
+            np.maximum(of_b[j : j + TOKEN_BLOCK], block.max(0), out=of_b[j : j + TOKEN_BLOCK])
+    return float(of_a.mean()), float(of_b.mean())
+
+
+@F.arrow_udf(_doubles(("precision", "recall")))
+def _token_match(a: pa.Array, b: pa.Array) -> pa.Array:
+    found = [greedy_match(_unit(x.values), _unit(y.values)) if x.is_valid and y.is_valid else (0.0, 0.0) for x, y in zip(a, b, strict=True)]
+    return pa.array([{"precision": p, "recall": r} for p, r in found], pa.struct([("precision", pa.float64()), ("recall", pa.float64())]))
+
+
+def token_similarity(answer: Column, truth: Column) -> Column:
+    """struct<precision, recall, f1> by greedy cosine of token vectors (array<array<double>>); zeros where a side has none."""
+    return let(_token_match(answer, truth), lambda m: F.struct(m["precision"].alias("precision"), m["recall"].alias("recall"), f1(m["precision"], m["recall"]).alias("f1")))
+
+
 def bert_score(pairs: DataFrame) -> DataFrame:
-    """pair_id, precision, recall, f1 by greedy cosine of token vectors: pairs has pair_id, a (array<array<float>>), b."""
-    cos = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    best = lambda xs, ys: F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: cos(x, y))))
-    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
-    out = pairs.select("pair_id", mean(best(F.col("a"), F.col("b"))).alias("precision"), mean(best(F.col("b"), F.col("a"))).alias("recall"))
-    return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
+    """pair_id, precision, recall, f1 by greedy cosine of token vectors: pairs has pair_id, a (array<array<double>>), b."""
+    vectors = lambda c: F.col(c).cast("array<array<double>>")
+    return pairs.select("pair_id", token_similarity(vectors("a"), vectors("b")).alias("m")).select("pair_id", "m.*")
 
 
-# Metric sets by mode, and each metric as an expression of (answer, truth).
-METRIC_SETS = {"simple": ("exact_match", "covered_exact_match"), "lexical": ("exact_match", "covered_exact_match", "rouge", "bleu"), "llm": ("llm_judge",), "all": ("exact_match", "covered_exact_match", "rouge", "bleu", "retrieval", "file_list", "llm_judge")}
+def semantic_similarity(answer: Column, truth: Column) -> Column:
+    """Cosine of two embeddings; 0 where one is missing or zero."""
+    return F.coalesce(vector_score(answer, truth), F.lit(0.0))
+
+
+# Metric sets by mode, and each metric as an expression of its columns.
+METRIC_SETS = {
+    "simple": ("exact_match", "covered_exact_match"),
+    "lexical": ("exact_match", "covered_exact_match", "rouge", "bleu"),
+    "semantic": ("semantic_similarity", "bert_score"),
+    "llm": ("llm_judge",),
+    "all": ("exact_match", "covered_exact_match", "rouge", "bleu", "semantic_similarity", "bert_score", "retrieval", "file_list", "llm_judge"),
+}
 REGISTRY = {
     "exact_match": lambda r: exact_match(r["answer"], r["truth"]),
     "covered_exact_match": lambda r: covered_match(r["answer"], r["truth"]),
     "rouge": lambda r: rouge(r["answer"], r["truth"])["score"],
     "bleu": lambda r: bleu(r["answer"], r["truth"])["bleu"],
+    "semantic_similarity": lambda r: semantic_similarity(r["answer_vector"], r["truth_vector"]),
+    "bert_score": lambda r: token_similarity(r["answer_tokens"], r["truth_tokens"])["f1"],
     "retrieval": lambda r: list_prf(r["expected"], r["found"])["f1"],
     "file_list": lambda r: list_prf(r["expected"], r["found"])["f1"],
     "llm_judge": lambda r: judge_reply(r["reply"])["score"].cast("double"),
 }
-_NEEDS = {"retrieval": ("expected", "found"), "file_list": ("expected", "found"), "llm_judge": ("reply",)}
+_NEEDS = {
+    "semantic_similarity": ("answer_vector", "truth_vector"),
+    "bert_score": ("answer_tokens", "truth_tokens"),
+    "retrieval": ("expected", "found"),
+    "file_list": ("expected", "found"),
+    "llm_judge": ("reply",),
+}
+#: What a metric's row lacks, by its columns; a vector pair may also differ in length.
+_LACKS = {"truth": "missing_ground_truth", "answer": "missing_answer", "reply": "no_reply", "expected": "missing_ground_truth", "found": "missing_answer"}
+JUDGED = ("llm_judge",)
+
+
+def _failure(rows: DataFrame, metric: str) -> Column:
+    """The message of a row that the metric cannot score, null where it can."""
+    out = F.lit(None).cast("string")
+    needs = _NEEDS.get(metric, ("answer", "truth"))
+    if metric == "semantic_similarity":
+        a, b = rows[needs[0]], rows[needs[1]]
+        out = F.when(F.size(a) != F.size(b), F.concat(F.lit("vectors of "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"), F.lit(" numbers")))
+    for c in reversed(needs):
+        kind = dict(rows.dtypes)[c]
+        blank = rows[c].isNull() if kind != "string" or metric in ("retrieval", "file_list") else F.coalesce(F.trim(rows[c]) == "", F.lit(True))
+        out = F.when(blank, _LACKS.get(c, f"missing_{c}")).otherwise(out)
+    return out
 
 
 def evaluate(rows: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
-    """rows with a map<string, double> of scores; metrics that are unknown or lack their columns are skipped."""
+    """rows with a map<string, double> of scores, and `errors`, a map<string, string>: a metric that fails for a row scores 0 there and says why.
+
+    Metrics that are unknown or lack their columns are skipped. All metrics are expressions of one projection, so rows are read once."""
     known = [m for m in metrics if m in REGISTRY and set(_NEEDS.get(m, ("answer", "truth"))) <= set(rows.columns)]
-    each = {m: REGISTRY[m](rows) for m in known}
-    return rows.select("*", *[c.alias(f"__{m}") for m, c in each.items()]).select(*rows.columns, F.create_map(*[x for m in known for x in (F.lit(m), F.col(f"__{m}"))]).alias("scores") if known else F.lit(None).cast("map<string,double>").alias("scores"))
+    if not known:
+        return rows.select("*", F.lit(None).cast("map<string,double>").alias("scores"), F.lit(None).cast("map<string,string>").alias("errors"))
+    failed = rows.select("*", *[_failure(rows, m).alias(f"__e_{m}") for m in known])
+    # a metric is computed where it does not fail; try_* would hide what the message says
+    scored = failed.select("*", *[F.when(F.col(f"__e_{m}").isNull(), REGISTRY[m](failed)).otherwise(0.0).alias(f"__{m}") for m in known])
+    scores = F.create_map(*[x for m in known for x in (F.lit(m), F.coalesce(F.col(f"__{m}"), F.lit(0.0)))])
+    errors = F.map_filter(F.create_map(*[x for m in known for x in (F.lit(m), F.col(f"__e_{m}"))]), lambda _, e: e.isNotNull())
+    return scored.select(*rows.columns, scores.alias("scores"), errors.alias("errors"))
+
+
+def structured(evaluated: DataFrame) -> DataFrame:
+    """evaluated with its scores parted: `judge` (score and passed, of the judge's reply) and `simple_metrics`, the others; null where there are none."""
+    simple = F.map_filter("scores", lambda k, _: ~k.isin(*JUDGED))
+    judge = F.when(F.map_contains_key("scores", JUDGED[0]), F.struct(F.col("scores")[JUDGED[0]].alias("score"), (judge_reply(F.col("reply"))["pred"] == "yes").alias("passed"), F.col("errors")[JUDGED[0]].alias("error"))) if "reply" in evaluated.columns else F.lit(None)
+    return evaluated.withColumn("judge", judge).withColumn("simple_metrics", F.when(F.size(simple) > 0, simple)).drop("scores")
+
+
+def evaluate_to(rows: DataFrame, metrics: tuple[str, ...], path: str) -> dict:
+    """Write structured evaluations of rows as JSON and give their summary: of each metric the number of rows, mean, least, greatest and failures.
+
+    The summary is observed while the rows are written, so they are read once."""
+    known = [m for m in metrics if m in REGISTRY and set(_NEEDS.get(m, ("answer", "truth"))) <= set(rows.columns)]
+    observed = Observation("evaluation")
+    score = lambda m: F.col("scores")[m]
+    parts = [F.count(F.lit(1)).alias("n")]
+    for m in known:
+        parts += [F.avg(score(m)).alias(f"{m}_mean"), F.min(score(m)).alias(f"{m}_min"), F.max(score(m)).alias(f"{m}_max"), F.count_if(F.map_contains_key("errors", m)).alias(f"{m}_failed")]
+    structured(evaluate(rows, metrics).observe(observed, *parts)).write.mode("overwrite").json(path)
+    told = observed.get
+    return {"n": told["n"], "metrics": {m: {k: told[f"{m}_{k}"] for k in ("mean", "min", "max", "failed")} for m in known}}
+
+
+def evaluate_file(spark: SparkSession, source: str, schema: str, metrics: tuple[str, ...], path: str) -> dict:
+    """evaluate_to() of a result file: a JSON list, an object with `results` or `data`, or a line for each."""
+    from heliodor.sources import results
+
+    return evaluate_to(results(spark, source, schema), metrics, path)

@@ -28,10 +28,12 @@ def line_cube(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.grouping("l_returnflag").cast("long").alias("g1"), F.grouping("l_linestatus").cast("long").alias("g2"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1995)")
 def customers_without_orders(spark, sf_dir):
+    """Customers without an order in 1995."""
     customers, orders = load(spark, sf_dir, "customer", "orders")
-    return customers.join(orders, customers.c_custkey == orders.o_custkey, "left_anti").select("c_custkey", "c_name")
+    placed = orders.where(F.year("o_orderdate") == 1995)
+    return customers.join(placed, customers.c_custkey == placed.o_custkey, "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_acctbal > 0 INTERSECT SELECT o_custkey FROM orders WHERE o_totalprice > 100000")

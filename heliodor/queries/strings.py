@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from heliodor import sources
 from heliodor.functions import scalars, text
-from heliodor.operators import metrics, rank
+from heliodor.operators import dictionary, metrics, rank
 from heliodor.queries import load, query
 from heliodor.queries.stemming import stems_sql
 
@@ -29,14 +29,24 @@ def _pairs(spark, sf_dir):
 _PAIRS = "pairs AS (SELECT doc_id, d.text AS answer, b.text AS truth FROM documents d, (SELECT count(*) AS n FROM benchmark) c JOIN benchmark b ON b.item_id = d.doc_id % c.n)"
 
 
-@query(f"WITH {_PAIRS} SELECT doc_id, CAST({_NORM.format('answer')} = {_NORM.format('truth')} AS DOUBLE) AS score FROM pairs")
+def _cut_pairs(spark, sf_dir):
+    """The same pairs, but every tenth document's truth is cut out of it, and every thirtieth's is all of it with more signs."""
+    d = F.col("doc_id")
+    cut = F.when(d % 30 == 0, F.concat(F.lit("The "), "answer", F.lit(" !"))).when(d % 10 == 0, F.substring("answer", 1, 40)).otherwise(F.col("truth"))
+    return _pairs(spark, sf_dir).withColumn("truth", cut)
+
+
+_CUT = f"""{_PAIRS.replace('pairs AS', 'whole AS')}, pairs AS (SELECT doc_id, answer, CASE WHEN doc_id % 30 = 0 THEN 'The ' || answer || ' !' WHEN doc_id % 10 = 0 THEN left(answer, 40) ELSE truth END AS truth FROM whole)"""
+
+
+@query(f"WITH {_CUT} SELECT doc_id, CAST({_NORM.format('answer')} = {_NORM.format('truth')} AS DOUBLE) AS score FROM pairs")
 def exact_match(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("doc_id", metrics.exact_match(F.col("answer"), F.col("truth")).alias("score"))
+    return _cut_pairs(spark, sf_dir).select("doc_id", metrics.exact_match(F.col("answer"), F.col("truth")).alias("score"))
 
 
-@query(f"WITH {_PAIRS} SELECT doc_id, CAST(contains({_NORM.format('answer')}, {_NORM.format('truth')}) AS DOUBLE) AS score FROM pairs")
+@query(f"WITH {_CUT} SELECT doc_id, CAST(contains({_NORM.format('answer')}, {_NORM.format('truth')}) AS DOUBLE) AS score FROM pairs")
 def covered_exact_match(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("doc_id", metrics.covered_match(F.col("answer"), F.col("truth")).alias("score"))
+    return _cut_pairs(spark, sf_dir).select("doc_id", metrics.covered_match(F.col("answer"), F.col("truth")).alias("score"))
 
 
 def _rouge_sql(n: int) -> str:
@@ -108,11 +118,24 @@ WHERE CASE WHEN length(alias) <= 3 THEN contains(' ' || regexp_replace(lower(p_n
 SELECT p_partkey, alias FROM m WHERE n = 1""")
 def alias_longest_match(spark, sf_dir):
     parts = load(spark, sf_dir, "part")
-    # The dictionary is of first words of part names; it is broadcast as the theta side, its size is that of a vocabulary.
     alias = parts.where("p_name <> ''").select(F.lower(F.regexp_extract("p_name", r"^(\S+)", 1)).alias("alias")).distinct()
-    met = parts.join(F.broadcast(alias), text.alias_hit(F.col("p_name"), F.col("alias")))
-    best = met.groupBy("p_partkey").agg(F.min(F.struct((-F.length("alias")).alias("n"), "alias")).alias("b"))
-    return best.select("p_partkey", "b.alias")
+    found = dictionary.match_aliases(parts.select("p_partkey", "p_name"), "p_name", alias.select("alias", F.col("alias").alias("code"), F.lit(0).alias("place")))
+    return found.where("alias IS NOT NULL").select("p_partkey", "alias")
+
+
+@query("""WITH f AS (SELECT DISTINCT upper(p_brand || '_' || split_part(p_name, ' ', 1)) AS code FROM part), n AS (SELECT lower(code) AS a, code FROM f UNION SELECT lower(replace(code, '_', '')), code FROM f UNION SELECT lower(replace(code, '_', ' ')), code FROM f),
+d AS (SELECT a AS alias, min(code) AS code FROM n GROUP BY a), q AS (SELECT o_orderkey, 'Sales of ' || p_brand || CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE '_' END || upper(split_part(p_name, ' ', 1)) || ' in 2020' AS q FROM orders JOIN part ON p_partkey = 1 + o_orderkey % (SELECT count(*) FROM part)),
+u AS (SELECT DISTINCT q FROM q), m AS (SELECT q, alias, code, row_number() OVER (PARTITION BY q ORDER BY length(alias) DESC, alias) AS n FROM u JOIN d ON contains(lower(q), alias))
+SELECT o_orderkey, alias, code FROM q JOIN m USING (q) WHERE n = 1""")
+def company_match(spark, sf_dir):
+    """The company that a question names, by a dictionary of the files' names."""
+    parts, orders = load(spark, sf_dir, "part", "orders")
+    maker = F.concat("p_brand", F.lit("_"), F.split("p_name", " ")[0])
+    known = dictionary.company_dictionary(parts.select(F.concat(maker, F.lit("_2020.pdf")).alias("name")), {}).withColumn("place", F.lit(0))
+    n = parts.agg(F.count("*").alias("n"))
+    asked = orders.crossJoin(F.broadcast(n)).join(parts.select("p_partkey", "p_brand", F.upper(F.split("p_name", " ")[0]).alias("first")), F.col("p_partkey") == 1 + F.col("o_orderkey") % F.col("n"))
+    asked = asked.select("o_orderkey", F.concat(F.lit("Sales of "), "p_brand", F.when(F.col("o_orderkey") % 2 == 0, " ").otherwise("_"), "first", F.lit(" in 2020")).alias("q"))
+    return dictionary.match_aliases(asked, "q", known).where("alias IS NOT NULL").select("o_orderkey", "alias", "code")
 
 
 @query("SELECT page_id, md5(url) AS file_id, sha1(url || ':' || page_id) AS row_id, regexp_extract(url, '([^/]+)$', 1) AS base FROM pages")
