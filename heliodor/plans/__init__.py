@@ -7,6 +7,7 @@ step's state is checkpointed in the shared folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,6 +78,16 @@ def hybrid(queries: DataFrame, corpus: Corpus, k: int = 100, rerank_k: int = 5,
     return corpus.rerank(queries, rank.rrf(lists, k), rerank_k)
 
 
+def simple(queries: DataFrame, corpus: Corpus, k: int = 10) -> DataFrame:
+    """Dense hits, fused with the index's inner products where there is one, of max(10 k, 100) candidates each; the k best after reranking."""
+    wide = max(10 * k, 100)
+    lists = [corpus.dense(queries, wide)]
+    if corpus.index is not None:
+        lists.append(corpus.index.search(queries.select("query_id", F.col("question").alias("text")), wide, model="product", digits=6))
+    hits = rank.rrf(lists, wide) if len(lists) > 1 else lists[0]
+    return corpus.rerank(queries, hits, k)
+
+
 def hyde(queries: DataFrame, corpus: Corpus, n: int = 4, k: int = 20, rerank_k: int = 5) -> DataFrame:
     """Search by the mean of the query's vector and those of n hypothetical documents."""
     vectors = queries.select("query_id", corpus.embedder.embed(query_text(F.col("question"))).alias("vector"))
@@ -180,13 +191,14 @@ def adaptive(queries: DataFrame, corpus: Corpus, k: int = 20, rerank_k: int = 5)
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-PLANS = {"vector": vector_search, "standard": standard, "hybrid": hybrid, "hyde": hyde, "self": self_reflective, "graded": graded, "corrective": corrective, "interleaved": interleaved, "decomposed": decomposed, "adaptive": adaptive, "none": None}
+PLANS = {"simple": simple, "vector": vector_search, "standard": standard, "hybrid": hybrid, "hyde": hyde, "self": self_reflective, "graded": graded, "corrective": corrective, "interleaved": interleaved, "decomposed": decomposed, "adaptive": adaptive, "none": None}
 
 
-def contexts(hits: DataFrame, chunks: DataFrame, most: int = 10) -> DataFrame:
-    """query_id, context: `[i] (Source: file)` and text of the first hits."""
+def contexts(hits: DataFrame, chunks: DataFrame, most: int = 10, titled: bool = False) -> DataFrame:
+    """query_id, context: `[i] (Source: file)` and text of the first hits, or with titled `Doc i(Title: file) text`."""
     met = hits.where(F.col("rank") <= most).join(chunks.select("id", "text", "file_id"), "id")
-    line = lambda s: F.concat(F.lit("["), s["rank"].cast("string"), F.lit("] (Source: "), s["file_id"].cast("string"), F.lit(")\n"), s["text"])
+    begin, middle, end = ("Doc ", "(Title: ", ") ") if titled else ("[", "] (Source: ", ")\n")
+    line = lambda s: F.concat(F.lit(begin), s["rank"].cast("string"), F.lit(middle), s["file_id"].cast("string"), F.lit(end), s["text"])
     return met.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file_id", "text"))), line), "\n\n").alias("context"))
 
 
@@ -219,16 +231,16 @@ def last_action(reply: Column) -> Column:
     return F.when(F.size(kinds) > 0, F.struct(F.lower(F.element_at(kinds, -1)).alias("action"), F.trim(F.element_at(args, -1)).alias("argument")))
 
 
-def react(queries: DataFrame, corpus: Corpus, turns: int = 5, k: int = 5) -> DataFrame:
+def react(queries: DataFrame, corpus: Corpus, turns: int = 5, k: int = 5, parse: Callable[[Column], Column] = last_action, nudge: str = "Use Action: search[..] or finish[..].", titled: bool = False) -> DataFrame:
     """query_id, answer, turns of a search-or-finish loop; a malformed reply is asked again, the cap ends it without an answer."""
     state = queries.withColumn("trace", F.col("question")).withColumn("answer", F.lit(None).cast("string")).withColumn("turns", F.lit(0))
     for step in range(turns):
-        replies = corpus.generator.reply(state.where("answer IS NULL"), "react", step, F.col("trace")).withColumn("act", last_action(F.coalesce("reply", F.lit(""))))
+        replies = corpus.generator.reply(state.where("answer IS NULL"), "react", step, F.col("trace")).withColumn("act", parse(F.coalesce("reply", F.lit(""))))
         replies = _save(replies.withColumn("answer", F.when(F.col("act.action") == "finish", F.col("act.argument"))))
         asked = replies.where("act.action = 'search'").select("query_id", F.col("act.argument").alias("question"))
-        seen = contexts(corpus.dense(asked, k), corpus.chunks)
-        nudge = F.when(F.col("act").isNull(), "Use Action: search[..] or finish[..].").otherwise(F.coalesce("context", F.lit("")))
-        after = replies.join(seen, "query_id", "left").withColumn("trace", F.concat_ws("\n", "trace", "reply", nudge)).withColumn("turns", F.lit(step + 1)).select(*state.columns)
+        seen = contexts(corpus.dense(asked, k), corpus.chunks, titled=titled)
+        told = F.when(F.col("act").isNull(), nudge).otherwise(F.coalesce("context", F.lit("")))
+        after = replies.join(seen, "query_id", "left").withColumn("trace", F.concat_ws("\n", "trace", "reply", told)).withColumn("turns", F.lit(step + 1)).select(*state.columns)
         state = _save(state.where("answer IS NOT NULL").unionByName(after))
         if not state.where("answer IS NULL").limit(1).count():
             break
@@ -241,6 +253,11 @@ def tagged_action(reply: Column) -> Column:
     return F.when(answer_ != "", F.struct(F.lit("finish").alias("action"), F.trim(answer_).alias("argument"))).when(asked != "", F.struct(F.lit("search").alias("action"), F.trim(asked).alias("argument")))
 
 
+def tagged_loop(queries: DataFrame, corpus: Corpus, turns: int = 10, k: int = 3) -> DataFrame:
+    """react() with `<search>` and `<answer>` tags, and passages as titled documents."""
+    return react(queries, corpus, turns, k, tagged_action, "Use <search>..</search> or <answer>..</answer>.", True)
+
+
 def index(segments: DataFrame, store, chunk, embedder: HashingEmbedder) -> None:
     """Chunk segments, embed the chunks that the store doesn't have, and add them."""
     fresh = store.missing(chunk(segments))
