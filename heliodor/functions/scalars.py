@@ -201,3 +201,18 @@ def piecewise_year(days: Column, cut: Column, end: Column, start: Column, share:
     early = (days - start) / (cut - start) * share
     late = share + (days - cut) / (end - cut) * (1 - share)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(days <= cut, early).otherwise(late)))
+
+
+def base64_bytes(c: Column) -> Column:
+    """The bytes of a base64 text; null where it is none."""
+    return F.try_to_binary(F.regexp_replace(c, r"\s", ""), F.lit("base64"))
+
+
+def milliseconds(seconds: Column, digits: int = 2) -> Column:
+    """Seconds as milliseconds, halves rounded to even."""
+    return F.bround(seconds * 1000, digits)
+
+
+def sorted_json(entries: Column) -> Column:
+    """A map as JSON with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(entries))))

@@ -141,6 +141,11 @@ def list_prf(truth: Column, found: Column) -> Column:
     return F.struct(precision.alias("precision"), recall.alias("recall"), f1(precision, recall).alias("f1"))
 
 
+def list_prf_if_known(truth: Column, found: Column) -> Column:
+    """list_prf(), null for a row without a truth."""
+    return F.when(F.size(F.coalesce(truth, F.array().cast("array<string>"))) > 0, list_prf(truth, found))
+
+
 def list_batch(rows: DataFrame, skip: str = "empty") -> DataFrame:
     """n, precision, recall, f1: means over rows (truth, found). skip: `empty` leaves out empty truths, `null` nulls alone."""
     kept = rows.where(F.col("truth").isNotNull() & (F.size("truth") > 0)) if skip == "empty" else rows.where(F.col("truth").isNotNull())

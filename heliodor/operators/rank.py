@@ -63,13 +63,13 @@ def expand_pages(hits: DataFrame, chunks: DataFrame, max_pages: int) -> DataFram
     return top.join(whole, ["file_id", "page"]).select("query_id", "file_id", "page", "score", "text", "rank")
 
 
-def grade_from_reply(reply: Column, index: Column, label: str = "Document") -> Column:
-    """Score 0 to 1 that a reply gives document `index`; 0.5 if it gives none."""
+def grade_from_reply(reply: Column, index: Column, label: str = "Document", low: float = 0.0, default: float = 0.5) -> Column:
+    """Score from low to 1 that a reply gives document `index`; the default if it gives none. Evaluations go from -1, and 0 is their default."""
     pieces = F.regexp_extract_all(reply, F.lit(rf"(?i){label}\s+(\d+)\s*:\s*(?:score\s*=\s*)?[-+]?[0-9.]+"), F.lit(1))
     scores = F.regexp_extract_all(reply, F.lit(rf"(?i){label}\s+\d+\s*:\s*(?:score\s*=\s*)?([-+]?[0-9.]+)"), F.lit(1))
     at = F.array_position(pieces, index.cast("string")).cast("int")
     found = F.when(at > 0, F.get(scores, at - 1).try_cast("double"))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(found, F.lit(0.5))))
+    return F.greatest(F.lit(low), F.least(F.lit(1.0), F.coalesce(found, F.lit(default))))
 
 
 def grade(hits: DataFrame, threshold: float) -> DataFrame:
@@ -100,6 +100,17 @@ def resume(queries: DataFrame, done: DataFrame) -> DataFrame:
     return queries.join(done.select("query_id").distinct(), "query_id", "left_anti")
 
 
+def resume_mismatches(queries: DataFrame, done: DataFrame, prefix: int = 150) -> DataFrame:
+    """query_id, saved, expected of results (query_id, question) that do not fit the queries (query_id, question): none if they are of one batch.
+
+    The first and the last result are looked at, by number or else by text; one whose query_id is not among the queries has no expected question."""
+    number = F.col("query_id").cast("string").try_cast("decimal(38,0)")
+    order = F.struct(number.isNotNull().alias("a"), number.alias("b"), F.col("query_id").alias("query_id"), F.col("question").alias("saved"))
+    ends = done.agg(F.array(F.min(order), F.max(order)).alias("e")).select(F.explode(F.array_distinct("e")).alias("e")).where("e IS NOT NULL").select("e.query_id", "e.saved")
+    met = ends.where("saved IS NOT NULL").join(queries.select("query_id", F.col("question").alias("expected")), "query_id", "left")
+    return met.where(~F.coalesce(F.substring("saved", 1, prefix) == F.substring("expected", 1, prefix), F.lit(False)))
+
+
 def rerank(hits: DataFrame, scored: Column, top_k: int, threshold: float | None = None) -> DataFrame:
     """Hits by a new score; the old one stays as retrieval_score."""
     out = hits.withColumn("retrieval_score", F.col("score")).withColumn("score", scored)

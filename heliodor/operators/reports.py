@@ -91,6 +91,11 @@ def difficulty(features: DataFrame, stats: DataFrame | None = None) -> DataFrame
     return both.select(*features.columns, F.greatest(F.lit(1.0), F.least(F.lit(99.0), score)).alias("difficulty"))
 
 
+def qa_types(annotations: DataFrame) -> DataFrame:
+    """query_id, qa_type of annotations (id, QA_type) that have a type; of a repeated id the last by type."""
+    return annotations.where("QA_type IS NOT NULL AND QA_type <> ''").groupBy(F.col("id").cast("string").alias("query_id")).agg(F.max("QA_type").alias("qa_type"))
+
+
 def histogram(values: DataFrame, column: str, width: float = 5, low: float = 0, high: float = 100) -> DataFrame:
     """bin, n: all bins of [low, high], the last with its upper edge."""
     bins = int((high - low) / width)
