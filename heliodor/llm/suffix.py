@@ -20,9 +20,9 @@ a batch are one row, so a passage that is in a third of all documents sends one
 a batch. Only the splitter sample reaches the driver, and its size is bounded.
 
 Defined cases: null text is empty; texts under `LENGTH` bytes keep all; a string that
-overlaps its own repeat counts; rows that repeat a doc_id or lack it are documents of
-their own, each judged and cut by itself (equal rows: all is removed from both, if they
-have `LENGTH` bytes). Extra columns are ignored.
+overlaps its own repeat counts; rows that repeat a doc_id are documents of their own,
+each judged and cut by itself (equal rows: all is removed from both, if they have
+`LENGTH` bytes); the text of a null doc_id is compared but itself kept. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -269,7 +269,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
     rows = numbered(docs.select("doc_id", "text"), "row")
     texts = docs.select("doc_id", "text") if rows is None else rows.select(F.col("row").alias("doc_id"), "text")
-    made = with_lists(texts, find_repeats(texts, length, gram)).mapInArrow(tidy(strip), schema)
+    spans = find_repeats(texts, length, gram)
+    if rows is not None:  # a row without a doc_id is compared, but itself kept
+        spans = spans.join(rows.where("doc_id IS NOT NULL").select(F.col("row").alias("doc")), "doc", "left_semi")
+    made = with_lists(texts, spans).mapInArrow(tidy(strip), schema)
     if rows is None:
         return made
     return made.withColumnRenamed("doc_id", "row").join(rows.select("row", "doc_id"), "row").select(*made.columns)

@@ -69,6 +69,8 @@ def test_repeated_ids_with_other_texts(spark):
     shared = word(300)
     texts = [(1, word(900) + shared), (1, "x" * 16), (2, word(50) + shared + word(9)), (1, word(3) + shared), (None, shared), (None, "y"), (2, None)]
     want = brute_bytes({k: (t or "").encode() for k, (_, t) in enumerate(texts)}, 200)
+    kept = brute_bytes({k: t.encode() for k, (d, t) in enumerate(texts) if d is None}, 10**6)  # compared, but itself kept
+    want |= kept
     got = suffix.remove_repeats(frame(spark, [(d, t, None) for d, t in texts]).repartition(3)).collect()
     assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == sorted(str((texts[k][0], *w)) for k, w in want.items())
 
