@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from heliodor.llm.common import Memo, PartHashes, documents, slices, text_buffer
 
 NO_RANK = np.int32(2**31 - 1)
 #: Bytes of text that are encoded together (a longer text alone).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
 #: Fixed value: the pre-token pattern of the vocabulary, which split() implements by classes of signs.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -89,14 +90,15 @@ class BytePairEncoder:
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.said = list(map(str, range(max(self.ranks.values()) + 1)))
         self.kinds = np.full(0x110000, OTHER, np.int8)
-        every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-        for kind, sign in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
-            for run in regex.finditer(sign, every):
-                self.kinds[ord(run[0][0]) : ord(run[0][-1]) + 1] = kind
-        self.memo = Memo()
+        for low in range(0, 0x110000, 1 << 14):
+            every = "".join(chr(c) for c in range(low, low + (1 << 14)) if not 0xD800 <= c < 0xE000)
+            for kind, sign in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
+                for run in regex.finditer(sign, every):
+                    self.kinds[ord(run[0][0]) : ord(run[0][-1]) + 1] = kind
+        self.memo = Memo(19, 2 << 20)
         self.n = max(self.ranks.values()) + 1
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        left, right, rank = [], [], []
+        left, right, rank = array("q"), array("q"), array("i")
         for token, r in self.ranks.items():
             for i in range(1, len(token)):
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
@@ -104,11 +106,11 @@ class BytePairEncoder:
                     left.append(a)
                     right.append(b)
                     rank.append(r)
-        self._hash_pairs(np.array(left, np.uint64), np.array(right, np.uint64), np.array(rank, np.int32))
+        self._hash_pairs(np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64), np.frombuffer(rank, np.int32))
 
     def _hash_pairs(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> None:
         """Open addressing with linear probing, filled probe by probe."""
-        self.bits = max(16, int(np.ceil(np.log2(len(left) * 6 + 1))))
+        self.bits = max(16, int(np.ceil(np.log2(len(left) * 3 + 1))))
         keys = (left << np.uint64(20)) | right
         self.keys = np.full((1 << self.bits) + 64, np.uint64(2**63), np.uint64)
         self.vals = np.full(len(self.keys), NO_RANK, np.int32)
