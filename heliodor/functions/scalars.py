@@ -119,11 +119,13 @@ def distinct_count(items: Column) -> Column:
 
 def human_size(c: Column) -> Column:
     size = c.cast("double")
+    # C's printf rounds halves, as of 1152 bytes, to even; Java's format would round them up.
+    of = lambda unit, power: F.format_string(f"%.2f {unit}", F.bround(size / 1024**power, 2))
     return (
         F.when(size < 1024, F.concat(c.cast("long").cast("string"), F.lit(" B")))
-        .when(size < 1024**2, F.format_string("%.2f KB", size / 1024))
-        .when(size < 1024**3, F.format_string("%.2f MB", size / 1024**2))
-        .otherwise(F.format_string("%.2f GB", size / 1024**3))
+        .when(size < 1024**2, of("KB", 1))
+        .when(size < 1024**3, of("MB", 2))
+        .otherwise(of("GB", 3))
     )
 
 
