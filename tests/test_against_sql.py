@@ -37,3 +37,15 @@ def test_token_similarity_of_a_last_pair_without_a_truth(spark, tmp_path):
     vectors(spark, tmp_path, np.random.default_rng(5).standard_normal((62, 64)))
     got, want = both(spark, tmp_path, "token_similarity", "embeddings")
     assert got == want and len(got) == 3
+
+
+def test_distinct_users_carry_no_sketches(spark, tmp_path):
+    rows = [(i, f"t{i % 3}" if i % 7 else None, i % 211 if i % 5 else None) for i in range(4000)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got, want = both(spark, tmp_path, "distinct_users", "events")
+    assert got == want and len(got) == 4
+    plan = catalog.QUERIES["distinct_users"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    sketched = [line for line in plan.splitlines() if "Aggregate" in line and "approx_count_distinct" in line]
+    assert len(sketched) == 1
+    plan = catalog.QUERIES["distinct_users"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate" in line and "user_id" in line.split("functions=")[0] and "approx_count_distinct" in line]
