@@ -38,8 +38,8 @@ STRIPE = 256
 QUERY_TERMS = 200_000
 #: Stripes of a batch that are scored for a query before its floor skips others.
 FIRST_STRIPES = 4
-#: Scores that a task holds at once: queries times documents.
-HELD_SCORES = 4_000_000
+#: Scores that a task holds at once: queries times documents; and postings, each counted for every query that has its term.
+HELD_SCORES, HELD_POSTINGS = 4_000_000, 1_000_000
 #: The lengths of a token that is stemmed.
 STEMMED = (3, 64)
 
@@ -56,11 +56,19 @@ def _stemmed(tokens: pa.Array) -> pa.Array:
 ANALYZERS = {"words": words, "stems": lambda text: _stemmed(F.coalesce(words(text), F.array().cast("array<string>")))}
 
 
+def _of_tokens(batch: pa.RecordBatch):
+    """The batch in parts of about HELD_POSTINGS tokens, or of one document with more."""
+    if batch.num_rows:
+        size = batch.column("tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(size) - size) // HELD_POSTINGS
+        cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), batch.num_rows)
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield batch.slice(low, high - low)
+
+
 def _postings(batches):
     """(id, stripe, tokens) as term, stripe, id, tf, dl: frequencies are counted in the batch, so no word is shuffled."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (part for whole in batches for part in _of_tokens(whole)):
         lists = batch.column("tokens")
         dl = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
@@ -156,20 +164,20 @@ def _scorer(held, k: int, digits: int, avgdl: float, model: str, count_only: boo
             firsts = np.append(np.flatnonzero(new), len(place))
             coded = table.column("term").combine_chunks().dictionary_encode()
             codes = np.array([asked.code[t] for t in coded.dictionary.to_pylist()], np.int64)
-            ends = np.append(0, np.cumsum(table.column("n").to_numpy(), dtype=np.int64))
-            flat = {c: table.column(f"{c}s").combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("id", "tf", "dl")}
-            weight = part(flat["tf"].astype(float), flat["dl"])
-            bounds = part(table.column("max_tf").to_numpy().astype(float), table.column("min_dl").to_numpy())
             all_terms = codes[coded.indices.to_numpy(zero_copy_only=False)]
             for low in range(0, len(firsts) - 1, at_once):
                 high = min(low + at_once, len(firsts) - 1)
                 rows = slice(firsts[low], firsts[high])
+                own_table = table.slice(rows.start, rows.stop - rows.start)
+                ends = np.append(0, np.cumsum(own_table.column("n").to_numpy(), dtype=np.int64))
+                flat = {c: own_table.column(f"{c}s").combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("id", "tf", "dl")}
+                weight = part(flat["tf"].astype(float), flat["dl"])
+                bounds = part(own_table.column("max_tf").to_numpy().astype(float), own_table.column("min_dl").to_numpy())
                 term, where = all_terms[rows], place[rows] - low
                 block, pair = _expanded(asked.begin[term], np.diff(asked.begin)[term])
                 query, own = asked.query[pair], where[block]
-                most = np.bincount(query * (high - low) + own, asked.idf[pair] * bounds[rows][block], n_queries * (high - low)).reshape(n_queries, -1)
-                ids, doc = np.unique(flat["id"][ends[firsts[low]] : ends[firsts[high]]], return_inverse=True)
-                offset = ends[firsts[low]]
+                most = np.bincount(query * (high - low) + own, asked.idf[pair] * bounds[block], n_queries * (high - low)).reshape(n_queries, -1)
+                ids, doc = np.unique(flat["id"], return_inverse=True)
                 n_first = min(FIRST_STRIPES, high - low)
                 first = np.zeros(most.shape, bool)
                 np.put_along_axis(first, np.argpartition(-most, n_first - 1, axis=1)[:, :n_first], True, axis=1)
@@ -178,25 +186,29 @@ def _scorer(held, k: int, digits: int, avgdl: float, model: str, count_only: boo
                     # a rounded score may lie above its bound by half a digit, and equal scores go by id
                     some = np.flatnonzero((turn & (most >= floor[:, None] - 10.0**-digits))[query, own])
                     used += len(some)
-                    if not len(some):
-                        continue
-                    b = block[some] + firsts[low]
-                    owner, posting = _expanded(ends[b], ends[b + 1] - ends[b])
-                    key = query[some][owner] * len(ids) + doc[posting - offset]
-                    score = np.bincount(key, asked.idf[pair[some]][owner] * weight[posting], n_queries * len(ids))
-                    hit = np.flatnonzero(score > 0)
-                    q = hit // len(ids)
-                    value = np.round(score[hit], digits)
-                    good = value >= floor[q]
-                    q, hit, value = q[good], hit[good], value[good]
-                    q, i, value = (np.concatenate(x) for x in zip(best, (q, ids[hit % len(ids)], value), strict=True))
-                    order = np.lexsort((i, -value, q))
-                    q, i, value = q[order], i[order], value[order]
-                    rank = np.arange(len(q)) - np.searchsorted(q, q)
-                    kept = rank < k
-                    best = q[kept], i[kept], value[kept]
-                    last = rank == k - 1
-                    floor[q[last]] = value[last]
+                    # some queries at a time, whole: a posting is held for each query of its term
+                    held_by = np.cumsum(np.bincount(query[some], np.diff(ends)[block[some]], n_queries).astype(np.int64))
+                    group = (held_by // HELD_POSTINGS)[query[some]]
+                    for one in np.unique(group).tolist():
+                        mine = some[group == one]
+                        b = block[mine]
+                        owner, posting = _expanded(ends[b], ends[b + 1] - ends[b])
+                        begin = int(query[mine].min())
+                        key = (query[mine] - begin)[owner] * len(ids) + doc[posting]
+                        score = np.bincount(key, asked.idf[pair[mine]][owner] * weight[posting])
+                        hit = np.flatnonzero(score > 0)
+                        q = hit // len(ids) + begin
+                        value = np.round(score[hit], digits)
+                        good = value >= floor[q]
+                        q, hit, value = q[good], hit[good], value[good]
+                        q, i, value = (np.concatenate(x) for x in zip(best, (q, ids[hit % len(ids)], value), strict=True))
+                        order = np.lexsort((i, -value, q))
+                        q, i, value = q[order], i[order], value[order]
+                        rank = np.arange(len(q)) - np.searchsorted(q, q)
+                        kept = rank < k
+                        best = q[kept], i[kept], value[kept]
+                        last = rank == k - 1
+                        floor[q[last]] = value[last]
         if count_only:
             yield pa.RecordBatch.from_pydict({"blocks": pa.array([seen], pa.int64()), "scored": pa.array([used], pa.int64())})
         else:

@@ -132,3 +132,33 @@ def test_of_two_writers_one_makes_a_version(spark, tmp_path):
         list(pool.map(lambda _: log.update(lambda state: {"n": state["n"] + 1}, 100), range(12)))
     assert log.read() == {"n": 12} and log.version() == 12 and log.read(3) == {"n": 3}
     assert log.update(lambda state: None) == {"n": 12} and log.version() == 12
+
+
+def test_scores_of_many_queries_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from heliodor.operators import textindex
+
+    rng = np.random.default_rng(1)
+    n_terms, stripes, docs, queries = 200, 10, 100, 100
+    held = type("Held", (), {"value": textindex._Asked([(q, f"t{t}", 1.0 + t / 7) for q in range(queries) for t in range(n_terms)])})()
+    rows = [(s, f"t{t}", rng.integers(1, 9, docs).astype(np.int32)) for s in range(stripes) for t in range(n_terms)]
+    ids = [np.arange(docs) + 1000 * s for s, _, _ in rows]
+    columns = {"segment": pa.array([0] * len(rows), pa.int32()), "term": [t for _, t, _ in rows], "stripe": pa.array([s for s, _, _ in rows]), "n": pa.array([docs] * len(rows), pa.int32()), "max_tf": pa.array([int(f.max()) for *_, f in rows], pa.int32()), "min_dl": pa.array([50] * len(rows), pa.int32()), "ids": ids, "tfs": [f for *_, f in rows], "dls": [np.full(docs, 50, np.int32) for _ in rows]}
+    batch = pa.RecordBatch.from_pydict(columns)
+    run = lambda: [r for b in textindex._scorer(held, 5, 4, 50.0, "bm25", False)(iter([batch])) for r in b.to_pylist()]
+    tracemalloc.start()
+    try:
+        found = run()
+        assert tracemalloc.get_traced_memory()[1] < 200e6  # a posting for each query of its term, all at once, takes some 500 MB
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 5 * queries and {r["id"] for r in found[:5]} == {r["id"] for r in found[-5:]}
+    monkeypatch.setattr(textindex, "HELD_POSTINGS", 3000)
+    assert run() == found
+    lists = pa.RecordBatch.from_pydict({"id": pa.array([1, 2, 3, 4]), "stripe": pa.array([0, 0, 0, 0]), "tokens": pa.array([["a"] * 2000 + ["b"] * 1500, ["b", "a", "b"], None, ["c"] * 4000])})
+    made = [(r["id"], r["term"], r["tf"], r["dl"]) for b in textindex._postings(iter([lists])) for r in b.to_pylist()]
+    assert sorted(made) == [(1, "a", 2000, 3500), (1, "b", 1500, 3500), (2, "a", 1, 3), (2, "b", 2, 3), (4, "c", 4000, 4000)]
