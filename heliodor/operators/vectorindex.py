@@ -33,6 +33,8 @@ FORMAT = 1
 SAMPLE, MEASURED, MOST_LISTS = 65_536, 256, 4096
 #: Candidates a query, over all blocks of a search, that are broadcast at most.
 BROADCAST_ROWS = 500_000
+#: Candidates that a task holds beside the best of its queries.
+HELD_CANDIDATES = 500_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -228,7 +230,9 @@ class VectorIndex:
             near = ((centroids * centroids).sum(1)[None, :] - 2 * q @ centroids.T).argsort(1, kind="stable")[:, :probe]
             held = self.spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), q, near, centroids, books))
             wanted = sorted({int(x) for x in near.ravel()})  # the index's lists at most
-            part = self.points(state).where(F.col("list").isin(wanted)).select("id", "list", "code").mapInArrow(_searcher(held, n), "query_id long, id long, list int, distance float")
+            # A task has n rows for each query of its block: with more blocks, fewer tasks a block keep all cores busy.
+            tasks = max(4, -(-4 * self.spark.sparkContext.defaultParallelism // n_blocks))
+            part = self.points(state).where(F.col("list").isin(wanted)).select("id", "list", "code").coalesce(tasks).mapInArrow(_searcher(held, n), "query_id long, id long, list int, distance float")
             found = part if found is None else found.unionByName(part)
         if found is None:
             return self.spark.createDataFrame([], "query_id long, id long, list int, distance float")
@@ -262,10 +266,25 @@ class VectorIndex:
 
 
 def _searcher(held, n: int):
+    """The n nearest of each query in a task by their codes; a query's n-th distance so far is a floor that holds back all greater ones."""
+
     def run(batches):
         ids, q, near, centroids, books = held.value
         parts, _, width = books.shape
-        best: tuple | None = None  # query, distance, id, list
+        floor = np.full(len(q), np.inf, np.float32)
+        best = tuple(np.zeros(0, t) for t in (np.int64, np.float32, np.int64, np.int32))  # query, distance, id, list
+        waiting: list[tuple] = []
+
+        def met() -> tuple:
+            every = tuple(np.concatenate(x) for x in zip(best, *waiting, strict=True))
+            order = np.lexsort((every[2], every[1], every[0]))
+            sorted_q = every[0][order]
+            place = np.arange(len(order)) - np.searchsorted(sorted_q, sorted_q)
+            last = order[place == n - 1]
+            floor[every[0][last]] = every[1][last]
+            waiting.clear()
+            return tuple(x[order[place < n]] for x in every)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -281,18 +300,15 @@ def _searcher(held, n: int):
                     distance = np.zeros((len(some), len(rows)), np.float32)
                     for m in range(parts):
                         distance += tables[:, m, codes[rows, m]]
+                    most = floor[some]
                     if len(rows) > n:
-                        place = np.argpartition(distance, n - 1, axis=1)[:, :n]
-                    else:
-                        place = np.broadcast_to(np.arange(len(rows)), distance.shape)
-                    fresh = (np.repeat(some, place.shape[1]), np.take_along_axis(distance, place, 1).ravel(), points[rows][place].ravel(), np.full(place.size, one, np.int32))
-                    best = fresh if best is None else tuple(np.concatenate(x) for x in zip(best, fresh, strict=True))
-            order = np.lexsort((best[2], best[1], best[0])) if best else np.zeros(0, np.int64)
-            if len(order):
-                sorted_q = best[0][order]
-                kept = order[np.arange(len(order)) - np.searchsorted(sorted_q, sorted_q) < n]
-                best = tuple(x[kept] for x in best)
-        if best is not None:
+                        most = np.minimum(most, np.partition(distance, n - 1, axis=1)[:, n - 1])
+                    own, place = np.nonzero(distance <= most[:, None])
+                    waiting.append((some[own], distance[own, place], points[rows[place]], np.full(len(own), one, np.int32)))
+                    if sum(len(x[0]) for x in waiting) > HELD_CANDIDATES:
+                        best = met()
+        best = met() if waiting else best
+        if len(best[0]):
             yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[best[0]]), "id": pa.array(best[2].astype(np.int64)), "list": pa.array(best[3], pa.int32()), "distance": pa.array(best[1].astype(np.float32))})
 
     return run

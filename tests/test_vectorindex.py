@@ -66,3 +66,29 @@ def test_odd_points(spark, tmp_path):
     assert index.search(asked.where("query_id = 2"), 5).count() == 0
     with pytest.raises(ValueError, match="no points"):
         VectorIndex(spark, str(tmp_path / "y")).train(few.where("id = 3"))
+
+
+def test_candidates_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from heliodor.operators import vectorindex
+
+    rng = np.random.default_rng(1)
+    queries, lists, size, n = 1000, 60, 150, 100
+    centroids, books = rng.standard_normal((lists, 8)).astype(np.float32), rng.standard_normal((2, 16, 4)).astype(np.float32)
+    q = rng.standard_normal((queries, 8)).astype(np.float32)
+    of, codes = np.repeat(np.arange(lists, dtype=np.int32), size), rng.integers(0, 16, (lists * size, 2)).astype(np.uint8)
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(lists * size), "list": of, "code": pa.array([c.tobytes() for c in codes], pa.binary())})
+    held = type("Held", (), {"value": (np.arange(queries), q, np.tile(np.arange(lists), (queries, 1)), centroids, books)})()
+    tracemalloc.start()
+    try:
+        (found,) = vectorindex._searcher(held, n)(iter([batch]))
+        assert tracemalloc.get_traced_memory()[1] < 150e6  # 100 of each list and query at once were 6,000,000 candidates
+    finally:
+        tracemalloc.stop()
+    x = centroids[of] + np.hstack([books[m][codes[:, m]] for m in range(2)])
+    for i in (0, 499, 999):
+        own = np.sort(found.column("distance").to_numpy()[found.column("query_id").to_numpy() == i])
+        assert np.allclose(own, np.sort(((x - q[i]) ** 2).sum(1))[:n], atol=1e-3)
