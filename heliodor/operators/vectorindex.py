@@ -4,10 +4,11 @@ Coarse centroids and the codebooks of the residuals' parts are trained by Lloyd
 a bounded sample: each task assigns its rows and sums them, and only sums by centroid leave it. Every
 point is then stored in the list of its nearest centroid, as a code of a byte a part beside
 its vector. A search reads the codes of the lists nearest to its queries, keeps the best few
-of each query by distances from tables, and reads the vectors of those alone for exact scores.
+of each query by distances from what the codes stand for, and reads the vectors of those alone for exact scores.
 
 How many lists are probed is measured when the index is trained: the fewest that hold the wanted share
-of the sample's exact neighbours. Data with clusters need few, data without any need most.
+of the exact neighbours of each of some points, not of all together, where a few may find less than half.
+Data with clusters need few, data without any need most.
 
 Cosine and dot product become distances: cosine over normalised vectors, dot product by a
 further component that gives all points one length.
@@ -28,7 +29,7 @@ from heliodor.operators.search import METRICS, QUERY_BLOCK, dense_topk, top_rank
 from heliodor.storage import CommitLog, Folder, shared_dir, source_mark
 
 #: Of the files; an index of another is built anew.
-FORMAT = 1
+FORMAT = 2
 #: Points that training reads, at most about; queries that the number of probed lists is measured with; lists, at most.
 SAMPLE, MEASURED, MOST_LISTS = 65_536, 256, 4096
 #: Candidates a query, over all blocks of a search, that are broadcast at most.
@@ -152,7 +153,7 @@ class VectorIndex:
         lists = min(lists or max(1, int(n**0.5)), MOST_LISTS, size)
         centroids = lloyd(sample, lists)[0]
         dims = centroids.shape[1]
-        parts = parts or max(1, dims // 4)
+        parts = parts or max(1, dims // 2)
         parts = next(p for p in range(min(parts, dims), 0, -1) if dims % p == 0)
         held = self.spark.sparkContext.broadcast(centroids)
 
@@ -168,14 +169,17 @@ class VectorIndex:
         self.log.update(lambda _: {"metric": metric, "longest": longest, "lists": lists, "probe": probe, "centroids": _packed(centroids), "books": _packed(books), "segments": []})
 
     def _probes(self, sample: DataFrame, centroids: np.ndarray, recall: float, k: int = 10) -> int:
-        """The fewest lists that hold so much of the k nearest points of the sample, over some of its points."""
+        """The fewest lists that hold so much of the k nearest points of the sample, for each of some of its points."""
         asked = sample.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(MEASURED).select(F.col("id").alias("query_id"), F.col("x").alias("vector"))
         near = dense_topk(sample.select("id", F.col("x").alias("vector")), asked, k, "l2").select("query_id", "id")
         met = near.join(sample, "id").select("query_id", "x").join(asked, "query_id").collect()  # MEASURED x k rows at most
         x, q = (np.array([r[c] for r in met], np.float32) for c in ("x", "vector"))
+        _, own, count = np.unique([r["query_id"] for r in met], return_inverse=True, return_counts=True)
         order = ((centroids * centroids).sum(1)[None, :] - 2 * q @ centroids.T).argsort(1).argsort(1)
-        place = np.sort(order[np.arange(len(x)), _nearest(x, centroids)])
-        return int(place[min(len(place) - 1, int(np.ceil(recall * len(place))) - 1)]) + 1
+        place = order[np.arange(len(x)), _nearest(x, centroids)]
+        place = place[np.lexsort((place, own))]
+        wanted = np.maximum(1, np.floor(recall * count)).astype(np.int64)
+        return int(place[np.cumsum(count) - count + wanted - 1].max()) + 1
 
     def add(self, points: DataFrame) -> None:
         """Store points in their lists, as one more segment; ids are taken to be new."""
@@ -293,13 +297,16 @@ def _searcher(held, n: int):
             for one in np.unique(lists).tolist():
                 asked = np.flatnonzero((near == one).any(1))
                 rows = np.flatnonzero(lists == one)
+                # What the codes stand for, and its squared length: one product gives the distances, however fine the codes are.
+                stood = books[np.arange(parts), codes[rows]].reshape(len(rows), parts * width)
+                length = (stood * stood).sum(1)
                 for begin in range(0, len(asked), 256):
                     some = asked[begin : begin + 256]
-                    rest = (q[some] - centroids[one]).reshape(len(some), parts, 1, width)
-                    tables = ((rest - books[None]) ** 2).sum(-1)
-                    distance = np.zeros((len(some), len(rows)), np.float32)
-                    for m in range(parts):
-                        distance += tables[:, m, codes[rows, m]]
+                    rest = q[some] - centroids[one]
+                    distance = rest @ stood.T
+                    distance *= -2
+                    distance += length
+                    distance += (rest * rest).sum(1)[:, None]
                     most = floor[some]
                     if len(rows) > n:
                         most = np.minimum(most, np.partition(distance, n - 1, axis=1)[:, n - 1])
