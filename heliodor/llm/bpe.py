@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from heliodor.llm.common import Memo, PartHashes, documents, slices, text_buffer, tidy
 
-NO_RANK = np.int32(2**31 - 1)
+NO_RANK, _FREE = np.int32(2**31 - 1), np.uint64(2**63)
 #: Bytes of text that are encoded together (a longer text alone).
 BLOCK_BYTES = 1 << 19
 LETTER, DIGIT, SPACE, OTHER = 0, 1, 2, 3
@@ -106,7 +106,12 @@ class BytePairEncoder:
                     left.append(a)
                     right.append(b)
                     rank.append(r)
-        self._hash_pairs(np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64), np.frombuffer(rank, np.int32))
+        left, right, rank = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64), np.frombuffer(rank, np.int32)
+        self._hash_pairs(left, right, rank)
+        #: Tokens that some token before (behind) them makes one of a lower rank with; no pair of any other is looked up for that.
+        self.sinks_back, self.sinks_on = (np.zeros(self.n, bool) for _ in range(2))
+        self.sinks_back[right[rank < right.astype(np.int64)].astype(np.int64)] = True
+        self.sinks_on[left[rank < left.astype(np.int64)].astype(np.int64)] = True
 
     def _hash_pairs(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> None:
         """Open addressing with linear probing, filled probe by probe."""
@@ -130,8 +135,11 @@ class BytePairEncoder:
         keys = (a.astype(np.uint64) << np.uint64(20)) | b.astype(np.uint64)
         slot = self._slot(keys)
         there = self.keys[slot]
-        out = np.where(there == keys, self.vals[slot], NO_RANK)
-        todo = np.flatnonzero((there != keys) & (there != np.uint64(2**63)))
+        miss = there != keys
+        out = self.vals[slot]
+        out[miss] = NO_RANK
+        miss &= there != _FREE
+        todo = np.flatnonzero(miss)
         while len(todo):
             slot[todo] += 1
             there = self.keys[slot[todo]]
@@ -170,12 +178,15 @@ class BytePairEncoder:
                 index = np.arange(len(p))
                 index[1:] -= np.maximum.accumulate(np.where(np.append(False, chained), 0, index))[1:]
                 p, q = p[(index & 1) == 0], q[(index & 1) == 0]
-            new = np.full(len(p), r, np.int32)
             before, after = prv[p], nxt[q]
-            left = tok[before].copy()
-            if len(p) > 1:
-                left[1:][after[:-1] == p[1:]] = r
-            low = (self.pair_rank(left, new) < r) | (self.pair_rank(new, tok[after]) < r)
+            low, new = np.zeros(len(p), bool), np.full(1, r, np.int32)
+            if self.sinks_back[r]:
+                left = tok[before]
+                if len(p) > 1:
+                    left[1:][after[:-1] == p[1:]] = r
+                low |= self.pair_rank(left, new) < r
+            if self.sinks_on[r]:
+                low |= self.pair_rank(new, tok[after]) < r
             if low.any():  # that lower pair comes first in its piece: leave the rest of the piece for later
                 pieces_low, first = np.unique(seg[p[low]], return_index=True)
                 stop = np.full(len(pieces_low), n, np.int64)

@@ -79,3 +79,37 @@ def test_byte_rows_of_a_repeated_id(spark, tmp_path):
     path = saved(spark, tmp_path, documents=frame(spark, [(1, "one", None), (1, "two words", None), (None, "three", None)]))
     got = bpe.op5_byte_bpe(spark, path).collect()
     assert sorted(r.decoded_sha256 for r in got) == sorted(hashlib.sha256(t).hexdigest() for t in (b"one", b"two words", b"three"))
+
+
+def test_pairs_of_a_lower_rank_are_looked_up_where_there_are_some(tmp_path, monkeypatch):
+    """Ranks in any order, against a plain version; each merge looks up one pair more only if its token can sink."""
+    import base64
+    import itertools
+
+    rng = np.random.default_rng(3)
+    tokens = [bytes([b]) for b in range(256)] + ["".join(t).encode() for n in (2, 3, 4) for t in itertools.product("abc", repeat=n)]
+    for mixed in (True, False):
+        order = tokens[:256] + ([tokens[256 + i] for i in rng.permutation(len(tokens) - 256)] if mixed else tokens[256:])
+        path = tmp_path / f"{mixed}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(order)))
+        coder = bpe.BytePairEncoder(str(path), P.PATTERN)
+
+        def plain(word, ranks=coder.ranks):
+            parts = [word[i : i + 1] for i in range(len(word))]
+            while len(parts) > 1:
+                rank, i = min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(itertools.pairwise(parts)))
+                if rank == 1 << 30:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            return [ranks[p] for p in parts]
+
+        words = [bytes(rng.choice(list(b"abcd"), rng.integers(1, 40))) for _ in range(400)]
+        calls, rounds = [], []
+        look, pop = bpe.BytePairEncoder.pair_rank, bpe.RankQueue.pop
+        monkeypatch.setattr(bpe.BytePairEncoder, "pair_rank", lambda self, a, b: calls.append(1) or look(self, a, b))
+        monkeypatch.setattr(bpe.RankQueue, "pop", lambda self: rounds.append(1) or pop(self))
+        ids, count = coder.encode_pieces(words)
+        monkeypatch.undo()
+        assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [plain(w) for w in words]
+        if not mixed:
+            assert len(calls) <= len(rounds)
