@@ -103,13 +103,11 @@ def test_pairs_of_a_lower_rank_are_looked_up_where_there_are_some(tmp_path, monk
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
             return [ranks[p] for p in parts]
 
-        words = [bytes(rng.choice(list(b"abcd"), rng.integers(1, 40))) for _ in range(400)]
-        calls, rounds = [], []
-        look, pop = bpe.BytePairEncoder.pair_rank, bpe.RankQueue.pop
+        words = [bytes(rng.choice(list(b"abcd"), rng.integers(1, 40)).tolist()) for _ in range(400)]
+        calls, look = [], bpe.BytePairEncoder.pair_rank
         monkeypatch.setattr(bpe.BytePairEncoder, "pair_rank", lambda self, a, b: calls.append(1) or look(self, a, b))
-        monkeypatch.setattr(bpe.RankQueue, "pop", lambda self: rounds.append(1) or pop(self))
         ids, count = coder.encode_pieces(words)
         monkeypatch.undo()
         assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == [plain(w) for w in words]
         if not mixed:
-            assert len(calls) <= len(rounds)
+            assert len(calls) <= 120  # 349 when each merge looked up both neighbours
