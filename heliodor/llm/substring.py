@@ -31,7 +31,8 @@ from heliodor.llm.common import PartHashes, documents, mix64, slices, text_buffe
 from heliodor.llm.seeds import Spans, combine_shared, shared_keys, window_runs, with_lists
 
 WINDOW, GRAM = 13, 6
-BLOCK = 8 << 20
+#: Bytes of text that a worker hashes at once; it holds some 60 bytes for each.
+BLOCK = 1 << 20
 
 
 class _Words:

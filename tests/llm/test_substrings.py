@@ -2,12 +2,14 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("heliodor.llm")
-from heliodor.llm import seeds, substring, suffix  # noqa: E402
+from heliodor.llm import common, seeds, substring, suffix  # noqa: E402
 from tests.llm.helpers import by_id, frame, saved  # noqa: E402
 
 
@@ -119,3 +121,30 @@ def test_strings_shared_with_a_row_without_an_id(spark):
     got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix.remove_repeats(frame(spark, rows).repartition(2)).collect()}
     assert got[1, 800] == 200 and got[2, 400] == 0
     assert all(n == 0 for (doc, _), n in got.items() if doc is None) and len(got) == 5
+
+
+def test_a_worker_hashes_a_bounded_part_of_a_batch(monkeypatch):
+    """Blocks of 8 MB of text took some 400 MB of a worker."""
+
+    class Given(Exception):
+        pass
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            raise Given(run)
+
+    with pytest.raises(Given) as got:
+        substring.find_repeats(Docs())
+    for table in ("_up", "_down"):
+        monkeypatch.setattr(common.PartHashes, table, np.ones(1, np.uint64))
+    text = " ".join(map(str, range(12_000)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(240)), "text": pa.array([text] * 240)})
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in got.value.args[0]([batch])) > 240 * 1000
+        assert tracemalloc.get_traced_memory()[1] < 150e6
+    finally:
+        tracemalloc.stop()
