@@ -5,6 +5,7 @@ the original one, and what each reply makes of it. All of them are retrieved in
 batch, and a recursive query walks each question's steps until it ends and says why. The loops of
 the package itself, which save each step, stay for models that are asked as they go.
 
+Steps are written once, below the shared folder: a recursive query makes what it reads anew for every step.
 The walk has a row for each step of each question; sessions whose spark.sql.cteRecursionRowLimit is lower have to raise it.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliodor.functions import text
+from heliodor.storage import written
 
 
 def asks(queries: DataFrame, replies: DataFrame, steps: int) -> DataFrame:
@@ -38,7 +40,7 @@ def interleaved(steps: DataFrame, most: int = 10, cap: int = 15) -> DataFrame:
 
     exit: `answer` when a thought holds one, `empty` when there is none, `cap` with so many passages, else `steps`. ids: in the order in which they were first seen."""
     spark = steps.sparkSession
-    told = steps.where(F.col("step") < most).select("query_id", F.col("step").cast("int").alias("step"), "ids", F.when(text.answer_found(F.col("said")).isNotNull(), "answer").when(F.col("said") == "", "empty").alias("ends"))
+    told = written(steps.where(F.col("step") < most).select("query_id", F.col("step").cast("int").alias("step"), "ids", F.when(text.answer_found(F.col("said")).isNotNull(), "answer").when(F.col("said") == "", "empty").alias("ends")), "told")
     out = lambda ids, step: f"coalesce(ends, CASE WHEN size({ids}) >= {cap} THEN 'cap' WHEN {step} = {most - 1} THEN 'steps' END)"
     return spark.sql(
         f"""WITH RECURSIVE walk AS (
@@ -56,7 +58,7 @@ def graded(steps: DataFrame, most: int = 2, keep: int = 5) -> DataFrame:
 
     exit: `relevant` at the first step with one, else `rewrites`, with the first `keep` hits of the last step."""
     spark = steps.sparkSession
-    told = steps.where(F.col("step") < most).select("query_id", F.col("step").cast("int").alias("step"), "ids", "good")
+    told = written(steps.where(F.col("step") < most).select("query_id", F.col("step").cast("int").alias("step"), "ids", "good"), "told")
     return spark.sql(
         f"""WITH RECURSIVE walk AS (
               SELECT query_id, step, ids, good FROM {{told}} WHERE step = 0
@@ -74,7 +76,7 @@ def search_loop(steps: DataFrame, parse: Column, turns: int = 10) -> DataFrame:
     parse: struct<action, argument> of a reply, as plans.last_action or plans.tagged_action give it. exit: `answer`, or `turns`; a malformed reply costs its turn."""
     spark = steps.sparkSession
     told = steps.where(F.col("step") < turns).withColumn("act", parse)
-    told = told.select("query_id", F.col("step").cast("int").alias("step"), F.when(F.col("act.action") == "finish", F.coalesce("act.argument", F.lit(""))).alias("answer"), F.when(F.col("act.action") == "search", F.col("ids")).otherwise(F.array().cast("array<bigint>")).alias("ids"))
+    told = written(told.select("query_id", F.col("step").cast("int").alias("step"), F.when(F.col("act.action") == "finish", F.coalesce("act.argument", F.lit(""))).alias("answer"), F.when(F.col("act.action") == "search", F.col("ids")).otherwise(F.array().cast("array<bigint>")).alias("ids")), "told")
     out = lambda step: f"CASE WHEN answer IS NOT NULL THEN 'answer' WHEN {step} = {turns - 1} THEN 'turns' END"
     return spark.sql(
         f"""WITH RECURSIVE walk AS (

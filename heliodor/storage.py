@@ -38,11 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: a cut that keeps columns prunable."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder: a cut that keeps columns prunable. by: a column whose values are read alone."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/heliodor-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.repartition(by).write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

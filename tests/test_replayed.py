@@ -61,3 +61,13 @@ def test_simple_plan_takes_ten_times_the_candidates(spark, tmp_path):
     assert {r.query_id for r in got} == {1, 2, 3, 4, 5} and max(r.rank for r in got) == 3
     both = plans.Corpus(chunks, index=index).bm25(queries, 5).orderBy("query_id", "rank").collect()
     assert next(r.id for r in both if r.query_id == 5) == 6
+
+
+def test_steps_are_made_once(spark):
+    """A recursive query made its steps, and so the search behind them, anew for every step."""
+    rows = [(q, s, "", "no tag", [q], []) for q in range(3) for s in range(4)]
+    steps = spark.createDataFrame(rows, "query_id long, step int, said string, reply string, ids array<long>, good array<long>")
+    steps = steps.mapInArrow(lambda batches: batches, steps.schema)
+    for walked in (replayed.interleaved(steps, 4), replayed.graded(steps, 4), replayed.search_loop(steps, plans.tagged_action(F.col("reply")), 4)):
+        assert "MapInArrow" not in walked._jdf.queryExecution().optimizedPlan().toString()
+        assert walked.count() == 3
