@@ -45,8 +45,8 @@ from heliodor.llm.common import _SPACE, Memo, PartHashes, documents, shared_dir,
 
 MAGIC, VERSION = b"HTOK", 2
 BLOCK, SEGMENT = 2048, 1 << 20
-#: Ids that a task codes or decodes in lockstep at most (a longer segment alone).
-LOCKSTEP = 6 << 20
+#: Ids that wait to be coded or decoded in lockstep at most, beside one segment.
+LOCKSTEP = 8 << 20
 #: Bytes of text that are parted into words together (a longer text alone).
 TEXT_BLOCK = 1 << 20
 MOST_ID = (1 << 27) - 2
@@ -56,7 +56,7 @@ _BITS1, _BITS2 = 9, 10
 _LEAST = 24
 #: Order-0 counts are taken anew at the first of these places and each time the block has doubled.
 _FIRST_COUNT = 64
-_ID = np.array((1 << 27) - 1, np.int32)
+_ID, _NEW = np.array((1 << 27) - 1, np.int32), np.array(1, np.int32)
 
 
 def _const(value, kind=np.float64) -> np.ndarray:
@@ -64,28 +64,35 @@ def _const(value, kind=np.float64) -> np.ndarray:
     return np.array(value, kind)
 
 
-_ONE, _WINDOW, _WORD = _const(1), _const(1 << 32), _const(1 << 16)
-_A_WORD, _A_WINDOW, _A_NEW = _const(1 / (1 << 16)), _const(1 / (1 << 32)), _const(1 / (1 << 24))
-_UP4, _DOWN27, _DOWN29 = _const(4, np.int8), _const(27, np.int32), _const(29, np.int32)
+_ONE, _WINDOW, _WORD, _MORE = _const(1), _const(1 << 32), _const(1 << 16), _const((1 << 16) - 1)
+_A_WORD, _A_WINDOW, _A_NEW, _MORE_OF = _const(1 / (1 << 16)), _const(1 / (1 << 32)), _const(1 / (1 << 24)), _const(((1 << 16) - 1) / (1 << 32))
+_UP4, _DOWN2, _DOWN27, _DOWN29 = _const(4, np.int8), _const(2, np.int32), _const(27, np.int32), _const(29, np.int32)
 _CONTEXTS = 32
 #: How fast an event's shares move to what is seen, in one context and in all.
 _RATE, _RATE_ALL = 1 / 24, 1 / 48
 #: The share of the context's own estimate in the mixture.
 _OWN = 0.75
-#: Cumulative shares after events 0, 1 and 2, if the event (row) were sure.
-_SURE = np.array([[1, 1, 1], [0, 1, 1], [0, 0, 1], [0, 0, 0]], np.float64)
-_STEP, _STEP_ALL = (_SURE * _RATE * _OWN).astype(np.float32), (_SURE * _RATE_ALL * (1 - _OWN)).astype(np.float32)
+#: Cumulative shares before events 0 (always 0), 1, 2 and 3, if the event (row) were sure.
+_SURE = np.array([[0, 1, 1, 1], [0, 0, 1, 1], [0, 0, 0, 1], [0, 0, 0, 0]], np.float64)
+
+
+def _fours(rows: np.ndarray) -> np.ndarray:
+    """Rows of four float32 as numbers of 16 bytes, which numpy gathers and scatters at once."""
+    return np.ascontiguousarray(rows, np.float32).view(np.complex128).reshape(-1)
+
+
+_STEP, _STEP_ALL = _fours(_SURE * _RATE * _OWN), _fours(_SURE * _RATE_ALL * (1 - _OWN))
 _KEEP, _KEEP_ALL = _const(1 - _RATE, np.float32), _const(1 - _RATE_ALL, np.float32)
 
 
 def _first_shares() -> np.ndarray:
     """Cumulative shares that each context begins with: the surer an order (0 no guess, 1 one, 2 one that held), the more."""
-    out = np.zeros((_CONTEXTS, 3))
+    out = np.zeros((_CONTEXTS, 4))
     for c in range(_CONTEXTS):
         order2, order1 = (c >> 2) & 3, c & 3
         p2 = (0.0, 0.25, 0.625, 0.625)[order2]
         p1 = 0.0 if c & 16 else (1 - p2) * (0.0, 0.125, 0.375, 0.375)[order1]
-        out[c] = p2, p2 + p1, p2 + p1 + (1 - p2 - p1) * 0.625
+        out[c] = 0, p2, p2 + p1, p2 + p1 + (1 - p2 - p1) * 0.625
     return out
 
 
@@ -104,55 +111,86 @@ _EACH = np.diff(_HIGH)  # of each low byte, of 256 * _T
 _HIGH_OF = np.repeat(np.arange(257), np.diff(_HIGH).astype(np.int64))
 #: How the bits above the lowest byte of a longer id are coded: from which bit, and of how many values.
 _FAR = ((16, 1 << 12), (8, 1 << 8))
-#: Places of ids (their low 16 bits) in the tables of order 1, and parts of those of order 2.
-_AT1, _AT2, _BEFORE2 = (((np.arange(1 << 16) * k >> 4) & ((1 << bits) - 1)).astype(np.int32) for k, bits in ((40503, _BITS1), (60493, _BITS2), (52711, _BITS2)))
+#: Of the places of ids in the tables of orders 1 and 2: factors (of the id before; of the two before for order 2) and greatest places.
+_TIMES1, _TIMES2, _TIMES_BEFORE2 = (np.array(k, np.uint32) for k in (40503, 60493, 52711))
+_MOST1, _MOST2 = (np.array((1 << bits) - 1, np.uint32) for bits in (_BITS1, _BITS2))
+_KEY, _DOWN4 = np.array(0xFFFF, np.uint32), np.array(4, np.uint32)
+
+
+def _place(key: np.ndarray, times: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The place of an id's low 16 bits: a product below 2**32, its upper bits. (Cheaper than a look at a table that no core's cache holds.)"""
+    at = key * times
+    at >>= _DOWN4
+    at &= most
+    return at
 
 
 class _Model:
-    """The adaptive model of a number of lanes. Tables hold id + 1, and above it how sure it is."""
+    """The adaptive model of a number of lanes. Tables hold id + 1, and above it how sure it is.
+
+    Shares are sums below an event, four a lane. As 16-bit numbers their differences are the events' shares, the
+    last event's too, whose end _T is 0."""
 
     def __init__(self, lanes: int):
         at = np.arange(lanes)
-        self.at1, self.at2, self.at_seen, self.at_shares = at << _BITS1, at << _BITS2, at * _CONTEXTS, at * 5
-        self.t1, self.t2 = np.zeros(lanes << _BITS1, np.int32), np.zeros(lanes << _BITS2, np.int32)
-        self.seen = np.tile((_FIRST_SHARES * _OWN).astype(np.float32), (lanes, 1))
-        self.all = np.tile((_FIRST_SHARES[9] * (1 - _OWN)).astype(np.float32), (lanes, 1))
-        self.shares = np.zeros((lanes, 5))
-        self.shares[:, 4] = _T
-        self.flat = self.shares.reshape(-1)
+        self.at, self.at_seen, self.at_shares = np.stack((at, at)), at * _CONTEXTS, at * 4
+        self.at *= (1 << _BITS1) + (1 << _BITS2)
+        self.at[1] += 1 << _BITS1
+        self.guesses = np.zeros(lanes * ((1 << _BITS1) + (1 << _BITS2)), np.int32)
+        self.seen = np.tile(_fours(_FIRST_SHARES * _OWN), lanes)
+        self.all = np.tile((_FIRST_SHARES[9] * (1 - _OWN)).astype(np.float32), lanes)
+        self.shares = np.zeros(4 * lanes + 1, np.uint16)
+        self.by_event = self.shares[:-1].reshape(lanes, 4).T
         self.counting(0)
 
     def counting(self, counted: int) -> None:
         """Order 0 has now counted so many ids, and needs as much of _T."""
         self.free = _const(_T - counted - 4 * _LEAST, np.float32)
-        self.least = np.array([_LEAST, 2 * _LEAST, 3 * _LEAST + counted], np.float32)
-
-    def look(self, i1: np.ndarray, i2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What orders 1 and 2 guess, plus 1; leaves the cumulative shares of the events in self.shares."""
-        n = len(i1)
-        e1, e2 = self.t1.take(i1), self.t2.take(i2)
-        g1, g2 = e1 & _ID, e2 & _ID
-        e2 >>= _DOWN27
-        e1 >>= _DOWN29
-        e2 += e1
-        e2 += (g1 == g2).view(np.int8) << _UP4
+        self.least = np.tile(np.array([0, _LEAST, 2 * _LEAST, 3 * _LEAST + counted], np.uint16), len(self.at_seen))
+
+    def look(self, i: np.ndarray) -> np.ndarray:
+        """What orders 1 and 2 (rows) guess, plus 1; leaves the cumulative shares of the events in self.shares."""
+        n = i.shape[1]
+        e = self.guesses.take(i)
+        g = e & _ID
+        e >>= _DOWN27
+        e2 = e[1]
+        e2 += e[0] >> _DOWN2
+        e2 += (g[0] == g[1]).view(np.int8) << _UP4
         self.c = self.at_seen[:n] + e2
-        self.rows = self.seen.take(self.c, axis=0)
-        mix = self.rows + self.all[:n]
+        self.rows = self.seen.take(self.c)
+        mix = self.rows.view(np.float32) + self.all[: 4 * n]
         mix *= self.free
-        np.floor(mix, out=mix)
-        mix += self.least
-        self.shares[:n, 1:4] = mix
-        return g1, g2
+        shares = self.shares[: 4 * n]
+        np.copyto(shares, mix, casting="unsafe")  # rounds down
+        shares += self.least[: 4 * n]
+        return g
+
+    def share(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each lane's event begins, and its share."""
+        place = self.at_shares[: len(event)] + event
+        cum = self.shares.take(place)
+        place += 1
+        f = self.shares.take(place)
+        f -= cum
+        return cum.astype(np.float64), f.astype(np.float64)
 
     def learn(self, event: np.ndarray) -> None:
-        n = len(event)
-        self.rows *= _KEEP
-        self.rows += _STEP.take(event, axis=0)
+        rows = self.rows.view(np.float32)
+        rows *= _KEEP
+        rows += _STEP.take(event).view(np.float32)
         self.seen[self.c] = self.rows
-        every = self.all[:n]
+        every = self.all[: len(rows)]
         every *= _KEEP_ALL
-        every += _STEP_ALL.take(event, axis=0)
+        every += _STEP_ALL.take(event).view(np.float32)
+
+    def guess(self, i: np.ndarray, after: np.ndarray, held: np.ndarray) -> None:
+        """Set what orders 1 and 2 guess to the ids, plus 1: as guesses that held (2 in the upper bits) where they did, as new ones (1) elsewhere."""
+        entry = held.astype(np.int32)
+        entry += _NEW
+        entry <<= _DOWN29
+        entry += after
+        self.guesses[i.reshape(-1)] = entry.reshape(-1)
 
 
 def _counted_until(t: int) -> int:
@@ -160,24 +198,27 @@ def _counted_until(t: int) -> int:
     return 0 if t < _FIRST_COUNT else 1 << (t.bit_length() - 1)
 
 
-def _order0(ids: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For ids[begin:end] of each lane (columns): how many of ids[:begin] are less, and less or equal; 4 where one is equal."""
-    n, width = ids.shape[1], end - begin
+def _placed(rows: np.ndarray) -> np.ndarray:
+    """Each lane's ids (rows), and below each its place."""
+    out = rows.astype(np.int32 if not rows.size or int(rows.max()) < 1 << 17 else np.int64)
+    out <<= 13
+    out += np.arange(rows.shape[1], dtype=out.dtype)
+    return out
+
+
+def _order0(placed: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For ids begin to end of each lane (rows of _placed; columns of the result): how many of those before begin are less, and less or equal; 4 where one is equal."""
+    n, width = len(placed), end - begin
     both = np.empty((width, n), np.int32)  # less in the upper half, less or equal in the lower
-    wide = np.int32 if not ids.size or int(ids.max()) < 1 << 17 else np.int64
-    along = np.arange(end, dtype=wide)
     for at in range(0, n, 64):
-        keys = np.ascontiguousarray(ids[:end, at : at + 64].T).astype(wide)
+        keys = np.sort(placed[at : at + 64, :end], axis=1)
         lanes = len(keys)
-        keys <<= 13
-        keys += along
-        keys.sort(axis=1)
         place = keys & 8191
         keys >>= 13
-        old = place < begin
+        old = (place < begin).view(np.int8)
         before = np.cumsum(old, axis=1, dtype=np.int16)
         first = before - old
-        first[:, 1:][keys[:, 1:] == keys[:, :-1]] = 0
+        first[:, 1:] *= keys[:, 1:] != keys[:, :-1]
         np.maximum.accumulate(first, axis=1, out=first)
         packed = first.astype(np.int32)
         packed <<= 16
@@ -193,13 +234,15 @@ def _order0_table(ids: np.ndarray) -> np.ndarray:
     """For each lane (column of ids) its ids in order, packed as id, how many are less, and how many are less or equal."""
     most, n = ids.shape
     out = np.empty((n, most), np.int64)
-    place, none, end = np.arange(1, most, dtype=np.int16), np.int16(0), np.int16(most)
+    place, end = np.arange(1, most, dtype=np.int16), np.int16(most)
     for at in range(0, n, 64):
         part = np.sort(np.ascontiguousarray(ids[:, at : at + 64].T), axis=1)
         new = part[:, 1:] != part[:, :-1]
         first, last = np.zeros(part.shape, np.int16), np.full(part.shape, end)
-        np.maximum.accumulate(np.where(new, place, none), axis=1, out=first[:, 1:])
-        last[:, :-1] = np.minimum.accumulate(np.where(new, place, end)[:, ::-1], axis=1)[:, ::-1]
+        np.maximum.accumulate(new * place, axis=1, out=first[:, 1:])
+        next_ = new * (place - end)
+        next_ += end
+        last[:, :-1] = np.minimum.accumulate(next_[:, ::-1], axis=1)[:, ::-1]
         entry = part.astype(np.int64)
         entry <<= 13
         entry |= first
@@ -209,11 +252,12 @@ def _order0_table(ids: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _lanes(sizes_in: list[int]) -> tuple[list[int], np.ndarray, int]:
-    """Order of the blocks, longest first, their sizes in that order, and the greatest."""
+def _lanes(sizes_in: list[int]) -> tuple[list[int], np.ndarray, list[int]]:
+    """Order of the blocks, longest first, their sizes in that order, and for each step how many are longer."""
     order = sorted(range(len(sizes_in)), key=lambda i: -sizes_in[i])
     sizes = np.array([sizes_in[i] for i in order], np.int64)
-    return order, sizes, int(sizes[0]) if len(sizes) else 0
+    most = int(sizes[0]) if len(sizes) else 0
+    return order, sizes, np.searchsorted(-sizes, -np.arange(most), "left").tolist()
 
 
 #: Event by whether order 2 (1), order 1 (2) and order 0 (4) know the id.
@@ -252,12 +296,16 @@ class _Writer:
             word = r * _A_WINDOW
             np.floor(word, out=word)
             out = f < _WINDOW
-            self.words[at] = word  # where nothing is put out the next word takes its place
+            self.words[at] = word.astype(np.uint32)  # where nothing is put out the next word takes its place
             at = at + out
-            word *= _WINDOW
-            rest = r - word
-            rest *= _WORD
-            r, f = np.where(out, rest, r), np.where(out, f * _WORD, f)
+            # Without a choice for each lane, which a processor cannot foresee: all are multiplied, by 1 where nothing is put out.
+            by = out * _WINDOW
+            word *= by
+            r -= word
+            by *= _MORE_OF
+            by += _ONE
+            r *= by
+            f *= by
         self.at[lanes], self.low[lanes], self.width[lanes] = at, r, f
 
     def close(self) -> list[np.ndarray]:
@@ -268,68 +316,74 @@ class _Writer:
             self.low = (self.low - word * _WINDOW) * _WORD
         begin = np.arange(len(self.at)) * self.room
         fill = self.at - begin
-        words = self.words.reshape(len(fill), self.room)[:, : int(fill.max())]
-        while (carry := words[:, 1:] >> 16).any():
-            words &= 0xFFFF
-            words[:, :-1] += carry
+        words, every = self.words.reshape(len(fill), self.room)[:, : int(fill.max())], np.arange(len(fill))
+        part = words
+        while len(rows := np.flatnonzero(part[:, 1:].max(axis=1) >> 16)):  # those that a carry has still to go through
+            part = part[rows]
+            carry = part[:, 1:] >> 16
+            part &= 0xFFFF
+            part[:, :-1] += carry
+            every = every[rows]
+            words[every] = part
         return [words[i, :n].astype("<u2") for i, n in enumerate(fill.tolist())]
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """The coded words of each block. Blocks are coded in lockstep, longest first."""
-    order, sizes, most = _lanes([len(b) for b in blocks])
-    n = len(blocks)
+    order, _, lives = _lanes([len(b) for b in blocks])
+    n, most = len(blocks), len(lives)
     if not n:
         return []
-    ids = np.zeros((most, n), np.int32)
+    rows = np.zeros((n, most), np.int32)
     for lane, i in enumerate(order):
-        ids[: len(blocks[i]), lane] = blocks[i]
-    model, writer, every = _Model(n), _Writer(n, most), np.arange(n)
-    i1, i2 = model.at1, model.at2
+        rows[lane, : len(blocks[i])] = blocks[i]
+    ids, placed = np.ascontiguousarray(rows.T), _placed(rows)
+    model, writer = _Model(n), _Writer(n, most)
+    i = model.at
     counted, begin = 0, 0
-    for t in range(most):
-        live = int(np.searchsorted(-sizes, -t, "left"))
+    for t, live in enumerate(lives):
         if not t % _AHEAD:
             writer.make_room()
             ahead = ids[t : t + _AHEAD, :live]
-            key = ahead & 0xFFFF
+            key = ahead.view(np.uint32) & _KEY
             before = np.zeros_like(key)
             before[1:] = key[:-1]
             if t:
                 before[0] = ids[t - 1, :live] & 0xFFFF
-            ahead1 = _AT1.take(key) + model.at1[:live]
-            ahead2 = _AT2.take(key)
-            ahead2 ^= _BEFORE2.take(before)
-            ahead2 = ahead2 + model.at2[:live]
-            guessed = ahead + np.int32((1 << 29) + 1)
-            held = guessed + np.int32(1 << 29)
+            at2 = _place(key, _TIMES2, _MOST2)
+            at2 ^= _place(before, _TIMES_BEFORE2, _MOST2)
+            next_ = np.empty((len(key), 2, live), np.int64)
+            np.add(_place(key, _TIMES1, _MOST1), model.at[0, :live], out=next_[:, 0])
+            np.add(at2, model.at[1, :live], out=next_[:, 1])
             after = ahead + 1
         if _counted_until(t) != counted:
             counted, begin = _counted_until(t), t
             model.counting(counted)
-            low, high, known = _order0(ids[:, :live], t, min(2 * t, most))
-            inverse = _const(1 / counted)
+            low, high, known = _order0(placed[:live], t, min(2 * t, most))
+            high -= np.int16(counted)
+            inverse, count = _const(1 / counted), _const(counted)
         k = t % _AHEAD
         own = after[k, :live]
-        i1, i2 = i1[:live], i2[:live]
-        g1, g2 = model.look(i1, i2)
-        is2, is1 = g2 == own, g1 == own
-        which = is1.view(np.int8) + is1.view(np.int8)
-        which += is2.view(np.int8)
+        if live < i.shape[1]:
+            i = i[:, :live].copy()
+        held = model.look(i) == own
+        is1, is2 = held.view(np.int8)
+        which = is1 + is1
+        which += is2
         if counted:
             which += known[t - begin, :live]
         event = _EVENT.take(which)
-        place = model.at_shares[:live] + event
-        cum = model.flat.take(place)
-        place += 1
-        f = model.flat.take(place)
-        f -= cum
-        if counted and len(old := np.flatnonzero(event == 2)):
-            whole = f[old]
-            part = whole * inverse
-            bottom = np.floor(part * low[t - begin][old])
-            cum[old] += bottom
-            f[old] = np.floor(part * high[t - begin][old]) - bottom
+        cum, f = model.share(event)
+        if counted:  # a part of an event 2, the whole of another: exact, since the counted ids are a power of two
+            old = (event == 2).view(np.int8)
+            f *= inverse
+            bottom = f * (low[t - begin, :live] * old)
+            np.floor(bottom, out=bottom)
+            cum += bottom
+            top = (high[t - begin, :live] * old) + count
+            f *= top
+            np.floor(f, out=f)
+            f -= bottom
         writer.put(slice(0, live), cum, f, _A_WORD)
         if len(new := np.flatnonzero(event == 3)):
             x = ids[t][new]
@@ -340,9 +394,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
                 for shift, total in _FAR:
                     writer.put(far, (ids[t][far] >> shift) & (total - 1), _ONE, _const(1 / total))
         model.learn(event)
-        model.t1[i1] = np.where(is1, held[k, :live], guessed[k, :live])
-        model.t2[i2] = np.where(is2, held[k, :live], guessed[k, :live])
-        i1, i2 = ahead1[k], ahead2[k]
+        model.guess(i, own, held)
+        i = next_[k]
     out = [b""] * n
     for i, words in zip(order, writer.close(), strict=True):
         out[i] = words.tobytes()
@@ -376,53 +429,65 @@ class _Reader:
         at = self.at[lanes]
         for _ in range(words):
             more = wide < _WINDOW
-            next_ = value * _WORD
-            next_ += self.words.take(at, mode="clip")
+            next_ = self.words.take(at, mode="clip")
+            next_ *= more
             at = at + more
-            value, wide = np.where(more, next_, value), np.where(more, wide * _WORD, wide)
+            by = more * _MORE
+            by += _ONE
+            value *= by
+            value += next_
+            wide *= by
         self.at[lanes], self.value[lanes], self.width[lanes] = at, value, wide
 
 
 def decode_blocks(coded: list[bytes], sizes_in: list[int]) -> list[np.ndarray]:
-    order, sizes, most = _lanes(sizes_in)
-    n = len(coded)
+    order, sizes, lives = _lanes(sizes_in)
+    n, most = len(coded), len(lives)
     if not n:
         return []
     ids = np.zeros((most, n), np.int32)
     model, reader = _Model(n), _Reader([coded[i] for i in order])
-    i1, i2, before = model.at1, model.at2, np.full(n, _BEFORE2[0])
+    i, before = model.at, np.zeros(n, np.uint32)
     counted, table, stride, count = 0, None, None, None
-    for t in range(most):
-        live = int(np.searchsorted(-sizes, -t, "left"))
+    for t, live in enumerate(lives):
         if _counted_until(t) != counted:
             counted = _counted_until(t)
             model.counting(counted)
             table, stride, inverse = _order0_table(ids[:t, :live]), np.arange(n) * counted, _const(1 / counted)
             count, last = _const(counted), _const(counted - 1)
-        i1, i2, before = i1[:live], i2[:live], before[:live]
-        g1, g2 = model.look(i1, i2)
+        if live < i.shape[1]:
+            i, before = i[:, :live].copy(), before[:live]
+        g = model.look(i)
         r, v = reader.find(slice(0, live), _T)
-        passed = [v >= model.shares[:live, k] for k in (1, 2, 3)]
-        event = (passed[0].view(np.int8) + passed[1].view(np.int8) + passed[2].view(np.int8)).astype(np.int64)
-        place = model.at_shares[:live] + event
-        cum = model.flat.take(place)
-        place += 1
-        f = model.flat.take(place)
-        f -= cum
-        own = np.where(passed[0], g1, g2)
-        own -= 1
+        at = v.astype(np.uint16)
+        passed = [(at >= model.by_event[k, :live]).view(np.int8) for k in (1, 2, 3)]
+        event = passed[0] + passed[1]
+        event += passed[2]
+        event = event.astype(np.int64)
+        cum, f = model.share(event)
+        own = g[0] - g[1]
+        own *= passed[0]
+        own += g[1]
+        own -= _NEW
         if counted and len(old := np.flatnonzero(event == 2)):
-            whole = f[old]
+            whole, below = f.take(old), cum.take(old)
             # The greatest place u with floor(whole * u / counted) <= v - cum.
-            u = np.floor(((v[old] - cum[old] + _ONE) * count - _ONE) / whole)
-            entry = table.take(stride[old] + np.clip(u, 0, last).astype(np.int64))
+            u = v.take(old)
+            u -= below
+            u += _ONE
+            u *= count
+            u -= _ONE
+            u /= whole
+            np.minimum(u, last, out=u)
+            entry = table.take(stride.take(old) + u.astype(np.int64))
             whole *= inverse
             bottom = np.floor(whole * ((entry >> 13) & 8191))
             own[old] = entry >> 26
-            cum[old] += bottom
+            below += bottom
+            cum[old] = below
             f[old] = np.floor(whole * (entry & 8191)) - bottom
         reader.take(slice(0, live), r, cum, f)
-        if len(new := np.flatnonzero(passed[2])):
+        if len(new := np.flatnonzero(passed[2].view(bool))):
             r, v = reader.find(new, _T << 8)
             high = _HIGH_OF[v.astype(np.int64) >> 8]
             each, first = _EACH[high], _HIGH[high] * 256
@@ -437,17 +502,18 @@ def decode_blocks(coded: list[bytes], sizes_in: list[int]) -> list[np.ndarray]:
             own[new] = (high << 8) + low.astype(np.int64)
         ids[t, :live] = own
         model.learn(event)
-        guessed = own + np.int32((1 << 29) + 1)
-        held = guessed + np.int32(1 << 29)
-        model.t1[i1] = np.where(held & _ID == g1, held, guessed)
-        model.t2[i2] = np.where(held & _ID == g2, held, guessed)
-        key = own & 0xFFFF
-        i1 = model.at1[:live] + _AT1.take(key)
-        i2 = model.at2[:live] + (_AT2.take(key) ^ before)
-        before = _BEFORE2.take(key)
+        after = own + _NEW
+        model.guess(i, after, g == after)
+        key = own.view(np.uint32) & _KEY
+        before ^= _place(key, _TIMES2, _MOST2)
+        i = np.empty((2, live), np.int64)
+        np.add(_place(key, _TIMES1, _MOST1), model.at[0, :live], out=i[0])
+        np.add(before, model.at[1, :live], out=i[1])
+        before = _place(key, _TIMES_BEFORE2, _MOST2)
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * n
+    rows = np.ascontiguousarray(ids.T)
     for lane, i in enumerate(order):
-        out[i] = ids[: sizes[lane], lane].copy()
+        out[i] = rows[lane, : sizes[lane]]
     return out
 
 
@@ -601,6 +667,22 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def lockstep(segments, most: int, size):
+    """Lists of segments, in order, to code together: as soon as `most` ids wait, the first ones that have half as many; at the end, all.
+
+    A step costs nearly as much for few lanes as for hundreds, so a task that has just more than `most` ids must not leave few segments to the end."""
+    held, ends = [], [0]
+    for segment in segments:
+        held.append(segment)
+        ends.append(ends[-1] + size(segment))
+        if ends[-1] >= most:
+            k = max(1, int(np.searchsorted(ends, most // 2)))
+            yield held[:k]
+            held, ends = held[k:], [e - ends[k] for e in ends[k:]]
+    if held:
+        yield held
+
+
 def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     """Encode docs (doc_id, text), append end_id to each, and write segments in ascending doc_id order below path."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -610,59 +692,47 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
 
         words = encoder(tokenizer)
         part, first, segment = TaskContext.get().partitionId(), 0, 0
-        held, open_ids, open_docs, open_sizes, size = [], [], [], [], 0
 
-        def close():
-            nonlocal open_ids, open_docs, open_sizes, size
-            if open_docs:
-                held.append((open_docs, np.concatenate(open_sizes), np.concatenate(open_ids)))
+        def segments():
             open_ids, open_docs, open_sizes, size = [], [], [], 0
-
-        def flush():
-            nonlocal first, segment, held
-            if held:
-                data = pack_segments(held)
-                n = [len(ids) for _, _, ids in held]
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([part] * len(n), pa.int32()),
-                    "segment": pa.array(range(segment, segment + len(n)), pa.int32()),
-                    "first": pa.array(first + np.cumsum(n) - n, pa.int64()),
-                    "n_docs": pa.array([len(d) for d, _, _ in held], pa.int32()),
-                    "n_tokens": pa.array(n, pa.int64()),
-                    "data": pa.array(data, pa.binary()),
-                })
-                first, segment, held = first + sum(n), segment + len(n), []
-
-        waiting = 0
-        for batch in batches:
-            raw, off = text_buffer(batch.column("text"))
-            begin = 0
-            while begin < batch.num_rows:
-                end = max(begin + 1, int(np.searchsorted(off, off[begin] + TEXT_BLOCK, "right")) - 1)
-                ids, count = words.encode(raw[off[begin] : off[end]], off[begin : end + 1] - off[begin])
-                ends = np.cumsum(count)
-                ids = np.insert(ids, ends, end_id)
-                sizes = count + 1
-                stops = np.cumsum(sizes)
-                names = batch.column("doc_id").slice(begin, end - begin).to_pylist()
-                at = 0
-                while at < len(names):
-                    to = max(at + 1, int(np.searchsorted(stops, (stops[at - 1] if at else 0) + SEGMENT - size, "right")))
-                    a, b = (stops[at - 1] if at else 0), stops[to - 1]
-                    open_ids.append(ids[a:b])
-                    open_docs += names[at:to]
-                    open_sizes.append(sizes[at:to])
-                    size += b - a
-                    at = to
-                    if size >= SEGMENT or at < len(names):
-                        waiting += size
-                        close()
-                    if waiting >= LOCKSTEP:
-                        yield from flush()
-                        waiting = 0
-                begin = end
-        close()
-        yield from flush()
+            for batch in batches:
+                raw, off = text_buffer(batch.column("text"))
+                begin = 0
+                while begin < batch.num_rows:
+                    end = max(begin + 1, int(np.searchsorted(off, off[begin] + TEXT_BLOCK, "right")) - 1)
+                    ids, count = words.encode(raw[off[begin] : off[end]], off[begin : end + 1] - off[begin])
+                    ends = np.cumsum(count)
+                    ids = np.insert(ids, ends, end_id)
+                    sizes = count + 1
+                    stops = np.cumsum(sizes)
+                    names = batch.column("doc_id").slice(begin, end - begin).to_pylist()
+                    at = 0
+                    while at < len(names):
+                        to = max(at + 1, int(np.searchsorted(stops, (stops[at - 1] if at else 0) + SEGMENT - size, "right")))
+                        a, b = (stops[at - 1] if at else 0), stops[to - 1]
+                        open_ids.append(ids[a:b])
+                        open_docs += names[at:to]
+                        open_sizes.append(sizes[at:to])
+                        size += b - a
+                        at = to
+                        if size >= SEGMENT or at < len(names):
+                            yield open_docs, np.concatenate(open_sizes), np.concatenate(open_ids)
+                            open_ids, open_docs, open_sizes, size = [], [], [], 0
+                    begin = end
+            if open_docs:
+                yield open_docs, np.concatenate(open_sizes), np.concatenate(open_ids)
+
+        for held in lockstep(segments(), LOCKSTEP, lambda s: len(s[2])):
+            n = [len(ids) for _, _, ids in held]
+            yield pa.RecordBatch.from_pydict({
+                "part": pa.array([part] * len(n), pa.int32()),
+                "segment": pa.array(range(segment, segment + len(n)), pa.int32()),
+                "first": pa.array(first + np.cumsum(n) - n, pa.int64()),
+                "n_docs": pa.array([len(d) for d, _, _ in held], pa.int32()),
+                "n_tokens": pa.array(n, pa.int64()),
+                "data": pa.array(pack_segments(held), pa.binary()),
+            })
+            first, segment = first + sum(n), segment + len(n)
 
     rows = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(tidy(run), "part int, segment int, first long, n_docs int, n_tokens long, data binary").write.parquet(path)
@@ -678,18 +748,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         starts[part] = total
         total += n
 
-    def together(whole):
-        """Parts of a batch with at most LOCKSTEP ids, one segment at least."""
-        ends, begin = np.cumsum(whole.column("n_tokens").to_numpy()), 0
-        while begin < whole.num_rows:
-            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + LOCKSTEP, "right")))
-            yield whole.slice(begin, end - begin)
-            begin = end
-
     def run(batches):
-        for batch in (part for whole in batches for part in together(whole)):
-            base = [starts[p] + f for p, f in zip(batch.column("part").to_pylist(), batch.column("first").to_pylist(), strict=True)]
-            for start, (doc_ids, n, ids) in zip(base, unpack_segments(batch.column("data").to_pylist()), strict=True):
+        def rows():
+            for batch in batches:
+                for p, f, n, data in zip(*(batch.column(c) for c in ("part", "first", "n_tokens", "data")), strict=True):
+                    yield starts[p.as_py()] + f.as_py(), n.as_py(), data.as_py()
+
+        for held in lockstep(rows(), LOCKSTEP, lambda r: r[1]):
+            for (start, _, _), (doc_ids, n, ids) in zip(held, unpack_segments([data for _, _, data in held]), strict=True):
                 ends = np.cumsum(n)
                 raw = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]

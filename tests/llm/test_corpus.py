@@ -85,6 +85,32 @@ def test_blocks_round_trip():
     assert tokenfile.encode_blocks([]) == []
 
 
+def test_no_few_segments_are_coded_alone():
+    for n in range(70):
+        held = list(tokenfile.lockstep(iter([10] * n), 80, int))
+        assert sum(held, []) == [10] * n and all(sum(h) <= 80 for h in held)
+        assert len(held) < 2 or min(map(sum, held)) >= 40
+    assert list(tokenfile.lockstep([500, 1, 90], 80, int)) == [[500], [1, 90]]
+
+
+@pytest.mark.parametrize("most", [1, 3, 7])
+def test_files_of_many_lockstep_groups(spark, tmp_path, most, monkeypatch):
+    docs = frame(spark)
+    want = by_id(tokenfile.op1_token_files(spark, saved(spark, tmp_path, documents=docs)))
+    monkeypatch.setattr(tokenfile, "SEGMENT", 100)
+    monkeypatch.setattr(tokenfile, "LOCKSTEP", 100 * most)
+    assert by_id(tokenfile.op1_token_files(spark, str(tmp_path))) == want
+
+
+def test_carries_are_settled():
+    writer = tokenfile._Writer(3, 8)
+    words = writer.words.reshape(3, -1)
+    words[0, :4], words[1, :4], words[2, :4] = [1, 65535, 65535, 65537], [2, 65536, 7, 9], [1, 2, 3, 4]
+    writer.at += 4
+    got = [w.tolist()[:4] for w in writer.close()]
+    assert got == [[2, 0, 0, 1], [3, 0, 7, 9], [1, 2, 3, 4]]
+
+
 def test_checksum_guards_a_block():
     data = tokenfile.pack_segments([([1, None], np.array([2, 3]), np.array([5, 6, 7, 8, 9]))])[0]
     ids, n, tokens = tokenfile.unpack_segments([data])[0]
